@@ -10,6 +10,29 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression_quality import KEEP, fit, held_out, score
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    done = score(docs, fit(docs, labels))
+    return done.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= KEEP).cast("int").alias("predicted"))
+
+
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scaled_sketch import as_string, containment, fingerprints
+
+    done = fingerprints(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_string(F.col("sketch")).alias("fingerprint"),
+        as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +42,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import Rule, judge
+
+    rules = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
