@@ -62,6 +62,12 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_records(index, folder)).select("doc_id", F.col("place").alias("start"), "n_tokens", "ids_crc32")
 
 
+def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .style_tree import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
