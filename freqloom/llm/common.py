@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,3 +63,11 @@ def ascii_lower(text: Column) -> Column:
 
 def whole_text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def once_per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """make(), kept in the Python worker for later tasks (functions shipped by value keep no globals)."""
+    kept = sys.modules.setdefault("_freqloom_worker", types.ModuleType("_freqloom_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)

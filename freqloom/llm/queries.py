@@ -55,11 +55,11 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .common import shared_dir
-    from .records import encode_to_records, ids_crc32, read_records
+    from .records import encode_to_records, read_records
 
     folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
     index = encode_to_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
-    return ids_crc32(read_records(index, folder)).select("doc_id", F.col("place").alias("start"), "n_tokens", "ids_crc32")
+    return read_records(index, folder, ids=False).select("doc_id", F.col("place").alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,12 @@ half-written or doubled record.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import once_per_worker, small_batches, text_bytes
 
 #: Fixed values of the file format.
 MASK = 0xA282EAD8
 HEAD, FOOT = 12, 4
 #: Words kept with their ids in a worker; beyond it the memo starts anew.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -55,62 +57,96 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+#: Words of these characters only are their own NFC form and have one lower-case letter for each letter.
+PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]*")
+#: Fixed value: how the tokenizer splits lower-case text of such characters before its merges.
+PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+#: Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for U+0100 onwards in order.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(x for x in range(0x100) if x not in VISIBLE)}
+
+
 def pieces(text: str) -> list[str]:
     """The text between white space; the separators U+001C to U+001F are no white space here."""
     if any(x in text for x in "\x1c\x1d\x1e\x1f"):
-        import re
-
         return [x for x in re.split(r"[ \t-\r]+", text) if x]
     return text.split()
 
 
-def encode_words(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
-    """(id, n_tokens, width, ids): the tokenizers library's ids without special tokens, end_id appended.
+class WordIds(dict):
+    """Ids of words as bytes, found by the tokenizers library once and kept in two generations of MEMO words.
 
-    For tokenizers that drop white space before the merges: a text's ids are then those of the pieces
-    between white space, and each worker encodes every distinct piece once.  A null text is empty.
+    An unknown plain word is the join of its lower-case pre-tokens, which many words share.
     """
+
+    def __init__(self, tok: Any, width: int) -> None:
+        super().__init__()
+        self.width, self.tok, self.model, self.form, self.old = width, tok, tok.model, {2: "H", 4: "I"}[width], {}
+
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
+
+    def merged(self, pretoken: str) -> bytes:
+        """A plain lower-case pre-token needs the library's merges only."""
+        letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return self.pack([x.id for x in self.model.tokenize(letters)])
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if PLAIN.fullmatch(word):
+                parts = PRETOKENS.findall(word.lower())
+                found = self.merged(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
+            else:
+                found = self.pack(self.tok.encode(word, add_special_tokens=False).ids)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoder(spark: SparkSession, tokenizer_file: str, end_id: int | None) -> Callable[[Batches], Batches]:
+    """From batches (id, text) to (id, n_tokens, width, ids); the file goes to the workers by broadcast (its size is the vocabulary's)."""
     with open(tokenizer_file, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    name, data = zlib.crc32(content), spark.sparkContext.broadcast(content)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_buffer(data.value)
-        tok.encode_special_tokens = True
-        width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
-        kind, tail = f"<u{width}", b"" if end_id is None else end_id.to_bytes(width, "little")
-        memo: dict[str, bytes] = {}
+        def make() -> WordIds:
+            tok = Tokenizer.from_buffer(data.value)
+            tok.encode_special_tokens = True
+            return WordIds(tok, 2 if tok.get_vocab_size() <= 1 << 16 else 4)
+
+        memo = once_per_worker(f"words_{name}", make)
+        width, tail = memo.width, b"" if end_id is None else end_id.to_bytes(memo.width, "little")
         for batch in batches:
-            texts = [pieces(x.as_py().decode("utf-8", "replace")) for x in batch.column(1)]
-            if len(memo) > MEMO:
-                memo = {}
-            new = list({x for words in texts for x in words if x not in memo})
-            for x, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                memo[x] = np.array(e.ids, kind).tobytes()
-            packed = [b"".join(map(memo.__getitem__, words)) + tail for words in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // width for x in packed], pa.int64()), pa.array([width] * len(packed), pa.int32()), pa.array(packed, pa.binary())],
-                [id_col, "n_tokens", "width", "ids"],
-            )
+            packed = []
+            for x in batch.column(1):
+                packed.append(b"".join(map(memo.__getitem__, pieces(x.as_py().decode("utf-8", "replace")))) + tail)
+                memo.turn()
+            lengths = pa.array([len(x) // width for x in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array([width] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["id", "n_tokens", "width", "ids"])
 
-    src = docs if {id_col, text_col} == set(docs.columns) and dict(docs.dtypes)[text_col] == "binary" else text_bytes(docs, id_col, text_col)
-    return src.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, width int, ids binary")
+    return run
 
 
-def write_records(rows: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Write the ids of rows (id, n_tokens, width, ids), which lie in order, and return their index.
-
-    Partitions become files in their order, so range-partitioned sorted rows stay sorted over all
-    files.  The index is (id, file, offset, n_tokens, width, place): place counts the ids of all
-    records before.
-    """
-    small_batches(rows.sparkSession)
+def writer(folder: str) -> Callable[[Batches], Batches]:
+    """Writes batches (id, n_tokens, width, ids) to a file of the partition; gives (id, part, file, offset, n_tokens, width, within)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         part = TaskContext.get().partitionId()
         store, path = pafs.FileSystem.from_uri(folder)
         name, offset, before, out = f"part-{part:05d}-{uuid.uuid4().hex}.rec", 0, 0, None
@@ -127,60 +163,89 @@ def write_records(rows: DataFrame, folder: str, id_col: str = "doc_id") -> DataF
             k = len(offsets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([part] * k, pa.int32()), pa.array([name] * k, pa.string()), pa.array(offsets, pa.int64()), batch.column(1), batch.column(2), pa.array(places, pa.int64())],
-                [id_col, "part", "file", "offset", "n_tokens", "width", "within"],
+                ["id", "part", "file", "offset", "n_tokens", "width", "within"],
             )
         if out is not None:
             out.close()
 
-    spark = rows.sparkSession
-    made = pafs.FileSystem.from_uri(folder)
-    made[0].create_dir(made[1], recursive=True)
-    kind = rows.schema[id_col].dataType.simpleString()
-    rows.select(id_col, "n_tokens", "width", "ids").mapInArrow(run, f"`{id_col}` {kind}, part int, file string, offset long, n_tokens long, width int, within long").write.parquet(f"{folder}/index")
+    return run
+
+
+def kind(df: DataFrame, column: str) -> str:
+    return f"id {df.schema[column].dataType.simpleString()}"
+
+
+def encode_words(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
+    """(id, n_tokens, width, ids): the tokenizers library's ids without special tokens, end_id appended.
+
+    For tokenizers that drop white space before the merges and split the rest as PRETOKENS does: a
+    text's ids are then those of the words between white space, which workers keep once found.  A null
+    text is empty; rows may repeat; other columns are ignored.
+    """
+    src = text_bytes(docs, id_col, text_col)
+    return src.mapInArrow(encoder(docs.sparkSession, tokenizer_file, end_id), f"{kind(src, id_col)}, n_tokens long, width int, ids binary").withColumnRenamed("id", id_col)
+
+
+def indexed(written: DataFrame, folder: str, id_col: str) -> DataFrame:
+    """Run the writing job, which saves the index, and return the index with each record's place."""
+    spark = written.sparkSession
+    store, path = pafs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    written.write.parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     # One row per file: few, and the only rows that meet in one task.
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    return index.join(F.broadcast(files), "file").select(id_col, "file", "offset", "n_tokens", "width", (F.col("base") + F.col("within")).alias("place"))
+    return index.join(F.broadcast(files), "file").select(F.col("id").alias(id_col), "file", "offset", "n_tokens", "width", (F.col("base") + F.col("within")).alias("place"))
+
+
+INDEX = "part int, file string, offset long, n_tokens long, width int, within long"
+
+
+def write_records(rows: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """Write the ids of rows (id, n_tokens, width, ids), which lie in order, and return their index.
+
+    Partitions become files in their order, so range-partitioned sorted rows stay sorted over all
+    files.  The index is (id, file, offset, n_tokens, width, place): place counts the ids of all
+    records before.
+    """
+    small_batches(rows.sparkSession)
+    return indexed(rows.select(id_col, "n_tokens", "width", "ids").mapInArrow(writer(folder), f"{kind(rows, id_col)}, {INDEX}"), folder, id_col)
+
 
+def read_records(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """(id, place, n_tokens, width, ids, ids_crc32) read back from the files, each checksum verified.
 
-def read_records(index: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, place, n_tokens, width, ids) read back from the files, each checksum verified; any subset or order of the index will do."""
+    Any subset or order of the index will do.  ids_crc32 is that of the ids as little-endian unsigned
+    32-bit integers; without ``ids`` the ids themselves are left null.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         store, path = pafs.FileSystem.from_uri(folder)
         name, source = None, None
         for batch in batches:
-            out = []
+            out, sums = [], []
             for file, offset, n, width in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
                 if file != name:
                     name, source = file, store.open_input_file(f"{path}/{file}")
                 payload = unframe(source.read_at(HEAD + n * width + FOOT, offset))
-                out.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(3), batch.column(4), pa.array(out, pa.binary())], [id_col, "place", "n_tokens", "width", "ids"])
+                sums.append(zlib.crc32(payload if width == 4 else np.frombuffer(payload, f"<u{width}").astype("<u4")))
+                out.append(payload if ids else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(3), batch.column(4), pa.array(out, pa.binary()), pa.array(sums, pa.int64())], ["id", "place", "n_tokens", "width", "ids", "ids_crc32"])
 
     small_batches(index.sparkSession)
-    kind = index.schema[id_col].dataType.simpleString()
     rows = index.select(id_col, "file", "offset", "n_tokens", "width", "place")
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, place long, n_tokens long, width int, ids binary")
-
-
-def ids_crc32(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, place, n_tokens, ids_crc32): checksum of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [zlib.crc32(np.frombuffer(x.as_py(), f"<u{w}").astype("<u4").tobytes()) for w, x in zip(batch.column(3).to_pylist(), batch.column(4))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], [id_col, "place", "n_tokens", "ids_crc32"])
-
-    kind = read.schema[id_col].dataType.simpleString()
-    return read.mapInArrow(run, f"`{id_col}` {kind}, place long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, f"{kind(index, id_col)}, place long, n_tokens long, width int, ids binary, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def encode_to_records(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> DataFrame:
-    """Encode docs, write them in ascending id order (nulls first, equal ids in any order); return the index."""
+    """Encode docs, write them in ascending id order (nulls first, equal ids in any order); return the index.
+
+    Encoding and writing share one Python worker; the texts are shuffled once, by range of ids.
+    """
     spark: SparkSession = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = text_bytes(docs, id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
-    return write_records(encode_words(dealt, tokenizer_file, id_col, text_col, end_id), folder, id_col)
+    encode, write = encoder(spark, tokenizer_file, end_id), writer(folder)
+    return indexed(dealt.mapInArrow(lambda batches: write(encode(batches)), f"{kind(docs, id_col)}, {INDEX}"), folder, id_col)
