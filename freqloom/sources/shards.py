@@ -52,7 +52,7 @@ def read_tar(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE
 
 def texts_by_index(members: DataFrame) -> DataFrame:
     """(idx, text) of text members named by a leading integer."""
-    return members.select(leading_number(F.col("name")).alias("idx"), F.decode("content", F.lit("UTF-8")).alias("text")).where("idx IS NOT NULL")
+    return members.select(leading_number(F.col("name")).alias("idx"), F.decode("content", "UTF-8").alias("text")).where("idx IS NOT NULL")
 
 
 def leading_number(name: Column) -> Column:

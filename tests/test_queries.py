@@ -1,0 +1,32 @@
+import pytest
+
+from freqloom.plans import catalog
+
+from .oracle import assert_same, connect
+
+SQL = catalog.oracle_sql()
+
+
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(SQL)
+    assert len(SQL) >= 70
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    assert_same(catalog.queries()[name](spark, sf_dir), connect(sf_dir), SQL[name])
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
+    assert df.columns == ["concept", "n_text", "n_image", "n_both"]
+    found = {r.concept: (r.n_text, r.n_image, r.n_both) for r in df.collect()}
+    assert found["that"] == (102, 171, 32) and found["zzqx"] == (0, 0, 0)
+
+
+def test_entry_registers_catalog():
+    import __spark_entry__ as entry
+
+    assert set(SQL) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
