@@ -22,6 +22,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +33,7 @@ from .common import once_per_worker, small_batches, text_bytes
 #: Fixed values of the file format.
 MASK = 0xA282EAD8
 HEAD, FOOT = 12, 4
-#: Words kept with their ids in a worker; beyond it the memo starts anew.
+#: Pre-tokens kept with their ids in a worker; beyond it the memo starts anew.
 MEMO = 200_000
 
 
@@ -59,60 +60,84 @@ def unframe(data: bytes) -> bytes:
 
 #: Words of these characters only are their own NFC form and have one lower-case letter for each letter.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]*")
-#: Fixed value: how the tokenizer splits lower-case text of such characters before its merges.
+#: Fixed value: how the tokenizer splits lower-case words of such characters before its merges.
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Bytes of text that are encoded at once: the more, the smaller the share of distinct words.
+TOGETHER = 8 << 20
 
 #: Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for U+0100 onwards in order.
 VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(x for x in range(0x100) if x not in VISIBLE)}
 
 
-def pieces(text: str) -> list[str]:
-    """The text between white space; the separators U+001C to U+001F are no white space here."""
-    if any(x in text for x in "\x1c\x1d\x1e\x1f"):
-        return [x for x in re.split(r"[ \t-\r]+", text) if x]
-    return text.split()
+def as_strings(texts: pa.Array) -> pa.Array:
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
 
 
-class WordIds(dict):
-    """Ids of words as bytes, found by the tokenizers library once and kept in two generations of MEMO words.
+class TokenIds(dict):
+    """Ids of pre-tokens as bytes, found by the tokenizers library once and kept in two generations of MEMO."""
 
-    An unknown plain word is the join of its lower-case pre-tokens, which many words share.
-    """
-
-    def __init__(self, tok: Any, width: int) -> None:
+    def __init__(self, tok: Any) -> None:
         super().__init__()
-        self.width, self.tok, self.model, self.form, self.old = width, tok, tok.model, {2: "H", 4: "I"}[width], {}
-
-    def turn(self) -> None:
-        if len(self) > MEMO:
-            self.old = dict(self)
-            self.clear()
+        self.tok, self.model, self.old = tok, tok.model, {}
+        self.width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
+        self.form = {2: "H", 4: "I"}[self.width]
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
-    def merged(self, pretoken: str) -> bytes:
+    def __missing__(self, pretoken: str) -> bytes:
         """A plain lower-case pre-token needs the library's merges only."""
-        letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return self.pack([x.id for x in self.model.tokenize(letters)])
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+        found = self.old.get(pretoken)
         if found is None:
-            if PLAIN.fullmatch(word):
-                parts = PRETOKENS.findall(word.lower())
-                found = self.merged(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
-            else:
-                found = self.pack(self.tok.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self[word] = found
+            letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = self.pack([x.id for x in self.model.tokenize(letters)])
+        if len(pretoken) <= 64:
+            self[pretoken] = found
         return found
 
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.__getitem__, PRETOKENS.findall(word.lower())))
+        return self.pack(self.tok.encode(word, add_special_tokens=False).ids)
+
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Each text's packed ids: the batch's distinct words are encoded once, the rest is a gather."""
+        split = pc.ascii_split_whitespace(as_strings(texts))
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        known = [self.word(x) for x in coded.dictionary.to_pylist()]
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = np.frombuffer(b"".join(known), f"<u{self.width}")[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def together(batches: Batches, size: int) -> Batches:
+    """The same rows in batches of about ``size`` bytes at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoder(spark: SparkSession, tokenizer_file: str, end_id: int | None) -> Callable[[Batches], Batches]:
     """From batches (id, text) to (id, n_tokens, width, ids); the file goes to the workers by broadcast (its size is the vocabulary's)."""
     with open(tokenizer_file, "rb") as f:
@@ -125,18 +150,15 @@ def encoder(spark: SparkSession, tokenizer_file: str, end_id: int | None) -> Cal
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        def make() -> WordIds:
+        def make() -> TokenIds:
             tok = Tokenizer.from_buffer(data.value)
             tok.encode_special_tokens = True
-            return WordIds(tok, 2 if tok.get_vocab_size() <= 1 << 16 else 4)
+            return TokenIds(tok)
 
-        memo = once_per_worker(f"words_{name}", make)
+        memo = once_per_worker(f"tokens_{name}", make)
         width, tail = memo.width, b"" if end_id is None else end_id.to_bytes(memo.width, "little")
-        for batch in batches:
-            packed = []
-            for x in batch.column(1):
-                packed.append(b"".join(map(memo.__getitem__, pieces(x.as_py().decode("utf-8", "replace")))) + tail)
-                memo.turn()
+        for batch in together(batches, TOGETHER):
+            packed = [x + tail for x in memo.encode_texts(batch.column(1))]
             lengths = pa.array([len(x) // width for x in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array([width] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["id", "n_tokens", "width", "ids"])
 
@@ -178,9 +200,8 @@ def kind(df: DataFrame, column: str) -> str:
 def encode_words(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """(id, n_tokens, width, ids): the tokenizers library's ids without special tokens, end_id appended.
 
-    For tokenizers that drop white space before the merges and split the rest as PRETOKENS does: a
-    text's ids are then those of the words between white space, which workers keep once found.  A null
-    text is empty; rows may repeat; other columns are ignored.
+    For tokenizers that normalise (NFC, lower case), drop white space and split the rest as PRETOKENS
+    does: a word of plain characters has the ids of its pre-tokens, which workers keep once found.  A null text is empty; rows may repeat; other columns are ignored.
     """
     src = text_bytes(docs, id_col, text_col)
     return src.mapInArrow(encoder(docs.sparkSession, tokenizer_file, end_id), f"{kind(src, id_col)}, n_tokens long, width int, ids binary").withColumnRenamed("id", id_col)
