@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -21,24 +22,31 @@ def ids_of(text):
     return TOK.encode(text or "", add_special_tokens=False).ids
 
 
-def test_words_equal_the_library():
+def packed(text):
+    ids = ids_of(text)
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
+ODD = "aAzZ09'\"._-  \n\t\r\x0b\x0c\x1c\x1d\x85\u00a0\u3000\u200béÉçÇßİıſÀa\u0300\u0301\u0308ªº²½×÷ŉǅΣς日本🙂<|endoftext|>'s'LL'Re"
+PLAIN = "aAzZ019'\"._-&  \n\t\r\x0céÉçÇßıſÀ×÷ŉŽ<|endoftext|>'s'LL'Re"
+
+
+@pytest.mark.parametrize("pool", [ODD, PLAIN])
+def test_texts_equal_the_library(pool):
     random.seed(1)
-    pool = "aAzZ09'\"._-  \n\t\r\x0b\x0c\x1c\x1d\x85  　​éÉçÇßİıſÀà́̈ªº²½×÷ŉǅΣς日本🙂<|endoftext|>'s'LL'Re"
-    words = R.WordIds(TOK, 2)
-    for _ in range(4000):
-        text = "".join(random.choice(pool) for _ in range(random.randint(0, 40)))
-        ids = ids_of(text)
-        assert b"".join(map(words.__getitem__, R.pieces(text))) == struct.pack(f"<{len(ids)}H", *ids), repr(text)
+    tokens = R.TokenIds(TOK)
+    texts = ["".join(random.choice(pool) for _ in range(random.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|>", "x" * 3000, "it's I'LL"]
+    for batch in (texts, texts[:1], [""], ["", " a ", ""], []):
+        assert tokens.encode_texts(pa.array([t.encode() for t in batch], pa.binary())) == [packed(t) for t in batch]
+    assert len(tokens.encode_texts(pa.array([b"ok \xff\xfe", b""], pa.binary()))) == 2
 
 
 def test_memo_turns(monkeypatch):
     monkeypatch.setattr(R, "MEMO", 3)
-    words = R.WordIds(TOK, 2)
-    for w in "one two three four five one six two".split():
-        ids = ids_of(w)
-        assert words[w] == struct.pack(f"<{len(ids)}H", *ids)
-        words.turn()
-        assert len(words) <= 4
+    tokens = R.TokenIds(TOK)
+    for text in "one two three,four;five,one,six;two,one".split(",") * 2:
+        assert tokens.encode_texts(pa.array([text.encode()], pa.binary())) == [packed(text)]
+    assert len(tokens) <= 6 and tokens.old
 
 
 def test_frames_detect_damage():
