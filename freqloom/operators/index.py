@@ -9,24 +9,24 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.text import STOP_WORDS, lemma, tokens
 
-#: Turns a text column into an array of index terms.
+#: Turns a text column into an array of index terms, repeats allowed.
 Analyzer = Callable[[Column], Column]
 
 
 def surface(text: Column) -> Column:
     """All tokens, as they stand (lower case)."""
-    return F.array_distinct(tokens(text))
+    return tokens(text)
 
 
 def nouns(text: Column) -> Column:
     """Noun proxy: lemmas of tokens of two letters or more that are no stop words; a tagger can replace it."""
-    kept = F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(kept, lemma))
+    kept = F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return F.transform(kept, lemma)
 
 
 def unigram_postings(corpus: DataFrame, analyzer: Analyzer = surface, id_col: str = "sample_id", text_col: str = "text") -> DataFrame:
     """(term, sample_id), distinct: a document's terms are made distinct in its own row, so nothing is shuffled."""
-    return corpus.select(F.explode(analyzer(F.col(text_col))).alias("term"), F.col(id_col).alias("sample_id"))
+    return corpus.select(F.explode(F.array_distinct(analyzer(F.col(text_col)))).alias("term"), F.col(id_col).alias("sample_id"))
 
 
 def phrase_postings(corpus: DataFrame, id_col: str = "sample_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.text import query_terms
 
-from .index import Analyzer, surface
+from .index import Analyzer, surface, unigram_postings
 
 #: Up to this many query terms travel inside the plan; beyond, terms and postings are joined.
 INLINE_TERMS = 20_000
@@ -25,13 +25,12 @@ def text_search(corpus: DataFrame, concepts: DataFrame, analyzer: Analyzer = sur
     query's terms are a bounded vocabulary, so each row is cut to the query terms it holds and matched
     on the spot: the only shuffle is the count of known terms.
     """
-    wanted = concept_terms(concepts).select("concept_id", "concept", "term").collect() if concepts.count() <= INLINE_TERMS else None
-    vocabulary = sorted({r.term for r in wanted}) if wanted is not None else []
-    if wanted is None or len(vocabulary) > INLINE_TERMS:
-        from .index import unigram_postings
-
+    wanted = concept_terms(concepts).select("concept_id", "concept", "term").limit(INLINE_TERMS + 1).collect()
+    if len(wanted) > INLINE_TERMS:
         return text_search_postings(unigram_postings(corpus, analyzer, id_col, text_col), concepts)
-    held = corpus.select(F.col(id_col).alias("sample_id"), F.array_intersect(analyzer(F.col(text_col)), F.lit(vocabulary) if vocabulary else F.array().cast("array<string>")).alias("held")).where(F.size("held") > 0).persist()
+    vocabulary = sorted({r.term for r in wanted})
+    terms = F.filter(analyzer(F.col(text_col)), lambda t: t.isin(vocabulary))  # a hash set, built once
+    held = corpus.select(F.col(id_col).alias("sample_id"), F.array_distinct(terms).alias("held")).where(F.size("held") > 0).persist()
     known = {r[0] for r in held.select(F.explode("held").alias("t")).distinct().collect()}  # no larger than the vocabulary
     needs: dict[tuple[int, str], list[str]] = {}
     for r in wanted:

@@ -52,7 +52,7 @@ def pearson_bins(spark, d):
 
 @query("spearman_counts", "WITH t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), c AS (SELECT term, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang = 'fr') AS b FROM t GROUP BY term HAVING a > 0 AND b > 0), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM c) SELECT 'en' AS lang_a, 'fr' AS lang_b, round(corr(ra, rb), 6) AS rho FROM r")
 def spearman_counts(spark, d):
-    rows = X.table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).select("lang", F.explode(index.surface(F.col("text"))).alias("term"))
+    rows = X.table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).select("lang", F.explode(F.array_distinct(index.surface(F.col("text")))).alias("term"))
     n = rows.groupBy("term").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(c) for x, c in (("en", "a"), ("fr", "b"))]).where("a > 0 AND b > 0")
     ra, rb = S.rank_by_value(n, "term", "a", "ra"), S.rank_by_value(n, "term", "b", "rb")
     return ra.join(rb, "term").agg(F.round(F.corr("ra", "rb"), 6).alias("rho")).select(F.lit("en").alias("lang_a"), F.lit("fr").alias("lang_b"), "rho")

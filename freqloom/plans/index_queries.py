@@ -124,7 +124,7 @@ def merge_chunk_index(spark, d):
     size = 1 + docs.agg(F.max("sample_id")).first()[0] // 4
     local = docs.withColumns({"chunk_id": F.floor(F.col("sample_id") / size), "local_id": F.col("sample_id") % size})
     sizes = local.groupBy("chunk_id").agg((F.max("local_id") + 1).alias("n"))
-    chunks = local.select("chunk_id", "local_id", F.explode(index.surface(F.col("text"))).alias("term"))
+    chunks = local.select("chunk_id", "local_id", F.explode(F.array_distinct(index.surface(F.col("text")))).alias("term"))
     return index.merge_chunks(chunks, sizes).groupBy("term").agg(F.sum("sample_id").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
@@ -152,7 +152,7 @@ CONCEPT_SQL = CAPTIONS + f", ct AS (SELECT DISTINCT conv_id, pos, {T.lemma_sql('
 
 
 def extracted(spark, d):
-    rows = captions(spark, d).select("conv_id", "pos", F.explode(index.nouns(F.col("caption"))).alias("concept"))
+    rows = captions(spark, d).select("conv_id", "pos", F.explode(F.array_distinct(index.nouns(F.col("caption")))).alias("concept"))
     each = rows.groupBy("concept", "conv_id").agg(F.count(F.lit(1)).alias("c"))
     return each.groupBy("concept").agg(F.sum("c").alias("n_captions"), F.count(F.lit(1)).alias("n_images"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freqloom.functions import stats as S
 from freqloom.functions import text as T
 from freqloom.operators import generated as G
+from freqloom.operators import prompts
 
 from . import fixtures as X
 from .catalog import query
@@ -49,8 +50,24 @@ TEMPLATES = [("class", "{c}"), ("simple", "A photo of a {c}."), ("ensemble", "a
 
 @query("prompt_expand", W + X.SQL_CONCEPTS + f" SELECT concept, mode, replace(template, '{{c}}', concept) AS prompt FROM concepts, {X.values(TEMPLATES, 'mode, template')}")
 def prompt_expand(spark, d):
-    templates = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(t).alias("template")) for m, t in TEMPLATES])
-    return X.concepts(spark).select("concept", F.inline(templates)).select("concept", "mode", F.replace("template", F.lit("{c}"), F.col("concept")).alias("prompt"))
+    return prompts.expand(X.concepts(spark), rows_of(spark, TEMPLATES, ["mode", "template"]))
+
+
+LINES = [prompts.SEED, *[q for q in prompts.QUESTIONS for _ in range(prompts.ANSWERS)]]
+
+
+@query("description_requests", W + X.SQL_CONCEPTS + f" SELECT concept, place::BIGINT AS place, replace(template, '{{c}}', concept) AS line FROM concepts, {X.values(list(enumerate(LINES)), 'place, template')} WHERE concept_id >= 5")
+def description_requests(spark, d):
+    c = X.concepts(spark)
+    return prompts.description_requests(c, c.where("concept_id < 5"))
+
+
+LABEL_TEMPLATES = [("set", "There is {article} {c} in the scene."), ("set", "a photo of the {c}."), ("set", "the {c} in a photo.")]
+
+
+@query("label_texts", W + X.SQL_CONCEPTS + f", t AS (SELECT concept AS c, mode, template FROM (SELECT lower(replace(concept, '_', ' ')) AS concept FROM concepts), {X.values(LABEL_TEMPLATES, 'mode, template')}), p AS (SELECT c AS concept, mode, replace(replace(template, '{{article}}', CASE WHEN regexp_matches(c, '^[aeiou]') THEN 'an' ELSE 'a' END), '{{c}}', c) AS p FROM t) SELECT concept, mode, CASE WHEN p LIKE 'a%' OR p LIKE 'the%' THEN 'This is ' || p ELSE p END AS prompt FROM p")
+def label_texts(spark, d):
+    return prompts.label_texts(X.concepts(spark), rows_of(spark, LABEL_TEMPLATES, ["mode", "template"]))
 
 
 @query("prompt_article", W + X.SQL_CONCEPTS + r", p AS (SELECT concept, regexp_replace(lower(replace(replace(concept, '_', ' '), '/', ' or ')), '\.+$', '') AS n FROM concepts) SELECT concept, 'This is ' || CASE WHEN regexp_matches(n, '^[aeiou]') THEN 'an ' ELSE 'a ' END || n || '.' AS prompt FROM p")
