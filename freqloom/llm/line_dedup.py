@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from .common import cut, small_batches, text_bytes
 
 MIN_CHARS, MIN_DOCS = 20, 3
-BATCHES, FANOUT = 4, 2
+BATCHES, FANOUT = 4, 3
+#: Rows of (document, key) pairs for each bucket of a run, up to as many buckets as the session has shuffle partitions.
+BUCKET_PAIRS = 500_000
 #: Keys with over 1 / HEAVY of all (document, key) pairs, at most HEAVY of them, are joined by broadcast.
 HEAVY = 1024
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -57,14 +59,14 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 class LineRuns:
     """The levelled runs, as bucketed tables in the shared warehouse."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT) -> None:
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        dealt = rows.repartition(self.buckets, "key") if self.buckets > 1 else rows.coalesce(1)
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame) -> None:
@@ -111,12 +113,12 @@ class LineRuns:
 
 def lost_keys(keys: DataFrame, min_docs: int, batches: int) -> DataFrame:
     """(doc, keys array): the keys whose lines each document loses; keys: (doc, key) in shared storage."""
-    runs = LineRuns(keys.sparkSession)
+    pairs, spark = keys.count(), keys.sparkSession
+    runs = LineRuns(spark, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pairs // BUCKET_PAIRS))
     for i in range(batches):
         runs.add(keys.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i))
     often = cut(runs.frequent(min_docs))
     runs.drop()
-    pairs = keys.count()
     heavy = F.broadcast(often.where(F.col("docs") * HEAVY > pairs))
     light = often.where(F.col("docs") * HEAVY <= pairs)
     by_heavy = keys.join(heavy, "key")
