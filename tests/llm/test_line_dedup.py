@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from freqloom.llm import line_dedup
 from freqloom.llm.line_dedup import LineRuns, dedup_lines, drop_lines
 
 from .helpers import ROWS, awkward, docs, empty
@@ -37,7 +40,9 @@ def test_awkward_rows(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
-def test_random_rows_equal_brute_force(spark):
+@pytest.mark.parametrize("bucket_pairs", [500_000, 60])
+def test_random_rows_equal_brute_force(spark, monkeypatch, bucket_pairs):
+    monkeypatch.setattr(line_dedup, "BUCKET_PAIRS", bucket_pairs)
     random.seed(2)
     pool = ["  Repeated LINE of twenty characters ", "repeated line of twenty characters", "short", "É" * 20, "É" * 19, "", "another line that is rather long\r", *[f"a single line with the number {k}" for k in range(9)]]
     texts = [None if k % 17 == 0 else "\n".join(random.choice(pool) for _ in range(random.randint(0, 7))) for k in range(120)]
@@ -62,4 +67,4 @@ def test_runs_are_levelled(spark):
     assert found[b"\x00"] == (15, 14) and found[b"\x02"] == (3, 8)
     runs.drop()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
-    assert LineRuns(spark).frequent(1).count() == 0
+    assert LineRuns(spark, 1).frequent(1).count() == 0
