@@ -187,9 +187,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return often.unionByName(seldom).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def plain_id(id_col: str) -> Column:
+    """The id without nulls: one key for the join and the window."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component; of rows with one id, one stays."""
-    ids = grouped(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    ids = grouped(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(plain_id(id_col)).distinct()
+    kept = docs.withColumn("__id", plain_id(id_col)).join(ids, "__id", "left_semi")
+    first = Window.partitionBy("__id").orderBy(text_col)  # on the join's own partitioning
+    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
