@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in one Arrow batch: long texts must fit a Python worker a few times over.
-ARROW_ROWS = 500
+#: Rows in one batch of a scan or of Arrow data: long texts must fit a task a few times over.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts (a session setting, read when the plan runs)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep column batches of scans and Arrow batches small enough for long texts.
+
+    Both are session settings, read when a plan runs.  A scan's default of 4,096 rows would hold that
+    many texts in one array.
+    """
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def text_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, whole_text
+from .common import ascii_lower, cut, small_batches, whole_text
 
 #: Broadcast bound: at most this many digests (about 100 bytes each) are treated as frequent.
 SLOTS = 1024
@@ -44,6 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the largest id stays (a null id is the smallest; of rows with equal ids and texts exactly one
     stays).  Other columns of ``docs`` are ignored, whatever their names; an empty input gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = cut(digests(docs, id_col, text_col)).select(id_col, "text_sha256", F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key"))
     heavy = cut(frequent(rows, slots, tracked))
     out = (id_col, F.col("best.id").alias("keep_id"), "group_size", (F.col("__key") == F.col("best")).alias("kept"), "text_sha256")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, small_batches, whole_text
 
 MAX_LEN, BUCKETS, BUDGET, SHARD = 2048, 12, 65536, 16384
 
@@ -86,4 +86,5 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """pack() of the word counts of docs; see there."""
+    small_batches(docs.sparkSession)
     return pack(docs.select(id_col, word_count(text_col).alias("n_tokens")), id_col, "n_tokens", **options)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 WORDS, FRACTION, LEAST = 5, 8, 16
 #: Below this, of the signed 64-bit range, lies one hash of FRACTION.
@@ -99,6 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document (by ascending id; rows with one id follow each other by text; a null id comes first).
     Null texts are empty; a lone document is its own next; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(id_col, whole_text(text_col).alias("__text")).withColumn("__sketch", sketch(F.col("__text")))
     n = F.char_length("__text")
     cut = F.floor(n / 4).cast("int")
