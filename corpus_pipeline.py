@@ -1,4 +1,4 @@
-"""A corpus pipeline of four stages: quality, line and near-duplicate removal, packing.
+"""A corpus pipeline of five stages: quality, line and near-duplicate removal (by SimHash, then by Jaccard similarity), packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
 read again as the next stage's docs.  All but the last return the columns of documents.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freqloom.llm.common import shared_dir
 from freqloom.llm.compression_quality import keep_good
+from freqloom.llm.jaccard import drop_near_copies
 from freqloom.llm.line_dedup import drop_lines
 from freqloom.llm.packing import pack_documents
 from freqloom.llm.simhash import near_dedup
@@ -29,16 +30,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates within three bits stays."""
     return near_dedup(docs)
 
 
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that share 0.8 of their five-word shingles stays."""
+    return drop_near_copies(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each segment of each document goes: bucket, shard and batch."""
     return pack_documents(docs)
 
 
-STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("packing", packing)]
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("jaccard_dedup", similar), ("packing", packing)]
 #: Compressed sizes and XXH64 have no SQL.
 ORACLE_SQL = None
 

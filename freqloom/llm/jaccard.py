@@ -1,0 +1,135 @@
+"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands for candidates, exact sets to decide.
+
+Texts with equal shingle sets are one node.  A node stands in ``BANDS`` buckets, each keyed by ``ROWS``
+of its minima: sets that share 0.8 meet in one with probability 1 - (1 - 0.8^4)^20 = 0.99997.  What
+meets is only a candidate; the shingle sets themselves decide on a link.
+
+Candidates come in two rounds, so that a bucket of many copies gives no square of pairs: each bucket's
+members against its least node, then members of a bucket whose components still differ.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut, text_bytes
+from .components import components
+from .simhash import plain_id
+
+#: Linked from NUM / DEN of the shingles of both on.
+NUM, DEN = 4, 5
+SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 4
+CHUNK = 1 << 12
+#: Fixed odd factors: the permutations of the 64-bit hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, one without words has none."""
+    found = text.lower().split()  # of bytes: A-Z only, and blanks are \\x20 and \\x09-\\x0d
+    if not found:
+        return np.empty(0, np.uint64)
+    line = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[min(words, len(found)) - 1 :]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(last)))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """64 bits of the set's SHA-256, signed."""
+    return int.from_bytes(hashlib.sha256(hashes.tobytes()).digest()[:8], "big", signed=True)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The buckets of a set, none for an empty one."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        for k, factor in enumerate(FACTORS):
+            least[k] = min(least[k], (part * factor).min())
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, n, keys) for each row: n is the size of the shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for text in batch.column(1):
+                hashes = shingle_set(text.as_py())
+                nodes.append(node_of(hashes))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [id_col, "node", "n", "keys"])
+
+    src = text_bytes(docs, id_col, text_col)
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, node long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes), a row for each node of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                hashes = shingle_set(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(hashes)], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return text_bytes(docs, id_col, text_col).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets share NUM / DEN of their union."""
+    one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    enough = shared * (NUM + DEN) >= (F.size("of_a") + F.size("of_b")) * NUM
+    return pairs.join(two, "b").join(one, "a").where(enough).select("a", "b")
+
+
+def sized_alike(x: str, y: str) -> Column:
+    """Sets of sizes further apart can't share NUM / DEN of their union."""
+    return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
+
+
+def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links that connect the nodes of ``distinct`` (node, n, keys, least id) wherever a candidate pair is similar."""
+    placed = distinct.select("node", "n", "least", F.explode("keys").alias("key"))
+    full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("node", "n")).alias("lead")).where("held > 1")
+    placed = cut(placed.join(full, "key").select("key", "node", "n", "least", "lead"))
+    ids = placed.select(plain_id("least")).distinct()
+    sets = cut(shingle_sets(docs.select(id_col, text_col, plain_id(id_col)).join(ids, "__id", "left_semi"), id_col, text_col))
+    stars = cut(placed.where((F.col("node") != F.col("lead.node")) & sized_alike("n", "lead.n")).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
+    first = cut(similar(stars, sets))
+    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    member = cut(placed.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("top")))
+    tops = member.select("key", "top").distinct()
+    apart = tops.select("key", F.col("top").alias("top_a")).join(tops.select("key", F.col("top").alias("top_b")), "key").where("top_a < top_b")
+    for x in "ab":
+        apart = apart.join(member.select("key", F.col("top").alias(f"top_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}")), ["key", f"top_{x}"])
+    rest = apart.where(sized_alike("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return first.union(similar(rest.join(stars, ["a", "b"], "left_anti"), sets))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of a component of linked texts; of rows with one id, one stays.
+
+    Words are split at blanks, with A-Z lower-cased; a null text has none, and texts without words are
+    one node.  A null id counts only where its component has no other.
+    """
+    distinct = cut(signatures(docs, id_col, text_col).groupBy("node").agg(F.min(id_col).alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    roots = components(links(docs, distinct, id_col, text_col)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    ids = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("low")).select(plain_id("low")).distinct()
+    kept = docs.withColumn("__id", plain_id(id_col)).join(ids, "__id", "left_semi")
+    first = Window.partitionBy("__id").orderBy(text_col)  # on the join's own partitioning
+    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)

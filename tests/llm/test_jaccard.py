@@ -1,0 +1,57 @@
+import random
+
+import corpus_pipeline
+from freqloom.llm.jaccard import drop_near_copies
+
+from .helpers import awkward, docs, empty
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(texts):
+    """Positions that are the least of their component of pairs with a Jaccard similarity of 0.8 or more."""
+    sets, top = [brute_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if top[i] != top[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = max(top[i], top[j]), min(top[i], top[j])
+                top = [b if x == a else x for x in top]
+    return sorted(set(top))
+
+
+def near_copies():
+    random.seed(11)
+    base = [[f"w{random.randint(0, 9999)}" for _ in range(random.randint(6, 300))] for _ in range(25)]
+    texts = []
+    for _ in range(200):
+        words = list(random.choice(base))
+        for _ in range(random.choice([0, 1, 1, 2, 3, 5, 8])):
+            words[random.randrange(len(words))] = f"changed{random.random()}"
+        texts.append(" ".join(words))
+    return texts + ["", None, " ", "one", "ONE", "two words"]
+
+
+def test_kept_equal_brute_force(spark):
+    texts = near_copies()
+    want = brute_kept(texts)
+    assert 30 < len(want) < 180
+    assert sorted(r.doc_id for r in drop_near_copies(docs(spark, texts)).collect()) == want
+
+
+def test_pipeline_leaves_no_near_copies(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, sf_dir)
+    texts = [r.text for r in rows.collect()]
+    assert brute_kept(texts) == list(range(len(texts)))
+
+
+def test_odd_rows(spark):
+    kept = drop_near_copies(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 4, 6, 7] and len(rows) == 6
+    assert drop_near_copies(empty(spark)).count() == 0
