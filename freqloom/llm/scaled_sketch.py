@@ -3,7 +3,9 @@
 A sketch holds every shingle hash below a fixed fraction of the hash range, so sketches of parts merge
 by union, and the share of common hashes estimates containment however unequal two documents are.  A
 text with fewer than ``LEAST`` such hashes keeps its ``LEAST`` smallest instead (all, if it has no
-more): short texts then compare exactly.  Two sketches are compared below the lower of their limits.
+more): short texts then compare exactly.  Two sketches alone are compared below the lower of their
+limits, which may leave a short text no hash.  Where the texts are at hand, they are compared below the
+higher limit: the longer text is hashed again up to the limit that the shorter one's sketch reaches.
 """
 
 from __future__ import annotations
@@ -28,19 +30,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sketch(text: Column, words: int = WORDS) -> Column:
-    """Sorted distinct hashes of the word shingles (of all words, if there are fewer than ``words``)."""
+def hashes(text: Column, words: int = WORDS) -> Column:
+    """Hashes of the word shingles (of all words, if there are fewer than ``words``), repeats included."""
     found = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
     def shingles(w: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[w[i + k] for k in range(words)]))
         return F.when(F.size(w) >= words, many).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
+    return let(found, shingles)
+
+
+def sketch(text: Column, words: int = WORDS) -> Column:
+    """Sorted distinct hashes of the word shingles that the sketch keeps."""
+
     def kept(h: Column) -> Column:
         low = F.array_distinct(F.filter(h, lambda x: x < LIMIT))
         return let(low, lambda a: F.when(F.size(a) >= LEAST, F.array_sort(a)).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, LEAST)))
 
-    return let(let(found, shingles), kept)
+    return let(hashes(text, words), kept)
 
 
 def limit_of(a: Column) -> Column:
@@ -50,10 +58,27 @@ def limit_of(a: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller text's shingles that the other has: 0 to 1; equal sketches: 1."""
-    to = F.least(limit_of(a), limit_of(b))
-    few = F.least(*[F.size(F.filter(x, lambda h: h <= to)) for x in (a, b)])
-    return F.when(a == b, F.lit(1.0)).when(few == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / few))
+    """Estimated share of the smaller text's shingles that the other has: 0 to 1; equal sketches: 1; null: no estimate."""
+
+    def share(a: Column, b: Column) -> Column:
+        to = F.least(limit_of(a), limit_of(b))
+        few = F.least(*[F.size(F.filter(x, lambda h: h <= to)) for x in (a, b)])
+        return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).when(few > 0, F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / few))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda both: share(both["a"], both["b"]))
+
+
+def text_containment(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+    """containment() of two sketches whose texts are at hand: never null, exact for a text of under LEAST hashes."""
+    to = F.greatest(limit_of(a), limit_of(b))
+
+    def up_to(own: Column, text: Column) -> Column:
+        return F.when(limit_of(own) >= to, own).otherwise(let(to, lambda t: F.array_distinct(F.filter(hashes(text), lambda h: h <= t))))
+
+    def share(both: Column) -> Column:
+        return F.size(F.array_intersect(both["a"], both["b"])) / F.least(F.size(both["a"]), F.size(both["b"]))
+
+    return F.when(limit_of(a) == limit_of(b), containment(a, b)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(F.struct(up_to(a, text_a).alias("a"), up_to(b, text_b).alias("b")), share))
 
 
 def as_string(a: Column) -> Column:
@@ -93,7 +118,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, n_chars, edited, sketch, edited_sketch, next_sketch) for each row.
+    """(id, n_chars, edited, sketch, next_sketch, near_next, edited_sketch, near_edited) for each row.
 
     edited is the text with its last quarter of code points replaced by the first as many of the next
     document (by ascending id; rows with one id follow each other by text; a null id comes first).
@@ -104,5 +129,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.char_length("__text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("__text", F.lit(1), n - cut), F.substring("next___text", F.lit(1), cut))
-    wide = with_next(rows, id_col, ["__text", "__sketch"], ["__text"], block_rows).select(id_col, n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("__sketch").alias("sketch"), F.col("next___sketch").alias("next_sketch"))
-    return wide.withColumn("edited_sketch", sketch(F.col("edited")))
+    wide = with_next(rows, id_col, ["__text", "__sketch"], ["__text"], block_rows).select(id_col, n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("__sketch").alias("sketch"), F.col("next___sketch").alias("next_sketch"), text_containment(F.col("__sketch"), F.col("next___sketch"), F.col("__text"), F.col("next___text")).alias("near_next"), F.col("__text"))
+    wide = wide.withColumn("edited_sketch", sketch(F.col("edited")))
+    return wide.withColumn("near_edited", text_containment(F.col("sketch"), F.col("edited_sketch"), F.col("__text"), F.col("edited"))).drop("__text")

@@ -87,3 +87,22 @@ def test_block_search(spark):
     bounds = [3, 8, 9, 20]
     rows = spark.range(25).withColumnRenamed("id", "__id").select("__id", K.block_of(bounds).alias("b")).collect()
     assert all(r.b == sum(x <= r["__id"] for x in bounds) for r in rows)
+
+
+def test_short_passage_in_a_long_text(spark):
+    random.seed(12)
+    words = [f"w{random.randint(0, 10**6)}" for _ in range(3000)]
+    texts = []
+    for n in (5, 6, 10, 20, 30, 60, 200):
+        at = random.randrange(2000)
+        texts += [" ".join(words[at : at + n]), " ".join(words)]
+    texts += ["none of these words is there", " ".join(words), "", " ".join(words)]
+    got = {r.doc_id: r.near_next for r in K.fingerprints(docs(spark, texts), block_rows=5).collect()}
+    assert [got[k] for k in [*range(13), 17]] == [1.0] * 14  # the first text follows the last
+    assert [got[k] for k in range(13, 17)] == [0.0] * 4
+
+
+def test_no_estimate_without_shared_range(spark):
+    words = [f"w{k}" for k in range(3000)]
+    short = next(t for k in range(100) if brute_sketch(t := " ".join(words[k : k + 5]))[0] > K.LIMIT)
+    assert near(spark, short, " ".join(words)) is None
