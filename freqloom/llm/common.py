@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -24,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; also makes checkpoint() usable.
 
-    A cluster names it in spark.checkpoint.dir.  Where that is unset (tests, one machine) a temporary
-    folder is taken.
+    A cluster names it in spark.checkpoint.dir.  Where that is unset and Spark runs in one process, a
+    temporary folder is taken; elsewhere that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="freqloom-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -61,6 +64,17 @@ def decoded(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     return (x.as_py().decode("utf-8", "replace") for x in column)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has columns of the same name (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

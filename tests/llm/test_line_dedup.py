@@ -63,8 +63,55 @@ def test_runs_are_levelled(spark):
         rows = [(d, bytes([k])) for d in range(b * 3, b * 3 + 3) for k in (0, b)] * 2
         runs.add(spark.createDataFrame(rows, "doc long, key binary"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    found = {bytes(r.key): (r.docs, r.top) for r in runs.frequent(1).collect()}
+    found = {bytes(r.key): (r.docs, r.top) for r in runs.frequent().collect()}
     assert found[b"\x00"] == (15, 14) and found[b"\x02"] == (3, 8)
     runs.drop()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
-    assert LineRuns(spark, 1).frequent(1).count() == 0
+    assert LineRuns(spark, 1).frequent().count() == 0
+
+
+@pytest.mark.parametrize("min_docs", (2, 3, 5))
+def test_batches_in_any_order_lose_each_line_once(spark, min_docs):
+    random.seed(min_docs)
+    runs, lost, holds = LineRuns(spark, buckets=1, min_docs=min_docs, fanout=3), [], {}
+    ids = list(range(60))
+    random.shuffle(ids)
+    for b in range(6):
+        rows = [(d, bytes([k])) for d in ids[b * 10 : b * 10 + 10] for k in {random.choice((0, 1, *range(2, 30))) for _ in range(4)}]
+        for d, k in rows:
+            holds.setdefault(k, set()).add(d)
+        lost += [(r.doc, bytes(r.key)) for r in runs.add(spark.createDataFrame(rows, "doc long, key binary")).collect()]
+    runs.drop()
+    assert len(lost) == len(set(lost))
+    assert set(lost) == {(d, k) for k, v in holds.items() if len(v) >= min_docs for d in v if d < max(v)}
+
+
+def test_batches_move_no_run(spark):
+    import re
+
+    runs = LineRuns(spark, buckets=3)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(b * 5 + d, bytes([k])) for d in range(5) for k in range(9)], "doc long, key binary"))
+    keys = spark.createDataFrame([(bytes([k]), 1, 99) for k in range(4)], "key binary, docs long, last long")
+    plan = runs.matched(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2 and len(re.findall(r"\bExchange\b", plan)) == 1
+    runs.drop()
+
+
+def test_runs_go_when_a_batch_fails(spark):
+    from freqloom.llm.line_dedup import lost_keys
+
+    bad = spark.range(3).selectExpr("id AS doc", "if(id = 1, raise_error('x'), CAST('k' AS binary)) AS key").where("doc < 5")
+    with pytest.raises(Exception):
+        lost_keys(bad, 3, 2)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_columns_of_the_added_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    names = ["__doc", "__keys", "__n_lines", "__N_dropped"]
+    df = docs(spark, ["a line of over twenty characters"] * 4).withColumns({c: F.lit("mine") for c in names})
+    done = drop_lines(df)
+    assert done.columns == [*df.columns, "__n_lines_", "__n_dropped_"] and {tuple(r) for r in done.select(*names).collect()} == {("mine",) * 4}
+    assert sum(r[0] for r in done.select("__n_dropped_").collect()) == 3
