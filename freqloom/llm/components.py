@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Edges are a DataFrame throughout; each round is two grouped minima with map-side combining, and is
-written to shared storage, so lineage stays short and a lost executor costs one round at most.
+written to shared storage, so lineage stays short and a lost executor costs one round at most.  The
+joins with the minima are inner sort-merge joins whose result is dealt anew, so adaptive execution
+splits the edges of a hub over tasks.
 """
 
 from __future__ import annotations

@@ -1,22 +1,25 @@
 """SimHash near-duplicates: BK-trees over fingerprint shards, then connected components.
 
-Fingerprints within ``RADIUS`` = 3 bits agree in at least one of four 16-bit blocks, so a shard is a
-(block, value) pair and each distinct fingerprint stands in four shards; no link is lost.  Shards of
-more than ``TREE`` fingerprints are cut into sub-shards, and every pair of sub-shards is a tile of its
-own: one tree of bounded size, sent to the tile's queries.  In a tile children hang at their Hamming
-distance from the parent and a search follows only edges within the radius.  Trees are sent to the
-tiles of their shard, not to every executor: together they grow with the corpus.  Each tile returns
-only its local components, one row for each linked fingerprint, never its pairs.
+Fingerprints within ``RADIUS`` = 3 bits agree in at least three of six blocks of ten or eleven bits, so
+a shard is a choice of three blocks with their values, about 32 bits, and each distinct fingerprint
+stands in twenty shards; no link is lost, and what unlike fingerprints share a shard stays rare however
+many there are.  Shards of more than ``TREE`` fingerprints are cut into sub-shards, and every pair of
+sub-shards is a tile of its own: one tree of bounded size, sent to the tile's queries.  In a tile
+children hang at their Hamming distance from the parent and a search follows only edges within the
+radius.  Trees are sent to the tiles of their shard, not to every executor: together they grow with the
+corpus.  Each tile returns only its local components, one row for each linked fingerprint, never its
+pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_bytes
@@ -26,6 +29,16 @@ RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 4096
 #: Fingerprints held by over 1 / HEAVY of the rows (HEAVY of them at most) are joined by broadcast.
 HEAVY = 1024
 CHUNK = 1 << 16
+#: First bit and width of each block.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, signed: a bit is set if it is set in over half of the unsigned hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -37,11 +50,7 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(words, len(found)) - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist())]
-        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,6 +86,14 @@ class BKTree:
         self.values.append(value)
         self.children.append({})
 
+    def way(self, value: int) -> Iterator[tuple[int, int]]:
+        """(value, distance) of the nodes on the way that a value would go down as it is added."""
+        at = 0 if self.values else None
+        while at is not None:
+            d = (self.values[at] ^ value).bit_count()
+            yield self.values[at], d
+            at = self.children[at].get(d) if d else None
+
     def near(self, value: int, radius: int) -> list[int]:
         found, todo = [], [0] if self.values else []
         while todo:
@@ -119,22 +136,38 @@ def to_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def blocks() -> Column:
-    """The shard of each of the four blocks: block * 65536 + value."""
-    return F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(65535).cast("int") + 65536 * i for i in range(4)])
+def shards(fp: Column) -> Column:
+    """The shards of a fingerprint: for each choice of three blocks, its number and the blocks' values in one long."""
+    out = []
+    for k, chosen in enumerate(combinations(BLOCKS, 3)):
+        value = F.lit(k).cast("long")
+        for first, width in chosen:
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        out.append(value)
+    return F.array(*out)
+
+
+def tiled(placed: DataFrame, columns: list[str], pairs: bool = True) -> DataFrame:
+    """(columns, shard, i, j, holds) dealt and sorted by tile: sub-shard i of a shard meets j >= i once; i holds the tree, j asks.
+
+    placed: columns, with fp among them, shard and parts (sub-shards of its shard).  Without pairs each
+    sub-shard meets itself only.
+    """
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
+    cutted = placed.select(*columns, "shard", "parts", own.alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if pairs else F.col("own")
+    tiles = cutted.select(*columns, "shard", "own", other.alias("other"))
+    tiles = tiles.select(*columns, "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("holds"))
+    return tiles.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(a, b): links that connect all fingerprints of ``distinct`` (column fp, no repeats) within the radius."""
     if not 0 <= radius <= 3:
-        raise ValueError("four blocks find every link up to three differing bits")
-    placed = distinct.select("fp", F.explode(blocks()).alias("shard"))
+        raise ValueError("choices of three of six blocks find every link up to three differing bits")
+    placed = distinct.select("fp", F.explode(shards(F.col("fp"))).alias("shard"))
     sized = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts"))
-    cutted = placed.join(sized, "shard").select("fp", "shard", F.ceil(F.col("n") / tree).cast("int").alias("parts")).withColumn("own", own.cast("int"))
-    # Sub-shard i meets j >= i once: i holds the tree, j asks.
-    tiles = cutted.select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("fp", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("holds"))
+    tiles = tiled(placed.join(sized, "shard").select("fp", "shard", F.ceil(F.col("n") / tree).cast("int").alias("parts")), ["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree_side, asking = None, [], []
@@ -161,8 +194,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
         close()
         yield flush()
 
-    dealt = tiles.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -185,16 +217,3 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     often = rows.join(F.broadcast(heavy), "fp")
     seldom = rows.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(by_fp.select("fp", "component_id"), "fp")
     return often.unionByName(seldom).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def plain_id(id_col: str) -> Column:
-    """The id without nulls: one key for the join and the window."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows with one id, one stays."""
-    ids = grouped(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(plain_id(id_col)).distinct()
-    kept = docs.withColumn("__id", plain_id(id_col)).join(ids, "__id", "left_semi")
-    first = Window.partitionBy("__id").orderBy(text_col)  # on the join's own partitioning
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)

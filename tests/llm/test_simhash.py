@@ -3,9 +3,10 @@ import random
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from freqloom.llm.components import components
-from freqloom.llm.simhash import BKTree, fingerprint, fingerprints, grouped, links, near_dedup, tile_links
+from freqloom.llm.simhash import BKTree, fingerprint, fingerprints, grouped, links, shards, tile_links, tiled
 
 from .helpers import ROWS, awkward, docs, empty
 
@@ -102,7 +103,6 @@ def test_documents_equal_brute_force(spark):
     got = {r.doc_id: r for r in grouped(docs(spark, texts), tree=4).collect()}
     for k, t in enumerate(texts):
         assert got[k].fingerprint == f"{brute_fingerprint(t):016x}" and got[k].component_id == want[k]
-    assert sorted(r.doc_id for r in near_dedup(docs(spark, texts)).collect()) == sorted(set(want))
 
 
 def test_awkward_rows(spark):
@@ -110,8 +110,37 @@ def test_awkward_rows(spark):
     assert len(got) == len(ROWS)
     assert {(r.component_id) for r in got if r.doc_id in (1, 2, 8)} == {1} and {r.component_id for r in got if r.doc_id in (3, 5)} == {3}
     assert next(r for r in got if r.doc_id is None).component_id is None
-    kept = near_dedup(awkward(spark))
-    assert kept.columns == awkward(spark).columns
-    assert sorted(kept.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))[0].doc_id is None
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 6, 7]
-    assert fingerprints(empty(spark)).count() == 0 and grouped(empty(spark)).count() == 0 and near_dedup(empty(spark)).count() == 0
+    assert fingerprints(empty(spark)).count() == 0 and grouped(empty(spark)).count() == 0
+
+
+def test_three_bits_share_a_shard(spark):
+    random.seed(13)
+    pairs = [(x, x ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 3)))) for x in (random.getrandbits(64) for _ in range(200))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x), signed(y)) for x, y in pairs], "x long, y long")
+    both = df.select(shards_of(F.col("x")).alias("a"), shards_of(F.col("y")).alias("b"))
+    assert both.where(F.size("a") != 20).count() == 0 and both.where(F.size(F.array_intersect("a", "b")) == 0).count() == 0
+
+
+def shards_of(fp):
+    return F.transform(F.array(fp), lambda fp: shards(fp))[0]
+
+
+def test_tiles_of_a_fingerprint_do_not_grow(spark):
+    """Ten times as many unlike fingerprints meet no more others each."""
+    met = []
+    for n in (3_000, 30_000):
+        placed = spark.range(n).select(F.xxhash64("id").alias("fp")).select("fp", F.explode(shards(F.col("fp"))).alias("shard"))
+        held = placed.groupBy("shard").count()
+        met.append(held.agg(F.sum(F.expr("count * (count - 1)"))).first()[0] / n)
+    assert met[1] < 0.01 and met[0] < 0.01
+
+
+def test_tiles_of_a_shard_hold_every_pair_once(spark):
+    rows = [(k, 5, 4) for k in range(40)]
+    tiles = tiled(spark.createDataFrame(rows, "fp long, shard long, parts int"), ["fp"]).collect()
+    met = {}
+    for r in tiles:
+        met.setdefault((r.i, r.j), ([], []))[r.holds].append(r.fp)
+    pairs = [frozenset((x, y)) for (i, j), (ask, hold) in met.items() for x in hold for y in (hold if i == j else ask) if x < y or i != j]
+    assert len(pairs) == len(set(pairs)) == 40 * 39 // 2
