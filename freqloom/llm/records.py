@@ -13,6 +13,7 @@ half-written or doubled record.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -33,6 +34,9 @@ from .common import once_per_worker, small_batches, text_bytes
 #: Fixed values of the file format.
 MASK = 0xA282EAD8
 HEAD, FOOT = 12, 4
+#: Bytes of neighbouring records that are read at once.
+SPAN = 4 << 20
+LEAST_ROWS, MOST_ROWS = 1000, 50_000
 #: Pre-tokens kept with their ids in a worker; beyond it the memo starts anew.
 MEMO = 200_000
 
@@ -58,6 +62,10 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+#: What a tokenizer file must say for words to be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Words of these characters only are their own NFC form and have one lower-case letter for each letter.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]*")
 #: Fixed value: how the tokenizer splits lower-case words of such characters before its merges.
@@ -77,12 +85,26 @@ def as_strings(texts: pa.Array) -> pa.Array:
         return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
 
 
+def by_words(said: dict) -> bool:
+    """Whether a tokenizer file's ids of a text are those of its words: known normaliser and splitter, plain BPE, nothing added."""
+    model = said["model"]
+    split = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    plain = model["type"] == "BPE" and not model.get("dropout") and not any(said.get(k) for k in ("truncation", "padding", "post_processor"))
+    return plain and said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == split and not any(x["normalized"] or x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
+
+
 class TokenIds(dict):
-    """Ids of pre-tokens as bytes, found by the tokenizers library once and kept in two generations of MEMO."""
+    """Ids of pre-tokens as bytes, found by the tokenizers library once and kept in two generations of MEMO.
+
+    A text with the string of an added token, and any text of a tokenizer that does not go by words, is
+    encoded whole by the library.
+    """
 
     def __init__(self, tok: Any) -> None:
         super().__init__()
+        said = json.loads(tok.to_str())
         self.tok, self.model, self.old = tok, tok.model, {}
+        self.by_words, self.added = by_words(said), [x["content"] for x in said["added_tokens"]]
         self.width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
         self.form = {2: "H", 4: "I"}[self.width]
 
@@ -106,7 +128,20 @@ class TokenIds(dict):
 
     def encode_texts(self, texts: pa.Array) -> list[bytes]:
         """Each text's packed ids: the batch's distinct words are encoded once, the rest is a gather."""
-        split = pc.ascii_split_whitespace(as_strings(texts))
+        texts = as_strings(texts)
+        whole = np.full(len(texts), not self.by_words)
+        for added in self.added:
+            whole |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.encode_words(texts)
+        out: list[bytes] = [b""] * len(texts)
+        for mask, ids in ((whole, lambda part: [self.pack(x.ids) for x in self.tok.encode_batch(part.to_pylist(), add_special_tokens=False)]), (~whole, self.encode_words)):
+            for k, x in zip(np.flatnonzero(mask).tolist(), ids(texts.filter(pa.array(mask)))):
+                out[k] = x
+        return out
+
+    def encode_words(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
         ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         known = [self.word(x) for x in coded.dictionary.to_pylist()]
@@ -150,12 +185,7 @@ def encoder(spark: SparkSession, tokenizer_file: str, end_id: int | None) -> Cal
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        def make() -> TokenIds:
-            tok = Tokenizer.from_buffer(data.value)
-            tok.encode_special_tokens = True
-            return TokenIds(tok)
-
-        memo = once_per_worker(f"tokens_{name}", make)
+        memo = once_per_worker(f"tokens_{name}", lambda: TokenIds(Tokenizer.from_buffer(data.value)))
         width, tail = memo.width, b"" if end_id is None else end_id.to_bytes(memo.width, "little")
         for batch in together(batches, TOGETHER):
             packed = [x + tail for x in memo.encode_texts(batch.column(1))]
@@ -200,8 +230,10 @@ def kind(df: DataFrame, column: str) -> str:
 def encode_words(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """(id, n_tokens, width, ids): the tokenizers library's ids without special tokens, end_id appended.
 
-    For tokenizers that normalise (NFC, lower case), drop white space and split the rest as PRETOKENS
-    does: a word of plain characters has the ids of its pre-tokens, which workers keep once found.  A null text is empty; rows may repeat; other columns are ignored.
+    Any tokenizer file will do; strings of its added tokens become those tokens, as the library has it.
+    Of a tokenizer that goes by words (see by_words), a word of plain characters has the ids of its
+    pre-tokens, which workers keep once found.  A null text is empty; rows may repeat; other columns are
+    ignored; an empty table gives no rows.
     """
     src = text_bytes(docs, id_col, text_col)
     return src.mapInArrow(encoder(docs.sparkSession, tokenizer_file, end_id), f"{kind(src, id_col)}, n_tokens long, width int, ids binary").withColumnRenamed("id", id_col)
@@ -235,6 +267,29 @@ def write_records(rows: DataFrame, folder: str, id_col: str = "doc_id") -> DataF
     return indexed(rows.select(id_col, "n_tokens", "width", "ids").mapInArrow(writer(folder), f"{kind(rows, id_col)}, {INDEX}"), folder, id_col)
 
 
+def frames(store: pafs.FileSystem, path: str, places: list[tuple[str, int, int]]) -> Iterator[bytes]:
+    """The frames at the places (file, offset, size), in their order; neighbours are read together, up to SPAN bytes."""
+    name, source = None, None
+    try:
+        at = 0
+        while at < len(places):
+            file, first, size = places[at]
+            end, upto = first + size, at + 1
+            while upto < len(places) and places[upto][:2] == (file, end) and end + places[upto][2] - first <= SPAN:
+                end, upto = end + places[upto][2], upto + 1
+            if file != name:
+                if source is not None:
+                    source.close()
+                name, source = file, store.open_input_file(f"{path}/{file}")
+            span = source.read_at(end - first, first)
+            for _, offset, size in places[at:upto]:
+                yield span[offset - first : offset - first + size]
+            at = upto
+    finally:
+        if source is not None:
+            source.close()
+
+
 def read_records(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
     """(id, place, n_tokens, width, ids, ids_crc32) read back from the files, each checksum verified.
 
@@ -244,13 +299,12 @@ def read_records(index: DataFrame, folder: str, id_col: str = "doc_id", ids: boo
 
     def run(batches: Batches) -> Batches:
         store, path = pafs.FileSystem.from_uri(folder)
-        name, source = None, None
         for batch in batches:
             out, sums = [], []
-            for file, offset, n, width in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                if file != name:
-                    name, source = file, store.open_input_file(f"{path}/{file}")
-                payload = unframe(source.read_at(HEAD + n * width + FOOT, offset))
+            files, offsets, counts, widths = (batch.column(k).to_pylist() for k in range(1, 5))
+            places = [(file, offset, HEAD + n * width + FOOT) for file, offset, n, width in zip(files, offsets, counts, widths)]
+            for width, data in zip(widths, frames(store, path, places)):
+                payload = unframe(data)
                 sums.append(zlib.crc32(payload if width == 4 else np.frombuffer(payload, f"<u{width}").astype("<u4")))
                 out.append(payload if ids else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(3), batch.column(4), pa.array(out, pa.binary()), pa.array(sums, pa.int64())], ["id", "place", "n_tokens", "width", "ids", "ids_crc32"])
@@ -260,13 +314,22 @@ def read_records(index: DataFrame, folder: str, id_col: str = "doc_id", ids: boo
     return rows.mapInArrow(run, f"{kind(index, id_col)}, place long, n_tokens long, width int, ids binary, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
+def file_count(rows: int, cores: int) -> int:
+    """Two files for each core, as long as each gets LEAST_ROWS, and no file of over MOST_ROWS."""
+    return max(1, min(2 * cores, rows // LEAST_ROWS), -(-rows // MOST_ROWS))
+
+
 def encode_to_records(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> DataFrame:
-    """Encode docs, write them in ascending id order (nulls first, equal ids in any order); return the index.
+    """Encode docs, write them in ascending id order (nulls first, equal ids by a hash of the text); return the index.
 
-    Encoding and writing share one Python worker; the texts are shuffled once, by range of ids.
+    Encoding and writing share one Python worker; the texts are shuffled once, by range of ids, and of
+    equal ids by range of text hashes.  A null text is an empty one, whose record holds the end id only;
+    rows may repeat, each has its record; a text of any length is one record; other columns are ignored;
+    an empty table gives no records and no files.
     """
     spark: SparkSession = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = text_bytes(docs, id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
+    order = (F.col(id_col), F.xxhash64(text_col))
+    parts = file_count(docs.count(), spark.sparkContext.defaultParallelism)
+    dealt = text_bytes(docs, id_col, text_col).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     encode, write = encoder(spark, tokenizer_file, end_id), writer(folder)
     return indexed(dealt.mapInArrow(lambda batches: write(encode(batches)), f"{kind(docs, id_col)}, {INDEX}"), folder, id_col)

@@ -14,8 +14,7 @@ from freqloom.llm import records as R
 from .helpers import ROWS, awkward, empty
 
 FILE = P.path("word_bpe_49k.json")
-TOK = Tokenizer.from_file(FILE)
-TOK.encode_special_tokens = True
+TOK = Tokenizer.from_file(FILE)  # as the library has it
 
 
 def ids_of(text):
@@ -35,12 +34,42 @@ PLAIN = "aAzZ019'\"._-&  \n\t\r\x0céÉçÇßıſÀ×÷ŉŽ<|endoftext|>'s'LL'Re
 def test_texts_equal_the_library(pool):
     random.seed(1)
     tokens = R.TokenIds(TOK)
-    texts = ["".join(random.choice(pool) for _ in range(random.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|>", "x" * 3000, "it's I'LL"]
+    assert tokens.by_words
+    texts = ["<|startoftext|>a <|endoftext|> b<|EndOfText|>", " <|endoftext|>", "<|endoftext|"] + ["".join(random.choice(pool) for _ in range(random.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|>", "x" * 3000, "it's I'LL"]
     for batch in (texts, texts[:1], [""], ["", " a ", ""], []):
         assert tokens.encode_texts(pa.array([t.encode() for t in batch], pa.binary())) == [packed(t) for t in batch]
     assert len(tokens.encode_texts(pa.array([b"ok \xff\xfe", b""], pa.binary()))) == 2
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}])
+def test_other_tokenizers_are_left_to_the_library(change):
+    import json
+
+    tok = Tokenizer.from_str(json.dumps(json.loads(TOK.to_str()) | change))
+    tokens, texts = R.TokenIds(tok), ["It's  a NICE day, isn't it?", "", "Élan 42 <|endoftext|>"]
+    assert not tokens.by_words
+    want = [struct.pack(f"<{len(x)}H", *x) for x in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert tokens.encode_texts(pa.array([t.encode() for t in texts], pa.binary())) == want
+
+
+def test_neighbours_are_read_together(tmp_path, monkeypatch):
+    parts = [bytes([k]) * (k + 1) for k in range(20)]
+    (tmp_path / "a").write_bytes(b"".join(parts))
+    (tmp_path / "b").write_bytes(b"".join(parts))
+    at = [sum(map(len, parts[:k])) for k in range(20)]
+    order = [*((f, k) for f in "ab" for k in range(20)), ("a", 7), ("a", 3), ("a", 4), ("b", 19)]
+    places = [(f, at[k], k + 1) for f, k in order]
+    for span in (4 << 20, 30, 1):
+        monkeypatch.setattr(R, "SPAN", span)
+        assert list(R.frames(pafs.LocalFileSystem(), str(tmp_path), places)) == [parts[k] for _, k in order]
+    assert list(R.frames(pafs.LocalFileSystem(), str(tmp_path), [])) == []
+
+
+def test_files_follow_the_rows():
+    assert [R.file_count(n, 6) for n in (0, 999, 5_000, 10**6, 10**10)] == [1, 1, 5, 20, 200_000]
+    assert R.file_count(300_000, 6) == 12 and R.file_count(300_000, 1000) == 300
+
+
 def test_memo_turns(monkeypatch):
     monkeypatch.setattr(R, "MEMO", 3)
     tokens = R.TokenIds(TOK)
