@@ -1,4 +1,4 @@
-"""Optimal length buckets and token-budget batches.
+"""Optimal length buckets and token-budget batches of token sequences.
 
 Documents longer than ``max_len`` are cut into segments of that length (none is dropped), so the global
 histogram of segment lengths has at most max_len + 1 rows.  Dynamic programming over it chooses the
@@ -10,19 +10,15 @@ one task; the last batch of a shard may be smaller.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, whole_text
+from .common import cut
+from .records import encode_words
 
 MAX_LEN, BUCKETS, BUDGET, SHARD = 2048, 12, 65536, 16384
 
 
-def word_count(text_col: str = "text") -> Column:
-    """Words between ASCII white space: the length measure where no tokenizer is given."""
-    return F.regexp_count(whole_text(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def optimal_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most ``buckets`` bucket lengths, ascending, that minimise the sum of count * (bucket - length).
 
@@ -54,37 +50,47 @@ def optimal_buckets(lengths: list[int], counts: list[int], buckets: int) -> list
     return chosen[::-1]
 
 
-def segments(lengths: DataFrame, id_col: str, length_col: str, max_len: int) -> DataFrame:
-    """(id, segment, length): lengths cut at max_len; a length of zero is one segment of length zero."""
+def segments(rows: DataFrame, id_col: str, length_col: str, max_len: int) -> DataFrame:
+    """(id, segment, length[, width, ids]): rows cut at max_len; a length of zero is one segment of length zero."""
     n = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
     last = F.greatest(F.ceil(n / max_len) - 1, F.lit(0)).cast("int")
-    cutted = lengths.select(id_col, n.alias("__n"), F.explode(F.sequence(F.lit(0), last)).alias("segment"))
-    return cutted.select(id_col, "segment", F.least(F.lit(max_len), F.col("__n") - F.col("segment").cast("long") * max_len).alias("length"))
+    held = ["width", "ids"] if "ids" in rows.columns else []
+    cutted = rows.select(F.col(id_col).alias("id"), n.alias("n"), *held, F.explode(F.sequence(F.lit(0), last)).alias("segment"))
+    length = F.least(F.lit(max_len), F.col("n") - F.col("segment").cast("long") * max_len)
+    part = [F.col("width"), F.substring("ids", (F.col("segment") * max_len * F.col("width") + 1).cast("int"), (length * F.col("width")).cast("int")).alias("ids")] if held else []
+    return cutted.select("id", "segment", length.alias("length"), *part)
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD) -> DataFrame:
-    """(id, segment, n_tokens, bucket, shard, batch, batch_rows): where each segment of each row goes.
+def pack(rows: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD) -> DataFrame:
+    """(id, segment, n_tokens, bucket, shard, batch, batch_rows[, width, ids]): where each segment of each row goes.
 
-    bucket is the padded length; (bucket, shard, batch) names a batch, which has at most
-    max(1, budget // bucket) segments.  Null lengths are zero; rows may repeat (each is packed); an
-    empty table gives no rows.
+    rows: id and length, and if there are columns width and ids (encode_words makes them), the segments
+    carry their own ids; other columns are ignored.  bucket is the padded length; (bucket, shard,
+    batch) names a batch, which has at most max(1, budget // bucket) segments.  Within a shard, segments
+    go by id, number and ids.  Null lengths are zero; rows may repeat (each is packed; equal ones lie
+    together); an empty table gives no rows.
     """
-    rows = cut(segments(lengths, id_col, length_col, max_len))
-    histogram = rows.groupBy("length").count().collect()  # max_len + 1 rows at most
+    held = ["width", "ids"] if {"width", "ids"} <= set(rows.columns) else []
+    rows = cut(rows.select(id_col, length_col, *held))
+    pieces = segments(rows, id_col, length_col, max_len)
+    histogram = segments(rows.select(id_col, length_col), id_col, length_col, max_len).groupBy("length").count().collect()  # max_len + 1 rows at most
     bounds = optimal_buckets([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     shards = max(1, round(sum(r[1] for r in histogram) / shard_rows))
     bucket = F.lit(bounds[-1] if bounds else 0).cast("long")
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(bucket)
-    dealt = rows.select(id_col, "segment", F.col("length").alias("n_tokens"), bucket.alias("bucket"), F.pmod(F.xxhash64(id_col, "segment"), F.lit(shards)).cast("int").alias("shard"))
-    group = Window.partitionBy("bucket", "shard")
-    nth = F.row_number().over(group.orderBy(id_col, "segment")) - 1
+    key = ["id", "segment", *held[1:]]
+    dealt = pieces.select("id", "segment", F.col("length").alias("n_tokens"), *held, bucket.alias("bucket"), F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int").alias("shard"))
+    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(*key)) - 1
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket", F.lit(1)))).cast("long")
     out = dealt.withColumn("batch", F.floor(nth / fits).cast("long"))
-    return out.withColumn("batch_rows", F.count(F.lit(1)).over(Window.partitionBy("bucket", "shard", "batch")))
+    size = F.count(F.lit(1)).over(Window.partitionBy("bucket", "shard", "batch"))
+    return out.select(F.col("id").alias(id_col), "segment", "n_tokens", "bucket", "shard", "batch", size.alias("batch_rows"), *held)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """pack() of the word counts of docs; see there."""
-    small_batches(docs.sparkSession)
-    return pack(docs.select(id_col, word_count(text_col).alias("n_tokens")), id_col, "n_tokens", **options)
+def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, **options: int) -> DataFrame:
+    """pack() of the token ids of docs, by the tokenizers library, with end_id at the end; see there and encode_words.
+
+    ids are little-endian unsigned integers of ``width`` bytes.  A null or empty text is its end id.
+    """
+    return pack(encode_words(docs.select(id_col, text_col), tokenizer_file, id_col, text_col, end_id), id_col, "n_tokens", **options)
