@@ -7,7 +7,8 @@ calibration.  ``PRIOR_BYTES`` of average text are added to each text, so that on
 gets about the base rate.  Dictionaries and calibration use different halves of the sample.
 
 The sample is bounded: at most ``SAMPLE`` texts of each class and ``SAMPLE_BYTES`` of them, taken in
-the order of a hash of the id, whole texts only.  Scoring is row by row, without a shuffle.
+the order of a hash of the id, whole texts only; texts of over ``TEXT_BYTES`` are not learnt from, only
+scored.  Scoring is row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free_names, small_batches
 
-SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 2000, 32 << 20, 1 << 20
 DICT_BYTES, BLOCK, LEVEL, PRIOR_BYTES = 65536, 512, 3, 48
 #: Folds by crc32 of the id as text; this one is held out from learning.
 FOLDS, HELD_OUT = 5, 0
@@ -89,14 +90,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     one = [known.where(F.col("__label") == k).orderBy(order).limit(SAMPLE) for k in (0, 1)]
     few = one[0].unionByName(one[1])  # 2 * SAMPLE ids at most
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text")).join(F.broadcast(few), id_col)
-    before = Window.partitionBy("__label").orderBy(order, "__text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum(F.length("__text")).over(before), F.lit(0))).where(F.col("__before") + F.length("__text") <= SAMPLE_BYTES)
+    # Long texts go before they are summed: one must not use up the sample.
+    rows = rows.where(F.length("__text") <= TEXT_BYTES).groupBy(id_col, "__label").agg(F.min("__text").alias("__text"))
+    before = Window.partitionBy("__label").orderBy(order, "__text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__upto", F.sum(F.length("__text")).over(before)).where(F.col("__upto") <= SAMPLE_BYTES)
     got = rows.orderBy(order, "__text").select("__text", "__label").collect()
     return [(bytes(r[0]), r[1]) for r in got], [totals[0], totals[1]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from labels outside the held-out fold; without both classes every text gets the base rate."""
+    """Learn from labels outside the held-out fold; without both classes every text gets the base rate.
+
+    Of several labels of one id the smaller counts; other labels than 0 and 1, and null ids, are left
+    out.  Of several rows of one id the smallest text counts, once.  A null text is empty; one of over
+    TEXT_BYTES is not learnt from.  Empty tables give the base rate of one in two.
+    """
     small_batches(docs.sparkSession)
     rows, totals = sample(docs, labels, id_col, text_col, label_col)
     prior = math.log((totals[1] + 1) / (totals[0] + 1))
@@ -116,10 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with ``__score`` (0 to 1, higher: good text is likelier) at the end; null texts are empty, and other columns pass through."""
+    """docs with ``__score`` (0 to 1, higher: good text is likelier) at the end.
+
+    Null texts are empty and score about the base rate; texts of any length are scored whole; equal
+    texts, so repeated rows too, score the same; other columns pass through, whatever their names (if
+    one is ``__score``, the added column gets underscores); an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    out = T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())])
+    out = T.StructType([*docs.schema, T.StructField(*free_names(docs, "__score"), T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = compressors(model) if model.good is not None else None
@@ -134,5 +147,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = KEEP) -> DataFrame:
-    """The rows of docs that score at least ``least``."""
-    return score(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("__score") >= least).drop("__score")
+    """The rows of docs that score at least ``least``; ties all stay.  See score for odd rows."""
+    scored = score(docs, fit(docs, labels, id_col, text_col), text_col)
+    return scored.where(F.col(scored.columns[-1]) >= least).select(*docs.columns)

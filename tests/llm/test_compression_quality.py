@@ -55,3 +55,41 @@ def test_short_texts_get_about_the_base_rate(spark):
     few = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     a, b = (r["__score"] for r in Q.score(few, Q.fit(docs, labels)).collect())
     assert a == b > 0.5
+
+
+def test_one_long_text_does_not_use_up_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TEXT_BYTES", 1000)
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 6000)
+    rows = [(k, ("long " if k % 10 == 0 else "") * 1000 + f"text {k} of class {k % 2} " * 5) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], LABELS)
+    got, totals = Q.sample(spark.createDataFrame(rows + rows[:50], "doc_id long, text string"), labels, "doc_id", "text", "quality")
+    sizes = [sum(len(t) for t, y in got if y == k) for k in (0, 1)]
+    assert all(5000 < x <= 6000 for x in sizes) and len(set(got)) == len(got) and sum(totals) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(200))
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    """The query against a plain loop over the model's own parts."""
+    import math
+
+    import zstandard
+
+    from freqloom.llm.queries import op1_compression_quality
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    model = Q.fit(docs, labels)
+    want = {}
+    for r in docs.collect():
+        text, d = (r.text or "").encode(), 0
+        for sign, data in ((1, model.bad), (-1, model.good)):
+            c = zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_checksum=False, write_dict_id=False)
+            d += sign * sum(len(c.compress(text[i : i + 512])) for i in range(0, len(text), 512))
+        x = (d + 48 * model.center) / (len(text) + 48)
+        want[r.doc_id] = 1 / (1 + math.exp(-max(-30, min(30, model.intercept + model.slope * x))))
+    got = op1_compression_quality(spark, sf_dir).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_a_column_named_like_the_score_stays(spark):
+    rows = spark.createDataFrame([(1, "a text", "mine")], "doc_id long, text string, __SCORE string")
+    labels = spark.createDataFrame([(1, 1)], LABELS)
+    assert Q.keep_good(rows, labels).collect() == rows.collect() and Q.score(rows, Q.fit(rows, labels)).columns[-1] == "__score_"

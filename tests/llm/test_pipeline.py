@@ -1,15 +1,16 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from freqloom.llm import queries
-from freqloom.llm.packing import word_count
 from tests.oracle import assert_same, connect
 
 from .helpers import awkward, empty
 from .test_line_dedup import brute as brute_lines
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near_dedup import brute_kept
+from .test_records import packed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,12 +40,12 @@ def test_stages_equal_brute_force(spark, sf_dir):
     want = {i: t for i, _, _, t in brute_lines(list(rows.items()))}
     assert after == {i: (t, len(t)) for i, t in want.items()}
     ids = sorted(want)
-    top = brute_components([brute_fingerprint(want[i]) for i in ids])
     near = stages["near_dedup"](spark, lines, sf_dir)
-    assert near.columns == COLUMNS and sorted(r.doc_id for r in near.collect()) == sorted({ids[t] for t in top})
-    words = {r[0]: r[1] for r in near.select("doc_id", word_count()).collect()}
-    packed = stages["packing"](spark, near, sf_dir).collect()
-    assert {i: sum(r.n_tokens for r in packed if r.doc_id == i) for i in words} == words
+    assert near.columns == COLUMNS and sorted(r.doc_id for r in near.collect()) == [ids[k] for k in brute_kept([want[i] for i in ids])]
+    parts = {}
+    for r in sorted(stages["packing"](spark, near, sf_dir).collect(), key=lambda r: (r.doc_id, r.segment)):
+        parts[r.doc_id] = parts.get(r.doc_id, b"") + bytes(r.ids)
+    assert parts == {r.doc_id: packed(r.text) + b"\1\0" for r in near.collect()}
 
 
 def test_run_equals_its_stages(spark, sf_dir):
@@ -62,3 +63,13 @@ def test_stages_take_awkward_and_empty_tables(spark, sf_dir):
             rows = stage(spark, rows, sf_dir)
             assert rows.columns == COLUMNS
         corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    names = ["__score", "__doc", "__keys", "__n_lines", "__n_dropped", "__id", "__nth", "__digest", "node", "ids", "length", "segment", "width", "bucket"]
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit(f"mine {c}") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, sf_dir)
+        assert rows.columns == COLUMNS + names
+    assert {tuple(r) for r in rows.select(*names).collect()} == {tuple(f"mine {c}" for c in names)}
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).count() >= rows.count()
