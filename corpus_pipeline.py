@@ -1,7 +1,10 @@
-"""A corpus pipeline of five stages: quality, line and near-duplicate removal (by SimHash, then by Jaccard similarity), packing.
+"""A corpus pipeline of four stages: quality, line and near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
-read again as the next stage's docs.  All but the last return the columns of documents.
+read again as the next stage's docs.  All but the last return the columns of documents, any other
+columns included, whatever their names.  A null text is an empty one.  Repeated rows are judged alike
+by the first two stages; of equal ids and texts near_dedup keeps one row, of other ties the smallest id
+(a null id is smaller than any).  An empty table passes every stage and gives no rows.
 """
 
 from __future__ import annotations
@@ -13,10 +16,9 @@ from pyspark.sql import functions as F
 
 from freqloom.llm.common import shared_dir
 from freqloom.llm.compression_quality import keep_good
-from freqloom.llm.jaccard import drop_near_copies
 from freqloom.llm.line_dedup import drop_lines
+from freqloom.llm.near_dedup import near_dedup
 from freqloom.llm.packing import pack_documents
-from freqloom.llm.simhash import near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +32,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates within three bits stays."""
-    return near_dedup(docs)
-
-
-def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 of their five-word shingles stays."""
-    return drop_near_copies(docs)
+    return near_dedup(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each segment of each document goes: bucket, shard and batch."""
-    return pack_documents(docs)
+    """The token ids of each document in segments, and where each goes: bucket, shard and batch."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("jaccard_dedup", similar), ("packing", packing)]
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("packing", packing)]
 #: Compressed sizes and XXH64 have no SQL.
 ORACLE_SQL = None
 
