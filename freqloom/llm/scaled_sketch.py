@@ -1,11 +1,12 @@
 """Document fingerprints: threshold-scaled sketches (built-in functions only).
 
-A sketch holds every shingle hash below a fixed fraction of the hash range, so sketches of parts merge
-by union, and the share of common hashes estimates containment however unequal two documents are.  A
-text with fewer than ``LEAST`` such hashes keeps its ``LEAST`` smallest instead (all, if it has no
-more): short texts then compare exactly.  Two sketches alone are compared below the lower of their
-limits, which may leave a short text no hash.  Where the texts are at hand, they are compared below the
-higher limit: the longer text is hashed again up to the limit that the shorter one's sketch reaches.
+A sketch's part ``low`` holds every shingle hash below a fixed fraction of the hash range, so sketches of
+parts merge by union, and the share of common hashes estimates containment however unequal two documents
+are.  A text with fewer than ``LEAST`` such hashes also has a part ``rest``, its next smallest hashes up
+to ``LEAST`` in all; ``low`` is whole in any case and ``rest`` merges too (see merged).  Two sketches
+alone are compared below the lower of their limits, which may leave a short text no hash.  Where the
+texts are at hand, they are compared below the higher limit: the longer text is hashed again up to the
+limit that the shorter one's sketch reaches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ WORDS, FRACTION, LEAST = 5, 8, 16
 #: Below this, of the signed 64-bit range, lies one hash of FRACTION.
 LIMIT = -(1 << 63) + (1 << 64) // FRACTION
 TOP = (1 << 63) - 1
-BLOCK_ROWS, MAX_BLOCKS = 500, 8192
+#: Rows of a block; blocks, whose first ids go through the driver; and of them in each range that is cut by itself.
+BLOCK_ROWS, MAX_BLOCKS, FINE = 500, 100_000, 32
 NO_ID = -(1 << 63)
 
 
@@ -41,31 +43,46 @@ def hashes(text: Column, words: int = WORDS) -> Column:
     return let(found, shingles)
 
 
+def of_hashes(h: Column) -> Column:
+    """The sketch (low, rest), both ascending, of hashes, which may repeat."""
+
+    def parts(low: Column) -> Column:
+        missing = F.greatest(F.lit(0), F.lit(LEAST) - F.size(low))
+        rest = F.when(missing > 0, F.slice(F.array_sort(F.array_distinct(F.filter(h, lambda x: x >= LIMIT))), F.lit(1), missing)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(low.alias("low"), rest.alias("rest"))
+
+    return let(F.array_sort(F.array_distinct(F.filter(h, lambda x: x < LIMIT))), parts)
+
+
 def sketch(text: Column, words: int = WORDS) -> Column:
-    """Sorted distinct hashes of the word shingles that the sketch keeps."""
+    """(low, rest) of the word shingles' hashes."""
+    return let(hashes(text, words), of_hashes)
 
-    def kept(h: Column) -> Column:
-        low = F.array_distinct(F.filter(h, lambda x: x < LIMIT))
-        return let(low, lambda a: F.when(F.size(a) >= LEAST, F.array_sort(a)).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, LEAST)))
 
-    return let(hashes(text, words), kept)
+def kept(a: Column) -> Column:
+    """All hashes of a sketch, ascending."""
+    return F.concat(a["low"], a["rest"])
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of the union of what two sketches were made of, exactly."""
+    return let(F.concat(kept(a), kept(b)), of_hashes)
 
 
 def limit_of(a: Column) -> Column:
     """The sketch holds all hashes of its text up to here."""
-    last = F.element_at(a, -1)
-    return F.when(F.size(a) < LEAST, F.lit(TOP)).when(last >= LIMIT, last).otherwise(F.lit(LIMIT))
+    return F.when(F.size(a["low"]) + F.size(a["rest"]) < LEAST, F.lit(TOP)).when(F.size(a["rest"]) > 0, F.element_at(a["rest"], -1)).otherwise(F.lit(LIMIT))
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other has: 0 to 1; equal sketches: 1; null: no estimate."""
 
-    def share(a: Column, b: Column) -> Column:
-        to = F.least(limit_of(a), limit_of(b))
-        few = F.least(*[F.size(F.filter(x, lambda h: h <= to)) for x in (a, b)])
-        return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).when(few > 0, F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / few))
+    def share(both: Column) -> Column:
+        x, y, to = both["a"], both["b"], both["to"]
+        few = F.least(*[F.size(F.filter(z, lambda h: h <= to)) for z in (x, y)])
+        return F.when(x == y, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(few > 0, F.least(F.lit(1.0), F.size(F.array_intersect(x, y)) / few))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda both: share(both["a"], both["b"]))
+    return let(F.struct(kept(a).alias("a"), kept(b).alias("b"), F.least(limit_of(a), limit_of(b)).alias("to")), share)
 
 
 def text_containment(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
@@ -73,48 +90,67 @@ def text_containment(a: Column, b: Column, text_a: Column, text_b: Column) -> Co
     to = F.greatest(limit_of(a), limit_of(b))
 
     def up_to(own: Column, text: Column) -> Column:
-        return F.when(limit_of(own) >= to, own).otherwise(let(to, lambda t: F.array_distinct(F.filter(hashes(text), lambda h: h <= t))))
+        return F.when(limit_of(own) >= to, kept(own)).otherwise(let(to, lambda t: F.array_distinct(F.filter(hashes(text), lambda h: h <= t))))
 
     def share(both: Column) -> Column:
         return F.size(F.array_intersect(both["a"], both["b"])) / F.least(F.size(both["a"]), F.size(both["b"]))
 
-    return F.when(limit_of(a) == limit_of(b), containment(a, b)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(F.struct(up_to(a, text_a).alias("a"), up_to(b, text_b).alias("b")), share))
+    empty = [F.size(x["low"]) + F.size(x["rest"]) == 0 for x in (a, b)]
+    return F.when(limit_of(a) == limit_of(b), containment(a, b)).when(empty[0] | empty[1], F.lit(0.0)).otherwise(let(F.struct(up_to(a, text_a).alias("a"), up_to(b, text_b).alias("b")), share))
 
 
 def as_string(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """The hashes of low in hexadecimal, and, if there is a rest, a plus sign and those of rest."""
+    low, rest = (F.array_join(F.transform(a[x], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "") for x in ("low", "rest"))
+    return F.when(F.size(a["rest"]) == 0, low).otherwise(F.concat(low, F.lit("+"), rest))
 
 
-def block_of(bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most __id, by binary search."""
+def bounds_of(ids: DataFrame, blocks: int, fine: int = FINE) -> list[int]:
+    """Ascending values of column id that cut its rows into about ``blocks`` like blocks.
+
+    Rows are dealt by range; each range is cut at quantiles by itself, so only the bounds meet.
+    """
+    if blocks < 2:
+        return []
+    dealt = ids.repartitionByRange(-(-blocks // fine), "id").select("id", F.spark_partition_id().alias("part"))
+    cuts = dealt.groupBy("part").agg(F.percentile_approx("id", [k / fine for k in range(fine)], 50 * fine).alias("cuts"))
+    return sorted({x for r in cuts.collect() for x in r["cuts"]})
+
+
+def block_of(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most value, by binary search."""
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    at = F.lit(bounds)
-    return F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(at, lo + s - 1) <= F.col("__id")), lo + s).otherwise(lo))
+    return F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(constant(bounds), lo + s - 1) <= value), lo + s).otherwise(lo))
+
+
+def constant(values: list[int]) -> Column:
+    """The values as one constant, which is folded when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with next_<column> of the row that follows in ascending order of ids (after the last: the first).
+def with_next(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, text, sketch, next_text, next_sketch) of rows (id, text): next in ascending order of ids (after the last: the first).
 
-    Rows are cut into blocks of ids at quantiles, so each block begins at a known id; only the first
-    rows of blocks (at most MAX_BLOCKS) are looked up across blocks.  One shuffle of the rows, no
-    global sort, no single task.
+    Rows are cut into blocks of ids, so each block begins at a known id; only the first rows of blocks
+    are looked up across blocks.  One shuffle of the texts, no global sort, no single task.  A block is
+    sorted and read in a stream; beyond MAX_BLOCKS blocks it grows instead of their number.
     """
-    docs = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    n, least = docs.agg(F.count(F.lit(1)), F.min("__id")).first()
-    blocks = min(MAX_BLOCKS, n // block_rows)
-    cuts = docs.agg(F.percentile_approx("__id", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
-    bounds = sorted(set(cuts) - {least})
-    docs = docs.withColumn("__block", block_of(bounds))
-    firsts = docs.where(F.col("__id").isin([least, *bounds]) if n else F.lit(False)).groupBy("__block").agg(F.min(F.struct("__id", *order, *[c for c in columns if c not in order])).alias("first"))
-    firsts = firsts.select(F.pmod(F.col("__block") - 1, F.lit(len(bounds) + 1)).alias("__block"), *[F.col("first")[c].alias(f"__first_{c}") for c in columns])
-    w = Window.partitionBy("__block").orderBy("__id", *order)
-    # lead() alone cannot tell a null from the end; the row number does.
-    led = docs.select("*", F.lead(F.struct(*columns)).over(w).alias("__next"))
-    both = led.join(firsts, "__block", "left")
-    out = both.select(*docs.columns, *[F.when(F.col("__next").isNull(), F.col(f"__first_{c}")).otherwise(F.col("__next")[c]).alias(f"next_{c}") for c in columns])
-    return out.drop("__id", "__block")
+    key = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
+    n, least = rows.agg(F.count(F.lit(1)), F.min(key)).first()
+    bounds = [x for x in bounds_of(rows.select(key.alias("id")), min(MAX_BLOCKS, n // block_rows)) if x > least] if n else []
+    rows = rows.select("id", "text", key.alias("key"), block_of(bounds, key).alias("block"))
+    starts = (F.col("key") == least) | (F.get(constant(bounds), F.col("block") - 1) == F.col("key")) if bounds else F.col("key") == F.lit(least)
+    firsts = rows.where(starts).groupBy("block").agg(F.min(F.struct("key", "text"))["text"].alias("first"))
+    firsts = firsts.select(F.pmod(F.col("block") - 1, F.lit(len(bounds) + 1)).alias("block"), "first", sketch(F.col("first")).alias("first_sketch"))
+    # Sketches are made where the texts have been dealt, so that they aren't moved themselves.
+    dealt = rows.repartition("block").withColumn("sketch", sketch(F.col("text")))
+    w = Window.partitionBy("block").orderBy("key", "text")
+    led = dealt.select("id", "text", "sketch", "block", F.lead(F.struct("text", "sketch")).over(w).alias("next"))
+    both = led.join(firsts, "block", "left")
+    at_end = F.col("next").isNull()
+    return both.select("id", "text", "sketch", F.when(at_end, F.col("first")).otherwise(F.col("next.text")).alias("next_text"), F.when(at_end, F.col("first_sketch")).otherwise(F.col("next.sketch")).alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -122,13 +158,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     edited is the text with its last quarter of code points replaced by the first as many of the next
     document (by ascending id; rows with one id follow each other by text; a null id comes first).
-    Null texts are empty; a lone document is its own next; other columns are ignored.
+    Null texts are empty; texts of any length are taken whole; repeated rows are each other's next; a
+    lone document is its own next; other columns are ignored, whatever their names; an empty table gives
+    no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(id_col, whole_text(text_col).alias("__text")).withColumn("__sketch", sketch(F.col("__text")))
-    n = F.char_length("__text")
+    wide = with_next(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), block_rows)
+    n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("__text", F.lit(1), n - cut), F.substring("next___text", F.lit(1), cut))
-    wide = with_next(rows, id_col, ["__text", "__sketch"], ["__text"], block_rows).select(id_col, n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("__sketch").alias("sketch"), F.col("next___sketch").alias("next_sketch"), text_containment(F.col("__sketch"), F.col("next___sketch"), F.col("__text"), F.col("next___text")).alias("near_next"), F.col("__text"))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    wide = wide.select("id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch", text_containment(F.col("sketch"), F.col("next_sketch"), F.col("text"), F.col("next_text")).alias("near_next"))
     wide = wide.withColumn("edited_sketch", sketch(F.col("edited")))
-    return wide.withColumn("near_edited", text_containment(F.col("sketch"), F.col("edited_sketch"), F.col("__text"), F.col("edited"))).drop("__text")
+    near = text_containment(F.col("sketch"), F.col("edited_sketch"), F.col("text"), F.col("edited"))
+    return wide.select(F.col("id").alias(id_col), "n_chars", "edited", "sketch", "next_sketch", "near_next", "edited_sketch", near.alias("near_edited"))

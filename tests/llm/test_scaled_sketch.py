@@ -29,10 +29,19 @@ def brute_sketch(text):
     if not words:
         return []
     h = {hash5(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {hash5([" ".join(words)])}
+    return brute_of(h)
+
+
+def brute_of(h):
     low = sorted(x for x in h if x < K.LIMIT)
     return low if len(low) >= K.LEAST else sorted(h)[: K.LEAST]
 
 
+def parts(sketch):
+    """A brute sketch as (low, rest)."""
+    return ([x for x in sketch if x < K.LIMIT], [x for x in sketch if x >= K.LIMIT])
+
+
 def test_sketch_and_edited_text_equal_brute_force(spark):
     random.seed(5)
     texts = ["", None, "one two", "a b c d e", "  a\tb\nc  d e f "] + [" ".join(random.choice("abcdefgh") + str(random.randint(0, 400)) for _ in range(random.randint(1, 900))) for _ in range(60)]
@@ -43,7 +52,7 @@ def test_sketch_and_edited_text_equal_brute_force(spark):
         edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
         r = got[10 + k]
         assert (r.n_chars, r.edited) == (len(t), edited)
-        assert r.sketch == brute_sketch(t) and r.edited_sketch == brute_sketch(edited) and r.next_sketch == brute_sketch(n)
+        assert [tuple(x) for x in (r.sketch, r.edited_sketch, r.next_sketch)] == [parts(brute_sketch(x)) for x in (t, edited, n)]
 
 
 def near(spark, a, b):
@@ -61,12 +70,24 @@ def test_containment(spark):
     assert 0.4 < near(spark, whole, half) < 0.6
 
 
-def test_sketches_merge_by_union(spark):
+def test_sketches_merge_exactly(spark):
+    """The sketch of a union of shingles is that of the merged sketches; its low part is the union of theirs."""
     random.seed(7)
-    a, b = ([f"{c}{random.randint(0, 10**6)}" for _ in range(2000)] for c in "ab")
-    sa, sb = brute_sketch(" ".join(a)), brute_sketch(" ".join(b))
-    both = set(brute_sketch(" ".join(a + b)))
-    assert set(sa) | set(sb) <= both and len(both) - len(set(sa) | set(sb)) <= 4
+    rows = []
+    for sizes in ((2000, 2000), (3, 5), (0, 9), (40, 60), (100, 900), (1, 3000), (0, 0)):
+        a, b = ({random.randint(-(1 << 63), (1 << 63) - 1) for _ in range(n)} for n in sizes)
+        b |= set(list(a)[: len(a) // 2])
+        rows.append((list(a), list(b)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    made = [K.of_hashes(F.col(x)) for x in "ab"]
+    for (a, b), r in zip(rows, df.select(K.merged(*made).alias("m"), *[x.alias(n) for x, n in zip(made, "ab")]).collect()):
+        assert tuple(r.m) == parts(brute_of(set(a) | set(b)))
+        assert r.m.low == sorted(set(r.a.low) | set(r.b.low)) and r.a.low == sorted(x for x in a if x < K.LIMIT)
+
+
+def test_fingerprint_strings(spark):
+    r = spark.range(1).select(*[K.as_string(K.of_hashes(F.lit(x))) for x in ([K.LIMIT, K.LIMIT + 1], [K.LIMIT - 1, 5], list(range(K.LIMIT - 20, K.LIMIT + 1)), [])], K.as_string(K.sketch(F.lit("")))).first()
+    assert [len(x) for x in r] == [33, 33, 320, 0, 0] and r[0] == "+a000000000000000a000000000000001"
 
 
 def test_awkward_rows(spark):
@@ -85,8 +106,23 @@ def test_awkward_rows(spark):
 
 def test_block_search(spark):
     bounds = [3, 8, 9, 20]
-    rows = spark.range(25).withColumnRenamed("id", "__id").select("__id", K.block_of(bounds).alias("b")).collect()
-    assert all(r.b == sum(x <= r["__id"] for x in bounds) for r in rows)
+    rows = spark.range(25).select("id", K.block_of(bounds, F.col("id")).alias("b")).collect()
+    assert all(r.b == sum(x <= r["id"] for x in bounds) for r in rows)
+
+
+def test_blocks_grow_with_the_rows(spark):
+    for n in (5_000, 40_000):
+        bounds = K.bounds_of(spark.range(n).select((F.col("id") * F.col("id")).alias("id")), n // 100)
+        sizes = [r[1] for r in spark.range(n).groupBy(K.block_of(bounds, F.col("id") * F.col("id"))).count().collect()]
+        assert n // 130 < len(sizes) < n // 70 and max(sizes) < 400
+
+
+def test_only_texts_are_moved(spark):
+    plan = K.fingerprints(docs(spark, ["a b c d e f"] * 40), block_rows=5)._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    moved = [x for x in re.findall(r"Exchange hashpartitioning\(block[^\n]*", plan)]
+    assert len(re.findall(r"\bWindow\b", plan)) == 1 and 1 <= len(moved) <= 3
 
 
 def test_short_passage_in_a_long_text(spark):
