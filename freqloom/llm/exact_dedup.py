@@ -3,12 +3,13 @@
 Each text becomes one digest row, written once to shared storage.  A frequent-items sketch of the
 Misra-Gries family finds every digest that holds more than ``1 / slots`` of the rows; those few are
 counted exactly (with map-side combining) and broadcast, so their rows never meet in one task.  What
-remains has at most ``rows / slots`` copies per digest and goes through one ordinary shuffle.
+remains has at most ``rows / slots`` copies per digest: its digests are counted by ordinary shuffling,
+with map-side combining too, and joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, small_batches, whole_text
@@ -49,7 +50,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = cut(frequent(rows, slots, tracked))
     out = (id_col, F.col("best.id").alias("keep_id"), "group_size", (F.col("__key") == F.col("best")).alias("kept"), "text_sha256")
     removed_early = rows.join(F.broadcast(heavy), "text_sha256").select(*out)
-    one = Window.partitionBy("text_sha256")
     rest = rows.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    rest = rest.select("*", F.count(F.lit(1)).over(one).alias("group_size"), F.max("__key").over(one).alias("best")).select(*out)
-    return removed_early.unionByName(rest)
+    winners = rest.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max("__key").alias("best"))
+    return removed_early.unionByName(rest.join(winners, "text_sha256").select(*out))
