@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,30 @@ def rank_by_value(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return rows.join(ranks, value).select(key, out)
 
 
+def bucket_regression(buckets: DataFrame, bins: int = 5) -> DataFrame:
+    """(slope, intercept, r) of bucket means over bucket centres: least squares over all buckets, then, without the
+    bucket of the largest centre, the correlation of log edges and means of log bins.
+
+    buckets: (lo, hi, mean), a few dozen rows.
+    """
+    points = buckets.select(((F.col("lo") + F.col("hi")) / 2).alias("n"), F.col("mean").alias("v"))
+    line = points.agg(F.regr_slope("v", "n").alias("slope"), F.regr_intercept("v", "n").alias("intercept"))
+    last = points.agg(F.max(F.struct("n", "v")).alias("last"))
+    rest = points.join(F.broadcast(last)).where(F.struct("n", "v") < F.col("last")).select("n", "v")
+    r = log_bins(rest, "n", "v", bins).agg(F.corr(F.log("edge"), F.col("mean")).alias("r"))
+    return line.join(F.broadcast(r)).select("slope", "intercept", "r")
+
+
+def with_p(rows: DataFrame, r: str, n: str) -> DataFrame:
+    """rows with p, the two-sided p-value of a correlation r of n pairs; null without r."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else pearson_p(a, int(b)) for a, b in zip(r, n)], dtype="float64")
+
+    return rows.withColumn("p", p(F.col(r).cast("double"), F.col(n)))
+
+
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
     if not 0 < x < 1:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
-def tokens(text: Column) -> Column:
-    """Runs of a-z of the lower-cased text; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.array().cast("array<string>"))
+def tokens(text: Column, keep_case: bool = False) -> Column:
+    """Runs of a-z of the lower-cased text (of A-Z and a-z of the text as it is, to keep the case); a null text has none."""
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)) if keep_case else F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def clean(text: Column) -> Column:

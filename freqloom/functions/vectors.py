@@ -23,8 +23,12 @@ def sigmoid(x: Column) -> Column:
 
 
 def sign_bits(a: Column) -> Column:
-    """The first 64 signs as a 64-bit integer, the first sign highest: a bit is set if the element is positive."""
-    return F.aggregate(F.slice(F.transform(a, lambda x, i: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), 1, 64), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    """The signs of up to 64 elements as a 64-bit integer, the first sign highest: a bit is set if the element is positive.
+
+    More elements are an error: project them to 64 first.
+    """
+    bits = F.aggregate(F.transform(a, lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    return F.when(F.size(a) > 64, F.raise_error(F.lit("a 64-bit hash takes up to 64 signs")).cast("long")).otherwise(bits)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.vectors import hamming
+from freqloom.sources.corpora import dense_index
+from freqloom.sources.storage import cut
 
 RADIUS, SALTS = 10, 8
 
 
+def representatives(rows: DataFrame, group: str, id_col: str, bits: str) -> DataFrame:
+    """(group, id, bits, copies): the smallest id of each hash of a group, and how many rows have the hash."""
+    least = rows.groupBy(group, bits).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
+    return least.select(group, id_col, bits, "copies")
+
+
+def copies_of(rows: DataFrame, group: str, id_col: str, bits: str) -> DataFrame:
+    """(group, id, rep): the representative of every row's hash."""
+    return rows.join(representatives(rows, group, id_col, bits).select(group, bits, F.col(id_col).alias("rep")), [group, bits]).select(group, id_col, "rep")
+
+
 def hash_pairs(rows: DataFrame, group: str, id_col: str, bits: str, radius: int = RADIUS, salts: int = SALTS) -> DataFrame:
     """(group, a, b, dist) of ids a < b of one group with hashes at most ``radius`` bits apart.
 
+    Equal hashes of a group are one class: only its smallest id stands in pairs (copies_of has the
+    members), so k copies give no k * k pairs.
+
     Up to the default radius, hashes that near share one of radius + 1 bit bands, so candidates meet in
     an equi-join on (group, band, value); a larger radius compares whole groups.  Either way one side
     is dealt over salts, so a large group spreads over tasks.
     """
-    r = rows.select(group, F.col(id_col).alias("id"), F.col(bits).alias("h"))
+    r = representatives(rows, group, id_col, bits).select(group, F.col(id_col).alias("id"), F.col(bits).alias("h"))
     if radius <= RADIUS:
         n = radius + 1
         edges = [64 * i // n for i in range(n + 1)]
@@ -34,31 +50,29 @@ def hash_pairs(rows: DataFrame, group: str, id_col: str, bits: str, radius: int
 def greedy_survivors(rows: DataFrame, pairs: DataFrame, group: str, id_col: str) -> DataFrame:
     """Rows that stay when, in order of id, each row still there removes all its later and earlier neighbours.
 
+    pairs: neighbours a, b; of rows that are copies of each other give only the smallest id, which
+    stays or goes for all of them (the others always go).
+
     The sequential choice is found in parallel rounds: a row stays once all its smaller neighbours are
     removed, and removes its neighbours.  Every round decides at least the smallest open row of each
     connected part; only rows with neighbours take part.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="freqloom-"))
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).checkpoint()
+    edges = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")))
     removed = None
     while not edges.isEmpty():
         # A row without a smaller open neighbour stays; its neighbours go.
         stay = edges.groupBy("x").agg(F.min("y").alias("least")).where("x < least").select("x")
-        gone = edges.join(stay, "x", "left_semi").select(F.col("y").alias("x")).distinct().checkpoint()
+        gone = cut(edges.join(stay, "x", "left_semi").select(F.col("y").alias("x")).distinct())
         removed = gone if removed is None else removed.union(gone)
         done = gone.union(stay)
-        edges = edges.join(done, "x", "left_anti").join(done.select(F.col("x").alias("y")), "y", "left_anti").select("x", "y").checkpoint()
+        edges = cut(edges.join(done, "x", "left_anti").join(done.select(F.col("x").alias("y")), "y", "left_anti").select("x", "y"))
     return rows if removed is None else rows.join(removed.select(F.col("x").alias(id_col)), id_col, "left_anti")
 
 
 def balance(rows: DataFrame, group: str, order: list, most: int, more_than: int) -> DataFrame:
     """``most`` rows of each group with over ``more_than`` rows, in a fixed random order (window group limit)."""
     large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > more_than).select(group)
-    return k_shot(rows.join(F.broadcast(large), group, "left_semi"), group, order, most)
+    return k_shot(rows.join(large, group, "left_semi"), group, order, most)
 
 
 def k_shot(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -83,11 +97,32 @@ def long_tail(freq: DataFrame, n: str = "df") -> DataFrame:
     return runs.select((before + 1).alias("rank"), (F.col(n) / F.max(n).over(Window.partitionBy())).alias("norm_freq"), "terms")
 
 
+def several_words(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose name has a space."""
+    return rows.where(F.col(name).contains(" "))
+
+
+def bucket_answers(entities: DataFrame, answers: DataFrame, id_col: str, n: str, most: int = 46, size: int = 1000, least: int = 100) -> DataFrame:
+    """(bucket, n, lo, hi, mean, answers): mean of all answers about the entities of each of the first ``most`` buckets.
+
+    Entities fall into quantile_buckets by descending count (ties by id); answers: (id, answer), of all
+    participants together.
+    """
+    buckets = quantile_buckets(entities, n, size, least).where(F.col("bucket") < most)
+    ends = buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))  # one row of ``most`` numbers
+    starts = F.transform("b", lambda x, i: F.aggregate(F.slice(F.col("b"), 1, i), F.lit(0).cast("long"), lambda s, y: s + y["n"]) + x["n"])
+    ranked = dense_index(entities.where(F.col(n) > 0).select(id_col, (-F.col(n)).alias("less")), ["less", id_col])
+    placed = ranked.join(F.broadcast(ends.select(starts.alias("ends")))).select(id_col, F.size(F.filter("ends", lambda e: e <= F.col("idx"))).cast("long").alias("bucket"))
+    pooled = placed.join(answers, id_col).groupBy("bucket").agg(F.avg("answer").alias("mean"), F.count(F.lit(1)).alias("answers"))
+    return buckets.join(pooled, "bucket").select("bucket", "n", "lo", "hi", "mean", "answers")
+
+
 def quantile_buckets(freq: DataFrame, n: str = "df", size: int = 1000, least: int = 100) -> DataFrame:
     """(bucket, n, lo, hi): rows by descending count in buckets; a bucket closes at ``size`` rows, or before a
     lower count once it has ``least`` rows.  Zero counts and the last open bucket are left out.
 
-    An order-dependent fold, over the small table of distinct counts.
+    An order-dependent fold in one task, over the table of distinct counts: d distinct counts sum to at
+    least d * d / 2, so 10^12 postings have 1.4 million of them at most.
     """
     import pandas as pd
 

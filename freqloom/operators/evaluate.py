@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.vectors import dot, sigmoid
+from freqloom.sources.storage import cut
 
 #: Rows of a block of vectors: a similarity tile has BLOCK * BLOCK cells.
 BLOCK = 2048
@@ -28,11 +30,56 @@ def prototype_arrays(vectors: DataFrame, label: str = "label", vector: str = "em
     return rows.select(label, F.transform("p", lambda x: x["value"]).alias("proto"))
 
 
+def class_blocks(classes: DataFrame, rows: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The classes (label, proto) in blocks of about ``rows``: labels, ascending, and a matrix; only one block is on the driver at a time."""
+    total = classes.count()
+    for k in range(-(-total // rows)):
+        part = classes.where(F.pmod(F.xxhash64("label"), F.lit(-(-total // rows))) == k) if total > rows else classes
+        found = part.select("label", "proto").toPandas().sort_values("label")
+        if len(found):
+            yield found["label"].to_numpy(), np.stack(found["proto"].to_numpy()).astype(np.float64)
+
+
+def by_classes(vectors: DataFrame, classes: DataFrame, id_col: str, vector: str, said: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, truth, label, sim): for each vector what ``said`` makes of its similarities to a block of classes.
+
+    said: from labels and a matrix (vectors x labels) to two matrices (vectors x any): labels and similarities.
+    """
+    src = vectors.select(F.col(id_col).alias("id"), F.col("label").alias("truth"), F.col(vector).alias("v"))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    out = f"id {kinds['id']}, truth {kinds['truth']}, label {classes.schema['label'].dataType.simpleString()}, sim double"
+
+    def against(labels: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    own, sims = said(labels, np.stack(batch["v"].to_numpy()).astype(np.float64) @ matrix.T)
+                    yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), own.shape[1]), "truth": np.repeat(batch["truth"].to_numpy(), own.shape[1]), "label": own.ravel(), "sim": sims.ravel()})
+
+        return src.mapInPandas(run, out)
+
+    parts = [against(*block) for block in class_blocks(classes)]
+    found = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], out)
+    return found.select(F.col("id").alias(id_col), "truth", "label", "sim")
+
+
 def class_similarity(vectors: DataFrame, classes: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
-    """(id, true label, label, sim) of every vector to every class; classes are few and travel as one array."""
-    table = classes.agg(F.sort_array(F.collect_list(F.struct("label", "proto"))).alias("classes"))
-    rows = vectors.select(id_col, F.col("label").alias("truth"), vector).join(F.broadcast(table))
-    return rows.select(id_col, "truth", F.explode("classes").alias("c"), vector).select(id_col, "truth", F.col("c.label").alias("label"), dot(F.col(vector), F.col("c.proto")).alias("sim"))
+    """(id, true label, label, sim) of every vector to every class: matrix products of batches of vectors and blocks of classes."""
+    return by_classes(vectors, classes, id_col, vector, lambda labels, sims: (np.broadcast_to(labels, sims.shape), sims))
+
+
+def best_class(vectors: DataFrame, classes: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
+    """(id, truth, label): the class nearest to each vector; ties go to the lowest label."""
+
+    def best(labels: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sims = np.round(sims, 9)
+        at = sims.argmax(1)[:, None]  # the first of the largest, and labels ascend
+        return labels[at], np.take_along_axis(sims, at, 1)
+
+    found = by_classes(vectors, classes, id_col, vector, best)
+    if classes.count() > BLOCK:
+        found = found.groupBy(id_col, "truth").agg(F.max(F.struct("sim", (-F.col("label")).alias("less"))).alias("m")).select(id_col, "truth", (-F.col("m.less")).alias("label"))
+    return found.select(id_col, "truth", "label")
 
 
 def image_probs(vectors: DataFrame, scale: float = 6.0, id_col: str = "vec_id") -> DataFrame:
@@ -43,9 +90,7 @@ def image_probs(vectors: DataFrame, scale: float = 6.0, id_col: str = "vec_id")
 
 def zero_shot(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """(label, acc): share of vectors whose best class is theirs, in percent, for each label and (null) for all; ties go to the lowest label."""
-    table = prototype_arrays(vectors).agg(F.sort_array(F.collect_list(F.struct("label", "proto"))).alias("classes"))
-    best = F.array_max(F.transform("classes", lambda c: F.struct(F.round(dot(F.col("embedding"), c["proto"]), 9).alias("s"), (-c["label"]).alias("l"))))
-    hit = vectors.join(F.broadcast(table)).select("label", (-best["l"] == F.col("label")).cast("double").alias("hit"))
+    hit = best_class(vectors, prototype_arrays(vectors), id_col).select(F.col("truth").alias("label"), (F.col("truth") == F.col("label")).cast("double").alias("hit"))
     return hit.rollup("label").agg(F.round(F.avg("hit") * 100, 6).alias("acc"))
 
 
@@ -56,38 +101,48 @@ def softmax_weights(sims: DataFrame, id_col: str, scale: float = 1.0) -> DataFra
     return sims.select(id_col, "label", e.alias("e")).select(id_col, "label", (F.col("e") / F.sum("e").over(w)).alias("weight"))
 
 
+def packed_blocks(rows: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of about BLOCK (columns as arrays, and the block's number), and how many blocks."""
+    n = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select(*columns, F.pmod(F.xxhash64(columns[0]), F.lit(n)).alias(name))
+    return dealt.groupBy(name).agg(*[F.collect_list(c).alias(c) for c in columns]), n
+
+
+def tiles(asked: DataFrame, held: DataFrame, ask: list[str], hold: list[str]) -> DataFrame:
+    """Every block of the asked rows with every block of the held ones, a row for each: (ask, hold) as arrays.
+
+    Blocks meet by equality of both numbers, so a tile is a key of its own and no side is broadcast.
+    """
+    (a, n), (h, m) = packed_blocks(asked, ask, "ask_block"), packed_blocks(held, hold, "hold_block")
+    a = a.withColumn("hold_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    h = h.withColumn("ask_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return a.join(h, ["ask_block", "hold_block"]).select(*ask, *hold)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(q, rank, cand, sim): the k nearest vectors of each query, the query itself left out; ties by id.
 
-    Queries (a bounded set) go to every task as one matrix; each task keeps its k best per query, so the
-    shuffle carries k rows per query and task, never the similarity matrix.
+    Blocks of queries meet blocks of vectors in matrix products; each tile gives k rows per query, never
+    its similarities.
     """
-    rows = queries.select(id_col, vector).collect()
-    ids = np.array([r[0] for r in rows], np.int64)
-    matrix = np.array([r[1] for r in rows], np.float64)
+    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).alias("qv"))
+    held = vectors.select(F.col(id_col).cast("long").alias("cand"), F.col(vector).alias("cv"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            cand = batch[id_col].to_numpy(np.int64)
-            sim = np.round(matrix @ np.stack(batch[vector].to_numpy()).astype(np.float64).T, 9)
-            sim[ids[:, None] == cand[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(cand, sim.shape), -sim), axis=1)[:, :k]
-            out = pd.DataFrame({"q": np.repeat(ids, order.shape[1]), "cand": cand[order].ravel(), "sim": np.take_along_axis(sim, order, 1).ravel()})
-            yield out[np.isfinite(out["sim"])]
-
-    near = vectors.select(id_col, vector).mapInPandas(run, "q long, cand long, sim double")
+            for r in batch.itertuples():
+                q, cand = np.asarray(r.q, np.int64), np.asarray(r.cand, np.int64)
+                sim = np.round(np.stack(r.qv).astype(np.float64) @ np.stack(r.cv).astype(np.float64).T, 9)
+                sim[q[:, None] == cand[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(cand, sim.shape), -sim), axis=1)[:, :k]
+                out = pd.DataFrame({"q": np.repeat(q, order.shape[1]), "cand": cand[order].ravel(), "sim": np.take_along_axis(sim, order, 1).ravel()})
+                yield out[np.isfinite(out["sim"])]
+
+    near = tiles(asked, held, ["q", "qv"], ["cand", "cv"]).mapInPandas(run, "q long, cand long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "cand"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "rank", "cand", F.round("sim", 6).alias("sim"))
 
 
-def blocks(rows: DataFrame, id_col: str, vector: str, extra: list[str]) -> DataFrame:
-    """Vectors dealt into blocks of about BLOCK rows."""
-    n = max(1, -(-rows.count() // BLOCK))
-    return rows.select(id_col, vector, *extra, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"))
-
-
 def true_ranks(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, rank): 1 + the candidates nearer than the query's best own one.
 
@@ -97,19 +152,17 @@ def true_ranks(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     own = queries.alias("q").join(candidates.alias("c"), "own_id").select("query_id", F.struct(F.round(dot(F.col("q.v"), F.col("c.v")), 9).alias("s"), (-F.col("cand_id")).alias("c")).alias("m"))
     best = own.groupBy("query_id").agg(F.max("m").alias("m")).select("query_id", F.col("m.s").alias("own_sim"), (-F.col("m.c")).alias("own_cand"))
-    asked = blocks(queries.join(best, "query_id"), "query_id", "v", ["own_sim", "own_cand"])
-    held = blocks(candidates, "cand_id", "v", [])
-    packed = held.groupBy("block").agg(F.collect_list("cand_id").alias("ids"), F.collect_list("v").alias("vs")).drop("block")
-    tiles = asked.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("query_id", "v", "own_sim", "own_cand")]).join(packed)
+    asked = queries.join(best, "query_id").select("query_id", "v", "own_sim", "own_cand")
+    held = candidates.select("cand_id", F.col("v").alias("cv"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                sims = np.round(np.stack(r.v).astype(np.float64) @ np.stack(r.vs).astype(np.float64).T, 9)
-                s, c, ids = np.asarray(r.own_sim)[:, None], np.asarray(r.own_cand)[:, None], np.asarray(r.ids)[None, :]
+                sims = np.round(np.stack(r.v).astype(np.float64) @ np.stack(r.cv).astype(np.float64).T, 9)
+                s, c, ids = np.asarray(r.own_sim)[:, None], np.asarray(r.own_cand)[:, None], np.asarray(r.cand_id)[None, :]
                 yield pd.DataFrame({"query_id": r.query_id, "nearer": ((sims > s) | ((sims == s) & (ids < c))).sum(1)})
 
-    counted = tiles.mapInPandas(run, "query_id long, nearer long")
+    counted = tiles(asked, held, ["query_id", "v", "own_sim", "own_cand"], ["cand_id", "cv"]).mapInPandas(run, "query_id long, nearer long")
     return counted.groupBy("query_id").agg((F.sum("nearer") + 1).alias("rank"))
 
 
@@ -120,9 +173,20 @@ def recall(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: list[str] | N
 
 
 def average_precision(scored: DataFrame, group: str, eps: float = 1e-8) -> DataFrame:
-    """(group, ap) from (group, id, score, hit): precision at each hit in descending order of score (ties: larger id first)."""
-    w = Window.partitionBy(group).orderBy(F.desc("score"), F.desc("id"))
-    ranked = scored.select(group, "hit", F.row_number().over(w).alias("rank"), F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    """(group, ap) from (group, id, score, hit): precision at each hit in descending order of score (ties: larger id first).
+
+    Rows are range-partitioned by group and score, so a group of any size spreads over tasks; ranks and
+    running hits within a partition are shifted by the sums of the partitions before.
+    """
+    order = (F.desc("score"), F.desc("id"))
+    dealt = scored.select(group, "id", "score", "hit").repartitionByRange(F.col(group), *order)
+    placed = cut(dealt.withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part", group).orderBy(*order)
+    local = placed.select("part", group, "hit", F.row_number().over(w).alias("rank"), F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    sizes = placed.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select("part", group, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "h")])
+    ranked = local.join(sizes, ["part", group]).select(group, "hit", (F.col("rank") + F.col("n")).alias("rank"), (F.col("cum") + F.col("h")).alias("cum"))
     return ranked.groupBy(group).agg((F.sum(F.col("hit") * F.col("cum") / F.col("rank")) / (F.sum("hit") + eps)).alias("ap"))
 
 

@@ -15,6 +15,28 @@ def parse_stats(rows: DataFrame, json_col: str) -> DataFrame:
     return first.select("instance_id", F.posexplode("stats").alias("pos", "s")).select("instance_id", "pos", F.col("s.name.name").alias("metric"), F.col("s.sum").alias("sum"), F.col("s.mean").alias("mean"))
 
 
+def read_prompts(rows: DataFrame, json_col: str) -> DataFrame:
+    """(id, prompt) of lists [{id, input: {text}}]; of repeated ids the first counts."""
+    items = rows.select(F.posexplode(F.from_json(json_col, "array<struct<id: string, input: struct<text: string>>>")).alias("at", "p"))
+    return items.groupBy(F.col("p.id").alias("id")).agg(F.min_by("p.input.text", "at").alias("prompt"))
+
+
+def task_name(file: Column) -> Column:
+    """The task in a score file's name: its last two parts between underscores, up to the first dot."""
+    parts = F.split(file, "_")
+    return F.split(F.concat_ws("_", F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1)), r"\.")[0]
+
+
+def score_rows(concepts: DataFrame, scores: DataFrame) -> DataFrame:
+    """(concept, rows): each concept's score vectors in order of their index; an index out of range is left out.
+
+    concepts: (concept, idx); scores: (idx, scores array).  A concept without any index in range has null.
+    """
+    met = concepts.join(scores, "idx", "left").groupBy("concept")
+    rows = met.agg(F.sort_array(F.collect_list(F.when(F.col("scores").isNotNull(), F.struct("idx", "scores")))).alias("r"))
+    return rows.select("concept", F.when(F.size("r") > 0, F.transform("r", lambda x: x["scores"])).alias("rows"))
+
+
 def metric_range(stats: DataFrame, order: str, metric: str = "metric") -> DataFrame:
     """(metric, first, last): where a metric begins and ends in the list."""
     return stats.groupBy(metric).agg(F.min(order).alias("first"), F.max(order).alias("last"))

@@ -18,6 +18,11 @@ def surface(text: Column) -> Column:
     return tokens(text)
 
 
+def cased(text: Column) -> Column:
+    """All tokens with their case: capitalised ones are found by no lower-cased query term."""
+    return tokens(text, keep_case=True)
+
+
 def nouns(text: Column) -> Column:
     """Noun proxy: lemmas of tokens of two letters or more that are no stop words; a tagger can replace it."""
     kept = F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
@@ -76,6 +81,20 @@ def remap_by_caption(shard: DataFrame, corpus: DataFrame) -> DataFrame:
     return shard.join(last, "text").select("sample_id", "row_id")
 
 
+def concept_maps(captions: DataFrame, id_col: str, pos: str, caption: str, least: int = 10, analyzer: Analyzer = nouns) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """{"captions": (rows, every), "images": (rows, every)}: which captions and images hold which kept concept.
+
+    rows: (id, pos, concept) and (id, concept), each once, of concepts held by at least ``least`` images;
+    read by concept or by id they are the four maps.  every: all captions and images, those without a
+    kept concept included.
+    """
+    said = captions.select(id_col, pos, F.explode(F.array_distinct(analyzer(F.col(caption)))).alias("concept"))
+    images = said.select(id_col, "concept").distinct()
+    kept = images.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("concept")
+    every = captions.select(id_col, pos)
+    return {"captions": (said.join(kept, "concept"), every), "images": (images.join(kept, "concept"), every.select(id_col).distinct())}
+
+
 def by_sample(postings: DataFrame, value: str, out: str) -> DataFrame:
     """The index turned round: each sample's distinct concepts."""
     return postings.groupBy("sample_id").agg(F.sort_array(F.collect_set(value)).alias(out))

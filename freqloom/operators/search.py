@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freqloom.functions.text import query_terms
+from freqloom.functions.text import case_variants, concept_key, query_terms
 
 from .index import Analyzer, surface, unigram_postings
 
 #: Up to this many query terms travel inside the plan; beyond, terms and postings are joined.
 INLINE_TERMS = 20_000
+#: And up to so many terms of one concept have a bit each.
+MASK = 63
 
 
 def concept_terms(concepts: DataFrame) -> DataFrame:
@@ -21,26 +25,26 @@ def concept_terms(concepts: DataFrame) -> DataFrame:
 def text_search(corpus: DataFrame, concepts: DataFrame, analyzer: Analyzer = surface, id_col: str = "sample_id", text_col: str = "text") -> DataFrame:
     """(concept_id, concept, sample_id): texts that hold all known terms of a concept.
 
-    A term no text holds is dropped from its concept; a concept without known terms has no hits.  The
-    query's terms are a bounded vocabulary, so each row is cut to the query terms it holds and matched
-    on the spot: the only shuffle is the count of known terms.
+    A term no text holds is dropped from its concept; a concept without known terms has no hits.  Each
+    row is cut to the query's terms it holds and gives one row for each concept that has one of them: a
+    mask of the concept's terms.  The masks are brought together by (concept, sample), mostly in their
+    own task, and a concept's known terms are those in any mask.  The corpus is read once.
     """
-    wanted = concept_terms(concepts).select("concept_id", "concept", "term").limit(INLINE_TERMS + 1).collect()
-    if len(wanted) > INLINE_TERMS:
+    terms = concept_terms(concepts)
+    few = terms.select("concept_id", "term").limit(INLINE_TERMS + 1).collect()
+    sizes = Counter(r.concept_id for r in few)
+    if len(few) > INLINE_TERMS or max(sizes.values(), default=0) > MASK:
         return text_search_postings(unigram_postings(corpus, analyzer, id_col, text_col), concepts)
-    vocabulary = sorted({r.term for r in wanted})
-    terms = F.filter(analyzer(F.col(text_col)), lambda t: t.isin(vocabulary))  # a hash set, built once
-    held = corpus.select(F.col(id_col).alias("sample_id"), F.array_distinct(terms).alias("held")).where(F.size("held") > 0).persist()
-    known = {r[0] for r in held.select(F.explode("held").alias("t")).distinct().collect()}  # no larger than the vocabulary
-    needs: dict[tuple[int, str], list[str]] = {}
-    for r in wanted:
-        if r.term in known:
-            needs.setdefault((r.concept_id, r.concept), []).append(r.term)
-    if not needs:
-        return held.select(F.lit(0).cast("long").alias("concept_id"), F.lit("").alias("concept"), "sample_id").limit(0)
-    queries = F.array(*[F.struct(F.lit(i).cast("long").alias("concept_id"), F.lit(c).alias("concept"), F.lit(sorted(t)).alias("terms")) for (i, c), t in sorted(needs.items())])
-    found = held.select("sample_id", F.explode(F.filter(queries, lambda q: F.size(F.array_except(q["terms"], F.col("held"))) == 0)).alias("q"))
-    return found.select("q.concept_id", "q.concept", "sample_id")
+    vocabulary = sorted({r.term for r in few})
+    held = F.filter(analyzer(F.col(text_col)), lambda t: t.isin(vocabulary))  # a hash set, built once
+    postings = corpus.select(F.explode(F.array_distinct(held)).alias("term"), F.col(id_col).alias("sample_id"))
+    nth = F.row_number().over(Window.partitionBy("concept_id").orderBy("term")) - 1
+    numbered = terms.select("concept_id", "term", F.call_function("shiftleft", F.lit(1).cast("long"), nth).alias("bit"))
+    met = postings.join(F.broadcast(numbered), "term")  # at most INLINE_TERMS rows
+    masks = met.groupBy("concept_id", "sample_id").agg(F.bit_or("bit").alias("mask"))
+    known = masks.groupBy("concept_id").agg(F.bit_or("mask").alias("known"))
+    hits = masks.join(F.broadcast(known), "concept_id").where("mask = known")
+    return hits.join(F.broadcast(concepts.select("concept_id", "concept")), "concept_id").select("concept_id", "concept", "sample_id")
 
 
 def text_search_postings(postings: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -86,3 +90,23 @@ def misalignment(text_hits: DataFrame, image_hits: DataFrame, corpus_size: DataF
     total = samples.agg(F.coalesce(F.sum(F.col("t") * F.col("i") * (1 - F.col("both"))), F.lit(0)).alias("n_mis"), F.sum("t").alias("n_text"), F.sum("i").alias("n_image"))
     larger = F.greatest("n_text", "n_image")
     return total.join(F.broadcast(corpus_size)).select("n_mis", F.round(F.col("n_mis") / larger, 6).alias("degree_extracted"), F.round(F.col("n_mis") / F.col("n"), 6).alias("degree_fixed"))
+
+
+def tag_of(concepts: DataFrame, tags: DataFrame) -> DataFrame:
+    """(concept_id, concept, tag): the tag under which each concept's images are indexed.
+
+    tags: the index's distinct tags.  A concept's own spelling comes first, then its case variants in
+    their order, then any tag with the same key (lower case, underscores as spaces), the least of them;
+    a concept without any has a null tag.  Tags and variants meet by equality.
+    """
+    spelled = concepts.select("concept_id", "concept", F.posexplode(F.array_union(F.array("concept"), case_variants(F.col("concept")))).alias("nth", "tag"))
+    exact = spelled.join(tags.select("tag"), "tag", "left_semi").groupBy("concept_id").agg(F.min(F.struct("nth", "tag"))["tag"].alias("exact"))
+    alike = concepts.select("concept_id", concept_key(F.col("concept")).alias("key")).join(tags.select(concept_key(F.col("tag")).alias("key"), "tag"), "key")
+    alike = alike.groupBy("concept_id").agg(F.min("tag").alias("alike"))
+    both = concepts.select("concept_id", "concept").join(exact, "concept_id", "left").join(alike, "concept_id", "left")
+    return both.select("concept_id", "concept", F.coalesce("exact", "alike").alias("tag"))
+
+
+def tagged_hits(postings: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(concept_id, concept, sample_id) of concepts looked up in an image index of (tag, sample_id)."""
+    return postings.join(tag_of(concepts, postings.select("tag").distinct()), "tag").select("concept_id", "concept", "sample_id")

@@ -94,7 +94,7 @@ def tail_concepts(spark, d):
     return C.tail(term_freq(spark, d), 290)
 
 
-SQL_PAIRS = "WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda t: (t[1] <> t[2])::INT))::BIGINT AS dist FROM s x JOIN s y ON x.label = y.label AND x.vec_id < y.vec_id)"
+SQL_PAIRS = "WITH s AS (SELECT min(vec_id) AS vec_id, label, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings GROUP BY label, 3), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda t: (t[1] <> t[2])::INT))::BIGINT AS dist FROM s x JOIN s y ON x.label = y.label AND x.vec_id < y.vec_id)"
 
 
 def hashes(spark, d):
@@ -118,13 +118,13 @@ g(i, kept, gone) AS (
   UNION ALL
   SELECT nodes.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, x) END, CASE WHEN list_has_any(kept, before) THEN list_append(gone, x) ELSE gone END FROM g JOIN nodes ON nodes.i = g.i + 1
 ), removed AS (SELECT unnest(gone) AS vec_id FROM g WHERE i = (SELECT count(*) FROM nodes))
-SELECT label::BIGINT AS label, count(*) AS survivors FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM removed) GROUP BY label"""
+SELECT label::BIGINT AS label, count(*) AS survivors FROM s WHERE vec_id NOT IN (SELECT vec_id FROM removed) GROUP BY label"""
 
 
 @query("greedy_dedup", SQL_GREEDY)
 def greedy_dedup(spark, d):
     rows = hashes(spark, d)
-    kept = C.greedy_survivors(rows, C.hash_pairs(rows, "label", "vec_id", "bits", radius=22), "label", "vec_id")
+    kept = C.greedy_survivors(C.representatives(rows, "label", "vec_id", "bits"), C.hash_pairs(rows, "label", "vec_id", "bits", radius=22), "label", "vec_id")
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("survivors"))
 
 

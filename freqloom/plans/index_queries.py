@@ -14,9 +14,9 @@ from .catalog import query
 W = "WITH "
 
 
-@query("scan_corpus", "SELECT doc_id AS sample_id, source AS link, length(text)::BIGINT AS n FROM documents")
+@query("scan_corpus", "SELECT doc_id AS sample_id, source AS link, sha256(text) AS text FROM documents")
 def scan_corpus(spark, d):
-    return X.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("link"), F.char_length("text").cast("long").alias("n"))
+    return X.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("link"), F.sha2("text", 256).alias("text"))
 
 
 @query("scan_dropna", "SELECT lang, count(*) AS n FROM (SELECT lang, nullif(text, '') AS text, nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END, '') AS link FROM documents) WHERE text IS NOT NULL AND link IS NOT NULL GROUP BY lang")
@@ -25,11 +25,12 @@ def scan_dropna(spark, d):
     return corpora.drop_missing(rows, ["text", "link"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rewrite_zip_join", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents), b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM benchmark) SELECT a.idx, doc_id AS sample_id, length(text)::BIGINT AS n FROM a JOIN b USING (idx)")
+@query("rewrite_zip_join", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id AS sample_id, sha256(upper(lang) || ' ' || source || text) AS line FROM documents")
 def rewrite_zip_join(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id")
-    lines = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("line"))
-    return corpora.replace_by_position(rows, lines, ["doc_id"], ["item_id"], check=False).select("idx", F.col("doc_id").alias("sample_id"), F.char_length("text").cast("long").alias("n"))
+    docs = X.table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("item_id"), F.sha2(F.concat(F.upper("lang"), F.lit(" "), "source", "text"), 256).alias("line"))
+    done = corpora.replace_by_position(docs.select("doc_id"), lines, ["doc_id"], ["item_id"], same=("doc_id", "item_id"))
+    return done.select("idx", F.col("doc_id").alias("sample_id"), F.col("text").alias("line"))
 
 
 @query("chunk_slice", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM documents) SELECT (idx // (total // 8 + 1))::BIGINT AS chunk_id, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM a GROUP BY 1")
@@ -42,13 +43,12 @@ CAPTIONS = "WITH i AS (SELECT conv_id, list(text ORDER BY turn, text) AS c FROM
 
 
 def captions(spark, d):
-    turns = X.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("captions"))
-    return corpora.flatten_captions(turns, "conv_id", "captions")
+    return corpora.first_captions(X.table(spark, d, "conversations"), "conv_id", ["turn", "text"], "text")
 
 
-@query("captions_flatten", CAPTIONS + " SELECT conv_id, pos::BIGINT AS pos, length(caption)::BIGINT AS n FROM cap")
+@query("captions_flatten", CAPTIONS + " SELECT conv_id, pos::BIGINT AS pos, sha256(caption) AS caption FROM cap")
 def captions_flatten(spark, d):
-    return captions(spark, d).select("conv_id", F.col("pos").cast("long").alias("pos"), F.char_length("caption").cast("long").alias("n"))
+    return captions(spark, d).select("conv_id", F.col("pos").cast("long").alias("pos"), F.sha2("caption", 256).alias("caption"))
 
 
 RESULT_TREE = '{"m1": {"full": "1", "classwise": {"cat": "1", "dog": "2", "": "0"}}, "m2": {"full": "1", "conceptwise": {"dog": "3", "hot_air balloon": "4"}}}'
@@ -62,10 +62,10 @@ def concept_list(spark, d):
     return trees.unionByName(corpora.first_keys(one.select(F.lit(FIRST_KEYS).alias("j")), "j").withColumn("family", F.lit("list")))
 
 
-@query("shard_key_parse", "SELECT lpad((doc_id // 100)::VARCHAR, 5, '0') || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS name, lpad((doc_id // 100)::VARCHAR, 5, '0') AS shard, (doc_id // 100) * 10000 + doc_id AS sample_id, doc_id AS lead FROM documents")
+@query("shard_key_parse", "SELECT lpad((doc_id // 100)::VARCHAR, 5, '0') || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS name, lpad((doc_id // 100)::VARCHAR, 5, '0') AS shard, (doc_id // 100) * 10000 + doc_id AS sample_id, doc_id AS lead FROM documents WHERE doc_id % 3 = 0")
 def shard_key_parse(spark, d):
     shard = F.floor(F.col("doc_id") / 100)
-    rows = X.table(spark, d, "documents").select(F.concat(shards.shard_name(shard), F.lit("/"), shards.shard_name(F.col("doc_id"), 8), F.when(F.col("doc_id") % 2 == 0, ".jpg").otherwise(".jpg")).alias("name"))
+    rows = X.table(spark, d, "documents").select(F.concat(shards.shard_name(shard), F.lit("/"), shards.shard_name(F.col("doc_id"), 8), F.element_at(F.array(F.lit(".jpg"), F.lit(".json"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("name"))
     return rows.where(F.lower("name").rlike(r"\.(jpg|jpeg|png)$")).select("name", F.split("name", "/")[0].alias("shard"), shards.sample_id(F.col("name")).alias("sample_id"), shards.leading_number(F.col("name")).alias("lead"))
 
 
@@ -93,9 +93,9 @@ def one_hot_tags(spark, d):
     return corpora.one_hot(X.embeddings(spark, d), "label", 10).select("vec_id", F.posexplode("bits").alias("pos", "bit")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("bit").cast("long").alias("bit"))
 
 
-@query("text_normalize", "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z ]', '', 'g'))::BIGINT AS n FROM documents")
+@query("text_normalize", "SELECT doc_id, sha256(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS cleaned FROM documents")
 def text_normalize(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.char_length(T.clean(F.col("text"))).cast("long").alias("n"))
+    return X.table(spark, d, "documents").select("doc_id", F.sha2(T.clean(F.col("text")), 256).alias("cleaned"))
 
 
 @query("query_terms", W + X.SQL_CONCEPTS + ", " + X.SQL_TERMS + f" SELECT concept, term, {T.lemma_sql('term')} AS lemma FROM terms")
@@ -108,9 +108,9 @@ def unigram_postings(spark, d):
     return index.unigram_postings(X.corpus(spark, d), index.nouns).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"))
 
 
-@query("phrase_postings", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM t) SELECT phrase, count(*) AS n FROM p GROUP BY phrase ORDER BY n DESC, phrase LIMIT 500")
+@query("phrase_postings", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM t) SELECT phrase, count(*) AS n FROM p GROUP BY phrase")
 def phrase_postings(spark, d):
-    return index.phrase_postings(X.corpus(spark, d)).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phrase").limit(500)
+    return index.phrase_postings(X.corpus(spark, d)).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("term_doc_freq", W + X.SQL_DF + " SELECT term, df FROM df")
@@ -167,10 +167,10 @@ def concept_min_support(spark, d):
     return extracted(spark, d).where("n_images >= 10").select("concept", "n_images")
 
 
-@query("counts_union", W + X.SQL_BOTH + ", u AS (SELECT concept, 'a_text' AS source, count(*) AS n FROM hits WHERE concept_id < 12 GROUP BY concept UNION ALL SELECT concept, 'b_image', count(*) FROM img JOIN concepts USING (concept_id) WHERE prob > 0.6 GROUP BY concept) SELECT concept, source, n FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY source) AS r FROM u) WHERE r = 1")
+@query("counts_union", W + X.SQL_BOTH + ", u AS (SELECT concept, 'a_text' AS source, count(*) AS n FROM hits GROUP BY concept UNION ALL SELECT concept, 'b_image', count(*) FROM img JOIN concepts USING (concept_id) WHERE prob > 0.6 GROUP BY concept) SELECT concept, source, n FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY source) AS r FROM u) WHERE r = 1")
 def counts_union(spark, d):
     c = X.concepts(spark)
-    a = search.text_search(X.corpus(spark, d), c).where("concept_id < 12").groupBy("concept").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("a_text"))
+    a = search.text_search(X.corpus(spark, d), c).groupBy("concept").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("a_text"))
     b = X.images(spark, d).where("prob > 0.6").join(F.broadcast(c), "concept_id").groupBy("concept").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("b_image"))
     return sinks.first_per_key(a.unionByName(b), ["concept"], ["source"])
 

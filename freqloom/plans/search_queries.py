@@ -86,8 +86,8 @@ def misalignment(spark, d):
     return search.misalignment(text_hits(spark, d), image_hits(spark, d), size)
 
 
-@query("threshold_sweep", W + X.SQL_BOTH + f", t AS (SELECT unnest({X.THRESHOLDS}::DOUBLE[]) AS threshold), c AS (SELECT concept_id, count(*) AS n FROM hits WHERE concept_id < 10 GROUP BY 1), m AS (SELECT threshold, concept_id, count(*) AS n FROM img, t WHERE prob > threshold GROUP BY ALL) SELECT threshold, round(corr(ln(c.n), ln(m.n)), 6) AS r FROM c JOIN m USING (concept_id) GROUP BY threshold")
+@query("threshold_sweep", W + X.SQL_BOTH + f", t AS (SELECT unnest({X.THRESHOLDS}::DOUBLE[]) AS threshold), c AS (SELECT concept_id, count(*) AS n FROM hits GROUP BY 1), m AS (SELECT threshold, concept_id, count(*) AS n FROM img, t WHERE prob > threshold GROUP BY ALL) SELECT threshold, round(corr(ln(c.n), ln(m.n)), 6) AS r FROM c JOIN m USING (concept_id) GROUP BY threshold")
 def threshold_sweep(spark, d):
-    c = text_hits(spark, d).where("concept_id < 10").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
+    c = text_hits(spark, d).groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
     m = index.image_postings(X.images(spark, d), X.THRESHOLDS).groupBy("threshold", "concept_id").agg(F.count(F.lit(1)).alias("m"))
     return m.join(F.broadcast(c), "concept_id").groupBy("threshold").agg(F.round(F.corr(F.log("n"), F.log("m")), 6).alias("r"))

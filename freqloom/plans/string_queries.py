@@ -75,16 +75,16 @@ def prompt_article(spark, d):
     return X.concepts(spark).select("concept", T.with_article(F.col("concept")).alias("prompt"))
 
 
-@query("pre_caption", r"""SELECT doc_id, length(array_to_string(w[1:50], ' '))::BIGINT AS n, len(w[1:50])::BIGINT AS words FROM (SELECT doc_id, string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\s{2,}', ' ', 'g'), chr(10)), ' '), ' ') AS w FROM documents)""")
+@query("pre_caption", r"""SELECT doc_id, sha256(array_to_string(w[1:50], ' ')) AS cleaned, len(w[1:50])::BIGINT AS words FROM (SELECT doc_id, string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\s{2,}', ' ', 'g'), chr(10)), ' '), ' ') AS w FROM documents)""")
 def pre_caption(spark, d):
     c = T.caption(F.col("text"))
-    return X.table(spark, d, "documents").select("doc_id", F.char_length(c).cast("long").alias("n"), F.size(F.split(c, " ")).cast("long").alias("words"))
+    return X.table(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("cleaned"), F.size(F.split(c, " ")).cast("long").alias("words"))
 
 
-@query("pre_question", r"""SELECT doc_id, length(array_to_string(w[1:50], ' '))::BIGINT AS n, len(w[1:50])::BIGINT AS words FROM (SELECT doc_id, string_split(rtrim(regexp_replace(lower(text), '[.!"()*#:;~]', '', 'g'), ' '), ' ') AS w FROM documents)""")
+@query("pre_question", r"""SELECT doc_id, sha256(array_to_string(w[1:50], ' ')) AS cleaned, len(w[1:50])::BIGINT AS words FROM (SELECT doc_id, string_split(rtrim(regexp_replace(lower(text), '[.!"()*#:;~]', '', 'g'), ' '), ' ') AS w FROM documents)""")
 def pre_question(spark, d):
     c = T.question(F.col("text"))
-    return X.table(spark, d, "documents").select("doc_id", F.char_length(c).cast("long").alias("n"), F.size(F.split(c, " ")).cast("long").alias("words"))
+    return X.table(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("cleaned"), F.size(F.split(c, " ")).cast("long").alias("words"))
 
 
 PLAIN_WORDS = "replace(concept, '_', ' ')"
@@ -96,10 +96,14 @@ def prompt_contains(spark, d):
     return X.table(spark, d, "benchmark").join(F.broadcast(X.concepts(spark)), T.mentions(F.col("text"), word)).select("concept", "item_id")
 
 
-@query("prompt_exact", W + X.SQL_CONCEPTS + " SELECT concept, item_id FROM (SELECT item_id, regexp_extract(lower(text), '^[a-z]+') AS w FROM benchmark) JOIN concepts ON w = concept")
+@query("prompt_exact", W + X.SQL_CONCEPTS + " SELECT concept, vec_id FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN c WHEN 1 THEN c || ' ' ELSE 'a ' || c END AS prompt FROM (SELECT vec_id, (SELECT list(concept ORDER BY concept_id) FROM concepts)[vec_id % 20 + 1] AS c FROM embeddings)) JOIN concepts ON prompt = concept")
 def prompt_exact(spark, d):
-    rows = X.table(spark, d, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "^[a-z]+", 0).alias("concept"))
-    return rows.join(F.broadcast(X.concepts(spark)), "concept").select("concept", "item_id")
+    """Prompts that are a concept's name and nothing else."""
+    name = F.element_at(F.lit(X.CONCEPTS), (F.col("vec_id") % 20 + 1).cast("int"))
+    kind = F.col("vec_id") % 3
+    prompt = F.when(kind == 0, name).when(kind == 1, F.concat(name, F.lit(" "))).otherwise(F.concat(F.lit("a "), name))
+    rows = X.embeddings(spark, d).select("vec_id", prompt.alias("concept"))
+    return rows.join(F.broadcast(X.concepts(spark)), "concept").select("concept", "vec_id")
 
 
 PATHS = ["refs/001.hot_air_balloon/1.png", "refs/014.tree/a.png", "a/b/190.fire_truck/x.jpg"]

@@ -13,11 +13,12 @@ def write_counts(counts: DataFrame, path: str) -> None:
 
 
 def read_counts(spark, path: str) -> DataFrame:
-    """Counts written by write_counts, or published JSON objects {concept: n} named <downstream>_<corpus>_<method>_search_counts.json."""
+    """Counts written by write_counts; files of JSON objects are read by read_count_json."""
     return spark.read.parquet(path)
 
 
 def read_count_json(spark, path: str) -> DataFrame:
+    """Counts of JSON objects {concept: n} in files <downstream>_<corpus>_<method>_search_counts.json."""
     raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.explode(F.from_json("value", "map<string, bigint>")).alias("concept", "n"))
     name = F.split(F.regexp_replace("file", r"_search_counts\.json$", ""), "_", 3)
     return raw.select(name[0].alias("downstream"), name[1].alias("pt_dataset"), name[2].alias("method"), "concept", "n")
@@ -28,6 +29,16 @@ def write_postings(postings: DataFrame, table: str, buckets: int, term: str = "t
     postings.repartition(buckets, term).write.mode("overwrite").bucketBy(buckets, term).sortBy(term).saveAsTable(table)
 
 
+def write_thresholds(postings: DataFrame, path: str) -> None:
+    """An image index (threshold, concept_id, sample_id) with a folder for each threshold: a search reads its own only."""
+    postings.repartition("threshold", "concept_id").sortWithinPartitions("threshold", "concept_id").write.mode("overwrite").partitionBy("threshold").parquet(path)
+
+
+def write_map_json(maps: DataFrame, key: str, value: str, path: str) -> None:
+    """A JSON object {key: value} on each line, one for each row, so that no map meets in one task."""
+    maps.select(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_once(rows: DataFrame, path: str) -> None:
     """Keep what is there already."""
     rows.write.mode("ignore").parquet(path)

@@ -40,13 +40,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 #: Data set names by how they are described.
 LOADERS: dict[str, Callable[..., DataFrame]] = (
-    dict.fromkeys("caltech101 dtd eurosat flowers102 food101 oxfordpets stanfordcars sun397 ucf101".split(), read_split_json)
+    dict.fromkeys("birdsnap caltech101 caltech256 cub dtd eurosat flowers102 food101 oxfordpets stanfordcars sun397 ucf101".split(), read_split_json)
     | dict.fromkeys("imagenet imagenet-r imagenet-sketch country211 tail290".split(), read_folders)
     | {"fgvcaircraft": read_variants}
     | dict.fromkeys("cifar10 cifar100".split(), read_table)
 )
 
 
+def samples_of(rows: DataFrame) -> DataFrame:
+    """(label, paths) of rows (path, label): each label's paths, sorted."""
+    return rows.groupBy("label").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def class_list(rows: DataFrame) -> DataFrame:
+    """(label, classname) over all splits; a label with two names, or a name with two labels, fails the job that reads it."""
+    named = rows.groupBy("label").agg(F.min("classname").alias("classname"), F.max("classname").alias("other"))
+    labels = rows.groupBy("classname").agg((F.min("label") < F.max("label")).alias("twice"))
+    both = named.join(labels, "classname")
+    good = F.when((F.col("classname") == F.col("other")) & ~F.col("twice"), F.col("classname"))
+    return both.select("label", F.coalesce(good, F.raise_error(F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" is not one class")))).alias("classname"))
+
+
 def load_dataset(name: str) -> Callable[..., DataFrame]:
     """The reader of a named data set; raises on unknown names."""
     if name not in LOADERS:

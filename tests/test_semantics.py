@@ -152,9 +152,10 @@ def brute_greedy(bits, radius):
 def test_greedy_survivors_equal_the_sequential_choice(spark, bits):
     rows = spark.createDataFrame([(0, i, b) for i, b in enumerate(bits)], "label long, id long, bits long")
     pairs = curate.hash_pairs(rows, "label", "id", "bits", radius=2)
-    want = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (bits[i] ^ bits[j]).bit_count() <= 2}
-    assert {(r.a, r.b) for r in pairs.collect()} == want
-    assert {r.id for r in curate.greedy_survivors(rows, pairs, "label", "id").collect()} == brute_greedy(bits, 2)
+    first = [bits.index(b) for b in dict.fromkeys(bits)]  # copies are one class
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, j) for i in first for j in first if i < j and (bits[i] ^ bits[j]).bit_count() <= 2}
+    classes = curate.representatives(rows, "label", "id", "bits")
+    assert {r.id for r in curate.greedy_survivors(classes, pairs, "label", "id").collect()} == brute_greedy(bits, 2)
 
 
 def test_banded_pairs_find_all_up_to_ten_bits(spark):
@@ -201,3 +202,114 @@ def test_vector_functions(spark):
     assert one(spark, V.unit(a)) == [0.6, 0.8]
     assert one(spark, V.sign_bits(F.lit([1.0, -1.0, 2.0]))) == 0b101
     assert one(spark, V.hamming(F.lit(5), F.lit(6))) == 2
+
+
+def test_concepts_of_more_terms_than_a_mask_has_bits(spark):
+    words = ["".join(chr(97 + int(c)) for c in str(k)) + "x" for k in range(70)]
+    docs, asked = corpus(spark, [" ".join(words), " ".join(words[:-1])]), concepts(spark, [" ".join(words), words[0]])
+    assert hits(search.text_search(docs, asked)) == {(" ".join(words), 0), (words[0], 0), (words[0], 1)}
+
+
+def test_tags_are_found_under_other_spellings(spark):
+    asked = concepts(spark, ["hot dog", "Hot_Dog", "tree", "old TREE", "none", "red car"])
+    tags = spark.createDataFrame([(x,) for x in ("hot_Dog", "Hot_Dog", "TREE", "OLD_tree", "old tree", "red car", "Red_Car")], "tag string")
+    got = {r.concept: r.tag for r in search.tag_of(asked, tags).collect()}
+    assert got == {"hot dog": "hot_Dog", "Hot_Dog": "Hot_Dog", "tree": "TREE", "old TREE": "OLD_tree", "none": None, "red car": "red car"}
+    postings = spark.createDataFrame([("Red_Car", 1), ("red car", 2)], "tag string, sample_id long")
+    assert hits(search.tagged_hits(postings, asked)) == {("red car", 2)}
+
+
+def test_cased_terms(spark):
+    assert one(spark, index.cased(F.lit("The dog's Tail"))) == ["The", "dog", "s", "Tail"]
+
+
+def test_class_blocks_and_ties(spark, monkeypatch):
+    vectors = spark.createDataFrame([(k, k % 3, [float(k), 1.0]) for k in range(7)], "vec_id long, label int, embedding array<double>")
+    classes = spark.createDataFrame([(k, [0.5 * (k % 2), float(k // 2)]) for k in range(6)], "label int, proto array<double>")
+    want = {(v, c): v * 0.5 * (c % 2) + c // 2 for v in range(7) for c in range(6)}
+    best = {v: min(range(6), key=lambda c: (-want[v, c], c)) for v in range(7)}
+    for block in (2048, 2):
+        monkeypatch.setattr(evaluate, "BLOCK", block)
+        blocks = list(evaluate.class_blocks(classes, block))
+        assert sorted(x for labels, _ in blocks for x in labels) == list(range(6)) and (len(blocks) > 1) == (block == 2)
+        monkeypatch.setattr(evaluate.class_blocks, "__defaults__", (block,))
+        assert {(r.vec_id, r.label): r.sim for r in evaluate.class_similarity(vectors, classes, "vec_id").collect()} == want
+        assert {r.vec_id: r.label for r in evaluate.best_class(vectors, classes, "vec_id").collect()} == best
+
+
+def test_top_k_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(evaluate, "BLOCK", 7)
+    got = {(r.q, r["rank"]): r.cand for r in evaluate.top_k(v.where("vec_id % 5 = 0"), v, 3).collect()}
+    m = np.array([x for _, x in rows])
+    want = {(q, n + 1): c for q in range(0, 60, 5) for n, c in enumerate(sorted((c for c in range(60) if c != q), key=lambda c: (-round(float(m[q] @ m[c]), 9), c))[:3])}
+    assert got == want
+
+
+def test_average_precision_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), k, float(s), int(h)) for k, (g, s, h) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 9, 500), rng.integers(0, 2, 500)))]
+    got = {r.g: r.ap for r in evaluate.average_precision(spark.createDataFrame(rows, "g long, id long, score double, hit int"), "g").collect()}
+    for g in range(3):
+        found = [h for _, _, _, h in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], -r[1]))]
+        want = sum(h * sum(found[: k + 1]) / (k + 1) for k, h in enumerate(found)) / (sum(found) + 1e-8)
+        assert abs(got[g] - want) < 1e-12
+
+
+def test_copies_are_one_class(spark):
+    rows = spark.createDataFrame([(k, 0, k // 50) for k in range(150)] + [(900, 1, 0)], "id long, g int, h long")
+    assert {(r.a, r.b, r.dist) for r in curate.hash_pairs(rows, "g", "id", "h").collect()} == {(0, 50, 1), (0, 100, 1), (50, 100, 2)}
+    assert {(r.id, r.rep) for r in curate.copies_of(rows, "g", "id", "h").collect()} == {(k, k // 50 * 50) for k in range(150)} | {(900, 900)}
+    assert {r.id: r.copies for r in curate.representatives(rows, "g", "id", "h").collect()} == {0: 50, 50: 50, 100: 50, 900: 1}
+
+
+def test_hashes_of_more_than_64_signs_are_an_error(spark):
+    assert one(spark, V.sign_bits(F.lit([1.0] * 64))) == -1
+    with pytest.raises(Exception, match="64 signs"):
+        one(spark, V.sign_bits(F.lit([1.0] * 65)))
+
+
+def test_p_values(spark):
+    got = S.with_p(spark.createDataFrame([(0.5, 12), (None, 12)], "r double, n int"), "r", "n").collect()
+    assert abs(got[0].p - 0.0978) < 1e-3 and got[1].p is None
+
+
+def test_bucket_answers_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    counts = {k: int(n) for k, n in enumerate(rng.integers(0, 12, 200))}
+    answers = [(int(k), int(a)) for k, a in zip(rng.integers(0, 200, 900), rng.integers(0, 2, 900))]
+    got = curate.bucket_answers(spark.createDataFrame(list(counts.items()), "id long, n long"), spark.createDataFrame(answers, "id long, answer int"), "id", "n", most=4, size=30, least=10).collect()
+    buckets, held = [], []
+    for k in sorted((k for k in counts if counts[k]), key=lambda k: (-counts[k], k)):
+        if held and counts[k] < counts[held[-1]] and len(held) >= 10:
+            buckets.append(held)
+            held = []
+        held.append(k)
+        if len(held) == 30:
+            buckets.append(held)
+            held = []
+    for b, held in enumerate(buckets[:4]):
+        own = [a for k, a in answers if k in held]
+        r = next(r for r in got if r.bucket == b)
+        assert (r.n, r.lo, r.hi, r.answers) == (len(held), counts[held[-1]], counts[held[0]], len(own)) and abs(r.mean - np.mean(own)) < 1e-12
+    assert len(got) == 4
+
+
+def test_prompts_tasks_and_score_rows(spark):
+    text = '[{"id": "a", "input": {"text": "a dog"}}, {"id": "b", "input": {"text": "x"}}, {"id": "a", "input": {"text": "later"}}]'
+    got = {r.id: r.prompt for r in generated.read_prompts(spark.createDataFrame([(text,)], "j string"), "j").collect()}
+    assert got == {"a": "a dog", "b": "x"}
+    assert [one(spark, generated.task_name(F.lit(x))) for x in ("runs/sdxl_human_aesthetics.json", "x_exp_clip.tar.json", "plain.json")] == ["human_aesthetics", "exp_clip", "plain"]
+    c = spark.createDataFrame([("cat", 0), ("cat", 9), ("dog", 9)], "concept string, idx long")
+    got = {r.concept: r.rows for r in generated.score_rows(c, spark.createDataFrame([(0, [1.0, 2.0])], "idx long, scores array<double>")).collect()}
+    assert got == {"cat": [[1.0, 2.0]], "dog": None}
+
+
+def test_concept_maps(spark):
+    rows = [(k, p, t) for k in range(3) for p, t in enumerate(["a dog", "dogs and cats" if k else "sun"])]
+    maps = index.concept_maps(spark.createDataFrame(rows, "img long, pos int, caption string"), "img", "pos", "caption", least=2)
+    assert {tuple(r) for r in maps["images"][0].select("img", "concept").collect()} == {(0, "dog"), (1, "dog"), (2, "dog"), (1, "cat"), (2, "cat")}
+    assert {tuple(r) for r in maps["captions"][0].select("img", "pos", "concept").collect()} == {(k, 0, "dog") for k in range(3)} | {(k, 1, c) for k in (1, 2) for c in ("dog", "cat")}
+    assert maps["captions"][1].count() == 6 and maps["images"][1].count() == 3

@@ -96,3 +96,26 @@ def test_bucketed_postings(spark):
     sinks.write_postings(rows, "postings_test", 4)
     assert spark.table("postings_test").where("term = 'a'").count() == 1
     spark.sql("DROP TABLE postings_test")
+
+
+def test_positions_of_other_ids_fail(spark):
+    rows = spark.createDataFrame([(k,) for k in range(5)], "id long")
+    lines = spark.createDataFrame([(k, f"line {k}") for k in (0, 1, 2, 4, 5)], "item long, line string")
+    with pytest.raises(Exception, match="other id at position 3"):
+        corpora.replace_by_position(rows, lines, ["id"], ["item"], same=("id", "item")).collect()
+    assert corpora.replace_by_position(rows.where("id < 3"), lines.where("item < 3"), ["id"], ["item"], same=("id", "item")).count() == 3
+
+
+def test_class_lists(spark):
+    rows = spark.createDataFrame([("b", 1, "two"), ("a", 1, "two"), ("c", 0, "one")], "path string, label int, classname string")
+    assert {r.label: r.paths for r in splits.samples_of(rows).collect()} == {0: ["c"], 1: ["a", "b"]}
+    assert {r.label: r.classname for r in splits.class_list(rows).collect()} == {0: "one", 1: "two"}
+    for bad in (("d", 0, "other"), ("d", 2, "two")):
+        with pytest.raises(Exception, match="is not one class"):
+            splits.class_list(rows.union(spark.createDataFrame([bad], rows.schema))).collect()
+    assert {splits.load_dataset(x) for x in ("caltech256", "cub", "birdsnap")} == {splits.read_split_json}
+
+
+def test_map_json(spark, tmp_path):
+    sinks.write_map_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long"), "k", "v", str(tmp_path / "m"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()) == ['{"a":1}', '{"b":2}']
