@@ -30,3 +30,22 @@ def test_entry_registers_catalog():
     import __spark_entry__ as entry
 
     assert set(SQL) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_llm_folder(tmp_path):
+    """The entry imports without the folder, with what is left of it, and not if the folder lacks a library."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    shutil.copytree(f"{ROOT}/freqloom", tmp_path / "freqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert int(run().stdout) == len(SQL)
+    (tmp_path / "freqloom/llm").mkdir()
+    assert int(run().stdout) == len(SQL)
+    (tmp_path / "freqloom/llm/queries.py").write_text("import no_such_library\n")
+    assert "no_such_library" in run().stderr
