@@ -172,6 +172,21 @@ def recall(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: list[str] | N
     return each.groupBy(*(by or []), "k").agg(F.round(F.avg((F.col("rank") <= F.col("k")).cast("double")) * 100, 6).alias("recall"))
 
 
+def contrastive_loss(pairs: DataFrame) -> DataFrame:
+    """(batch, loss) from the scaled similarities (batch, ip, tp, s) of images and texts; equal numbers belong together.
+
+    The mean, over images and over texts, of the negative log softmax of their own partner in the batch.
+    """
+    own = F.sum(F.when(F.col("ip") == F.col("tp"), F.col("s")))
+    top = F.max("s")
+    parts = []
+    for side in ("ip", "tp"):
+        most = pairs.groupBy("batch", side).agg(top.alias("top"), own.alias("own")).where("own IS NOT NULL")
+        spread = pairs.join(most, ["batch", side]).groupBy("batch", side).agg(F.sum(F.exp(F.col("s") - F.col("top"))).alias("e"), F.max(F.col("top") - F.col("own")).alias("d"))
+        parts.append(spread.select("batch", (F.log("e") + F.col("d")).alias("l")))
+    return parts[0].unionByName(parts[1]).groupBy("batch").agg(F.avg("l").alias("loss"))
+
+
 def average_precision(scored: DataFrame, group: str, eps: float = 1e-8) -> DataFrame:
     """(group, ap) from (group, id, score, hit): precision at each hit in descending order of score (ties: larger id first).
 

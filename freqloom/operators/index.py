@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.text import STOP_WORDS, lemma, tokens
+from freqloom.sources.corpora import dense_index
 
 #: Turns a text column into an array of index terms, repeats allowed.
 Analyzer = Callable[[Column], Column]
@@ -55,8 +56,10 @@ def merge_chunks(chunks: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def term_shards(terms: DataFrame, shards: int) -> DataFrame:
-    """(term, shard): a random but repeatable even split: shard by the hash of the term."""
-    return terms.select("term", F.pmod(F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long"), F.lit(shards)).alias("shard"))
+    """(term, shard): terms in a random but repeatable order (of their MD5), cut into ranges of equal size, rounded up."""
+    ordered = dense_index(terms.select(F.md5("term").alias("__md5"), "term"), ["__md5", "term"])
+    size = -(-ordered.count() // shards)
+    return ordered.select("term", F.floor(F.col("idx") / max(1, size)).cast("long").alias("shard"))
 
 
 def image_postings(probs: DataFrame, thresholds: list[float]) -> DataFrame:

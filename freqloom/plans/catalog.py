@@ -29,6 +29,12 @@ def _load() -> None:
     from . import curation_queries, index_queries, search_queries, string_queries, study_queries, vector_queries  # noqa: F401
 
 
+def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
+    """Temporary views of the named tables, for spark.sql()."""
+    for name in names:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
 def queries() -> dict[str, Query]:
     _load()
     return dict(_QUERIES)

@@ -128,10 +128,10 @@ def merge_chunk_index(spark, d):
     return index.merge_chunks(chunks, sizes).groupBy("term").agg(F.sum("sample_id").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
-@query("term_sharding", W + X.SQL_DF + " SELECT (('0x' || substr(md5(term), 1, 8))::BIGINT % 16) AS shard, count(*) AS n FROM df GROUP BY 1")
+@query("term_sharding", W + X.SQL_DF + ", o AS (SELECT term, row_number() OVER (ORDER BY md5(term), term) - 1 AS i, count(*) OVER () AS total FROM df) SELECT i // ((total + 15) // 16) AS shard, count(*) AS n, min(md5(term)) AS lo, max(md5(term)) AS hi FROM o GROUP BY 1")
 def term_sharding(spark, d):
     terms = index.unigram_postings(X.corpus(spark, d)).select("term").distinct()
-    return index.term_shards(terms, 16).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return index.term_shards(terms, 16).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("term")).alias("lo"), F.max(F.md5("term")).alias("hi"))
 
 
 @query("caption_remap", "SELECT doc_id AS sample_id, max(doc_id) OVER (PARTITION BY text) AS row_id FROM documents")

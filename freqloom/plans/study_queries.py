@@ -115,6 +115,12 @@ def bucket_mean_query(spark, d):
     return bucket_means(spark, d).withColumn("mean", X.r6(F.col("mean")))
 
 
+@query("bucket_sizes", SQL_GROUPS + " SELECT min(answers) AS least, round(avg(answers), 6) AS mean, max(answers) AS most, min(n) AS entities FROM m")
+def bucket_sizes(spark, d):
+    """Answers for each bucket: the least, the mean and the most."""
+    return bucket_means(spark, d).agg(F.min("answers").alias("least"), F.round(F.avg("answers"), 6).alias("mean"), F.max("answers").alias("most"), F.min("n").alias("entities"))
+
+
 @query("bucket_regression", SQL_GROUPS + ", o AS (SELECT (lo + hi) / 2 AS n, mean AS v FROM m), xs AS (SELECT n, v FROM o QUALIFY row_number() OVER (ORDER BY n DESC, v DESC) > 1), " + bins_sql("xs", 5) + " SELECT (SELECT round(regr_slope(v, n), 6) FROM o) AS slope, (SELECT round(regr_intercept(v, n), 6) FROM o) AS intercept, (SELECT round(corr(ln(edge), mean), 6) FROM bins) AS r")
 def bucket_regression(spark, d):
     return S.bucket_regression(bucket_means(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r")])

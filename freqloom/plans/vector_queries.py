@@ -71,6 +71,17 @@ def clip_batch_accuracy(spark, d):
     return best.groupBy("batch").agg(F.round(F.avg((F.col("p") == -F.col("m.c")).cast("double")) * 100, 6).alias("acc"))
 
 
+SQL_PAIRED = "WITH v AS (SELECT vec_id // 2 AS p, vec_id % 2 AS m, vec_id // 16 AS b, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT i.b, i.p AS ip, t.p AS tp, 10 * list_dot_product(i.e, t.e) AS s FROM v i JOIN v t ON i.b = t.b AND i.m = 0 AND t.m = 1), x AS (SELECT b, ln(sum(exp(s))) - sum(s) FILTER (WHERE ip = tp) AS l FROM s GROUP BY b, ip HAVING count(*) FILTER (WHERE ip = tp) > 0 UNION ALL SELECT b, ln(sum(exp(s))) - sum(s) FILTER (WHERE ip = tp) FROM s GROUP BY b, tp HAVING count(*) FILTER (WHERE ip = tp) > 0)"
+
+
+@query("clip_batch_loss", SQL_PAIRED + " SELECT b AS batch, round(avg(l), 6) AS loss FROM x GROUP BY b")
+def clip_batch_loss(spark, d):
+    """Mean over both directions of the cross entropy of each pair among its batch."""
+    v = X.embeddings(spark, d).select(F.floor(F.col("vec_id") / 2).alias("p"), (F.col("vec_id") % 2).alias("m"), F.floor(F.col("vec_id") / 16).alias("batch"), F.col("embedding").alias("e"))
+    i, t = v.where("m = 0").select("batch", F.col("p").alias("ip"), F.col("e").alias("ie")), v.where("m = 1").select("batch", F.col("p").alias("tp"), F.col("e").alias("te"))
+    return E.contrastive_loss(i.join(t, "batch").select("batch", "ip", "tp", (10 * dot(F.col("ie"), F.col("te"))).alias("s"))).withColumn("loss", X.r6(F.col("loss")))
+
+
 @query("mean_average_precision", W + X.SQL_SIMS + ", p AS (SELECT vec_id, label, (truth = label)::INT AS hit, round(1 / (1 + exp(-6 * sim)), 6) AS prob FROM sims), r AS (SELECT label, hit, row_number() OVER w AS rank, sum(hit) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM p WINDOW w AS (PARTITION BY label ORDER BY prob DESC, vec_id DESC)) SELECT label::BIGINT AS label, round(sum(hit * cum / rank) / (sum(hit) + 1e-8), 6) AS ap FROM r GROUP BY label")
 def mean_average_precision(spark, d):
     rows = tagged(spark, d).select("label", F.col("sample_id").alias("id"), F.col("prob").alias("score"), "hit")

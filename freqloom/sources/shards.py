@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".ppm", ".bmp", ".pgm", ".tif", ".tiff", ".webp")
 
 
-def read_tar(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, sidecar: str = "json", tolerant: bool = True) -> DataFrame:
+def read_tar(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, sidecar: str = "json", tolerant: bool = True, archives: Column | None = None) -> DataFrame:
     """(archive, name, content, sidecar): one row per member with a wanted extension, in name order.
 
     sidecar: text of the member of the same stem with that extension, or null; JSON is checked.  A
-    truncated archive gives the members before the break, or raises if not tolerant.
+    truncated archive gives the members before the break, or raises if not tolerant.  archives: a
+    condition on the files' path, length and modificationTime, tested before a file is read.  An archive
+    is one value of at most 2 GB.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    files = (files if archives is None else files.where(archives)).select("path", "content")
 
     def members(data: bytes) -> dict[str, bytes]:
         found: dict[str, bytes] = {}

@@ -56,6 +56,13 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return least.select(*keys, *[F.col("__first")[c].alias(c) for c in (*order, *rest)])
 
 
+def flat_list(lists: DataFrame, json_col: str) -> DataFrame:
+    """(concept, entries) of lists of one-key objects [{concept: [entry, ...]}]: the nested lists as flat rows; of repeated concepts the last counts."""
+    items = lists.select(F.posexplode(F.from_json(json_col, "array<map<string, array<string>>>")).alias("at", "m"))
+    keys = items.select("at", F.explode("m").alias("concept", "entries"))
+    return keys.groupBy("concept").agg(F.max_by("entries", "at").alias("entries"))
+
+
 def merge_maps(maps: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value) of the last row of each key: what updating one map by the next leaves."""
     return maps.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -119,3 +119,26 @@ def test_class_lists(spark):
 def test_map_json(spark, tmp_path):
     sinks.write_map_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long"), "k", "v", str(tmp_path / "m"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()) == ['{"a":1}', '{"b":2}']
+
+
+def test_flat_list(spark):
+    text = '[{"cat": ["a", "b"]}, {"dog": []}, {"cat": ["c"]}]'
+    got = {r.concept: r.entries for r in sinks.flat_list(spark.createDataFrame([(text,)], "j string"), "j").collect()}
+    assert got == {"cat": ["c"], "dog": []}
+
+
+def test_archives_are_chosen_before_they_are_read(spark, tmp_path):
+    for name in ("a", "b"):
+        with tarfile.open(tmp_path / f"{name}.tar", "w") as tar:
+            info = tarfile.TarInfo("1.jpg")
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"x"))
+    got = shards.read_tar(spark, str(tmp_path), archives=F.col("path").endswith("/b.tar")).collect()
+    assert len(got) == 1 and got[0].archive.endswith("/b.tar")
+
+
+def test_views(spark, sf_dir):
+    from freqloom.plans import catalog
+
+    catalog.register_views(spark, sf_dir, ["region", "nation"])
+    assert spark.sql("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey").first()[0] == 25
