@@ -5,33 +5,39 @@ shards are MinHash buckets here: a text stands in ``BANDS`` of them, each keyed
 its shingle set; sets that share 0.8 meet in one with probability 1 - (1 - 0.8^4)^20 = 0.99997.  In a
 shard a BK-tree over the texts' SimHashes finds who lies within ``RADIUS`` bits (mean 9.7, standard
 deviation 2.9 at 0.8, so one pair in 10^5 is further apart); what it finds is a candidate, and the
-shingle sets themselves decide.
+shingle sets, which come with the shard, decide at once.  Only links that join two components leave it.
 
-Candidates come in two rounds, so that a shard of many copies gives no square of pairs.  First each
-text meets the nearest one on its way down the tree.  Then, in shards that still hold several
-components, the tree is searched for all candidates between unlike components.  Texts with equal
-shingle sets are one node throughout; shards of over ``TREE`` nodes are cut into tiles.
+First each text meets the ones on its way down the tree, which joins most copies.  Then the texts outside
+the shard's largest component search the tree.  They skip whoever shares none of their rarest shingles:
+of two sets that share 0.8, the first fifth of each in a common order has a shingle of the other.  So a
+large group of copies is neither compared nor emitted pair by pair.
+
+Texts with equal shingle sets are one node throughout.  A shard of over ``TREE`` nodes is cut into
+sub-shards, each with the same ``PIVOTS`` nodes of the whole shard, through which its copies join those
+of the others; then the texts outside the shard's largest component visit its other sub-shards.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_names, small_batches
 from .components import components
-from .simhash import BKTree, majority, tiled
+from .simhash import BKTree, majority
 
 #: Linked from NUM / DEN of the shingles of both on.
 NUM, DEN = 4, 5
-SHINGLE, SEED, BANDS, ROWS, RADIUS, TREE = 5, 42, 20, 4, 22, 2048
+SHINGLE, SEED, BANDS, ROWS, RADIUS, TREE, PIVOTS = 5, 42, 20, 4, 22, 1024, 64
 CHUNK = 1 << 12
 #: Fixed odd factors: the permutations of the 64-bit hashes.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,64 +97,101 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets share NUM / DEN of their union."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    enough = shared * (NUM + DEN) >= (F.size("of_a") + F.size("of_b")) * NUM
-    return pairs.join(two, "b").join(one, "a").where(enough).select("a", "b")
+class Member(NamedTuple):
+    """A node in a tile: holds: it is searched for, else it asks; top: its component so far."""
+
+    fp: int
+    node: int
+    top: int
+    holds: bool
+    hashes: np.ndarray
+
 
+class Forest:
+    """Components of nodes."""
 
-Member = tuple[int, int, int, int]  # fp, node, n, top
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        while (up := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[up]
+        return x
 
-def sized_alike(x: int, y: int) -> bool:
-    """Sets of sizes further apart can't share NUM / DEN of their union."""
-    return min(x, y) * DEN >= max(x, y) * NUM
+    def join(self, a: int, b: int) -> None:
+        self.up[self.root(a)] = self.root(b)
 
 
-def nearest(tree: list[Member], radius: int) -> Iterator[tuple[int, int]]:
-    """For each member, the nearest one within the radius that it meets on its way down the tree as it is added."""
-    grown, held = BKTree(), {}
-    for fp, node, n, _ in tree:
-        met = [(d, *held[x]) for x, d in grown.way(fp) if d <= radius and sized_alike(n, held[x][1])]
-        if met:
-            yield node, min(met)[1]
-        grown.add(fp)
-        held.setdefault(fp, (node, n))
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets share NUM / DEN of their union."""
+    few, many = min(len(a), len(b)), max(len(a), len(b))
+    return few * DEN >= many * NUM and len(np.intersect1d(a, b, assume_unique=True)) * (NUM + DEN) >= (few + many) * NUM
 
 
-def across(tree: list[Member], asking: list[Member] | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Pairs within the radius of unlike tops, one of the tree and one asking (None: both of the tree).
+def rarest(members: list[Member]) -> list[list[int]]:
+    """For each member the numbers of its rarest shingles, so many that a similar set must share one of them as its own."""
+    _, inverse, counts = np.unique(np.concatenate([m.hashes for m in members]), return_inverse=True, return_counts=True)
+    order = np.empty(len(counts), np.int64)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    out, at = [], 0
+    for m in members:
+        own, at = order[inverse[at : at + len(m.hashes)]], at + len(m.hashes)
+        most = len(own) - -(-len(own) * NUM // DEN) + 1
+        own = np.sort(own)[:most]
+        out.append(own[own >= (counts == 1).sum()].tolist())  # whoever has a shingle alone shares it with nobody
+    return out
 
-    Members of the largest top need not search: whoever lies near them and is unlike does.
+
+def local_links(members: list[Member], radius: int) -> Iterator[tuple[int, int]]:
+    """(a, b): similar nodes of a tile whose link joins two components, until none is left to join.
+
+    If nobody asks, the holders outside the largest component do.
     """
-    both = tree + (asking or [])
-    largest = Counter(x[3] for x in both).most_common(1)[0][0]
-    sides = [(tree, tree)] if asking is None else [(tree, asking), ([x for x in asking if x[3] == largest], tree)]
-    for held, queries in sides:
-        queries = [x for x in queries if x[3] != largest]
-        grown, at = BKTree(), {}
-        for x in held if queries else []:
-            grown.add(x[0])
-            at.setdefault(x[0], []).append(x)
-        for fp, node, n, top in queries:
-            for near in grown.near(fp, radius):
-                for _, other, m, of in at[near]:
-                    if of != top and sized_alike(n, m):
-                        yield (node, other) if node < other else (other, node)
-
-
-def searched(tiles: DataFrame, search: Callable[[list[Member], list[Member] | None], Iterator[tuple[int, int]]]) -> DataFrame:
-    """Distinct (a, b) that ``search`` finds in the tiles: rows (fp, node, n, top, shard, i, j, holds)."""
+    forest, tree, at = Forest(), BKTree(), {}
+    for m in members:
+        forest.join(m.node, m.top)
+
+    def link(x: Member, y: Member) -> bool:
+        if forest.root(x.node) == forest.root(y.node) or not similar(x.hashes, y.hashes):
+            return False
+        forest.join(x.node, y.node)
+        return True
+
+    asking = [k for k, m in enumerate(members) if not m.holds]
+    for k, x in enumerate(members):
+        if x.holds:
+            for fp, d in tree.way(x.fp) if not asking else ():
+                if d <= radius and link(x, members[at[fp][0]]):
+                    yield x.node, members[at[fp][0]].node
+            tree.add(x.fp)
+            at.setdefault(x.fp, []).append(k)
+    if not asking:
+        tops = Counter(forest.root(m.node) for m in members)
+        if len(tops) < 2:
+            return
+        largest = tops.most_common(1)[0][0]
+        asking = [k for k, m in enumerate(members) if forest.root(m.node) != largest]
+    rare, postings = rarest(members), defaultdict(list)
+    for k, m in enumerate(members):
+        if m.holds:
+            for shingle in rare[k]:
+                postings[shingle].append(k)
+    for k in asking:
+        x = members[k]
+        share = {j for shingle in rare[k] for j in postings[shingle] if forest.root(members[j].node) != forest.root(x.node)}
+        if share:
+            for fp in tree.near(x.fp, radius):
+                for j in at[fp]:
+                    if j in share and link(x, members[j]):
+                        yield x.node, members[j].node
+
+
+def searched(tiles: DataFrame, radius: int) -> DataFrame:
+    """Distinct (a, b) found in the tiles: rows (fp, node, top, holds, hashes, shard, i)."""
 
     def run(batches: Batches) -> Batches:
-        key, sides = None, ([], [])
-        out: set[tuple[int, int]] = set()
-
-        def close() -> None:
-            if key is not None and len(sides[0]) + len(sides[1]) > 1:
-                out.update(search(sides[1], None if key[1] == key[2] else sides[0]))
+        key, members = None, []
+        out: list[tuple[int, int]] = []
 
         def flush() -> pa.RecordBatch:
             a, b = ([x[k] for x in out] for k in (0, 1))
@@ -157,42 +200,49 @@ def searched(tiles: DataFrame, search: Callable[[list[Member], list[Member] | No
 
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64).tolist()
-            for fp, node, n, top, shard, i, j, holds in zip(fps, *(batch.column(k).to_pylist() for k in range(1, 8))):
-                if key is None or (shard, i, j) != key:
-                    close()
-                    key, sides = (shard, i, j), ([], [])
-                sides[holds].append((fp, node, n, top))
+            ends = np.cumsum(pc.list_value_length(batch.column(4)).to_numpy())[:-1]
+            sets = np.split(batch.column(4).flatten().to_numpy(), ends)
+            for fp, node, top, holds, hashes, *at in zip(fps, *(batch.column(k).to_pylist() for k in (1, 2, 3)), sets, *(batch.column(k).to_pylist() for k in (5, 6))):
+                if at != key:
+                    out.extend(local_links(members, radius) if len(members) > 1 else ())
+                    key, members = at, []
+                members.append(Member(fp, node, top, holds, hashes.copy()))
             if len(out) > 10_000:
                 yield flush()
-        close()
+        out.extend(local_links(members, radius) if len(members) > 1 else ())
         yield flush()
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    dealt = tiles.select("fp", "node", "top", "holds", "hashes", "shard", "i").repartition("shard", "i").sortWithinPartitions("shard", "i")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(texts: DataFrame, distinct: DataFrame, tree: int = TREE, radius: int = RADIUS) -> DataFrame:
+def links(texts: DataFrame, distinct: DataFrame, tree: int = TREE, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect the nodes of ``distinct`` (node, n, fp, keys, id, digest) wherever a candidate pair is similar."""
-    placed = distinct.select("fp", "node", "n", "id", "digest", F.explode("keys").alias("shard"))
+    placed = distinct.select("fp", "node", "id", "digest", F.explode("keys").alias("shard"))
     sized = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    placed = cut(placed.join(sized, "shard").withColumn("parts", F.ceil(F.col("held") / tree).cast("int")))
+    parts = F.ceil(F.col("held") / tree).cast("int")
+    placed = placed.join(sized, "shard").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    placed = cut(placed)
     # Only texts that share a shard with another are compared at all.
     sets = cut(shingle_sets(texts.join(placed.select("id", "digest").distinct(), ["id", "digest"], "left_semi")))
-    columns = ["fp", "node", "n", "top"]
-    alone = tiled(placed.withColumn("top", F.col("node")), columns, pairs=False)
-    # Sub-shards of one shard meet through their least nodes.
-    heads = placed.where("parts > 1").groupBy("shard", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).alias("own")).agg(F.min("node").alias("b"))
-    heads = heads.join(heads.groupBy("shard").agg(F.min("b").alias("a")), "shard").where("a < b").select("a", "b")
-    stars = cut(searched(alone, lambda held, _: nearest(held, radius)).union(heads).distinct())
-    first = cut(similar(stars, sets))
-    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    member = cut(placed.join(roots, "node", "left").withColumn("top", F.coalesce("root", "node")))
-    mixed = member.groupBy("shard").agg((F.min("top") < F.max("top")).alias("mixed")).where("mixed").select("shard")
-    pairs = searched(tiled(member.join(mixed, "shard"), columns), lambda held, asking: across(held, asking, radius))
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return first.union(similar(pairs.join(known, ["a", "b"], "left_anti"), sets))
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: int = TREE) -> DataFrame:
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(9)), F.greatest(F.lit(1), F.floor(F.col("held") / pivots))) == 0)
+    where = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    first = placed.select("fp", "node", F.col("node").alias("top"), F.lit(True).alias("holds"), "shard", F.explode(where).alias("i"))
+    found = cut(searched(first.join(sets, "node"), radius))
+    large = placed.where("parts > 1")
+    if large.isEmpty():
+        return found
+    roots = components(found).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    member = large.join(roots, "node", "left").withColumn("top", F.coalesce("root", "node"))
+    largest = member.groupBy("shard", "top").agg(F.count(F.lit(1)).alias("n")).groupBy("shard").agg(F.max(F.struct("n", "top"))["top"].alias("largest"))
+    member = cut(member.join(largest, "shard"))
+    asks = member.where("top <> largest").select("fp", "node", "top", F.lit(False).alias("holds"), "shard", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("own"))).alias("i"))
+    asked = asks.select("shard", "i").distinct()
+    holds = member.select("fp", "node", "top", F.lit(True).alias("holds"), "shard", F.col("own").alias("i")).join(asked, ["shard", "i"], "left_semi")
+    return found.union(searched(holds.select(*asks.columns).union(asks).join(sets, "node"), radius))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: int = TREE, pivots: int = PIVOTS) -> DataFrame:
     """The rows of docs that stay: of each component of linked texts, the one with the smallest id.
 
     Words are split at blanks, with A-Z lower-cased; a null text has none, and texts without words are
@@ -208,7 +258,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.min(F.struct("id", "digest")).alias("least")
     distinct = signatures(texts).groupBy("node").agg(row, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     distinct = cut(distinct.select("node", "least.*", "n", "fp", "keys"))
-    roots = components(links(texts, distinct, tree)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = components(links(texts, distinct, tree, pivots)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     kept = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(row).select(F.col("least.id").alias(the_id), F.col("least.digest").alias(digest))
     # The window needs no shuffle of its own: it is dealt as the join is.
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()]

@@ -147,17 +147,14 @@ def shards(fp: Column) -> Column:
     return F.array(*out)
 
 
-def tiled(placed: DataFrame, columns: list[str], pairs: bool = True) -> DataFrame:
-    """(columns, shard, i, j, holds) dealt and sorted by tile: sub-shard i of a shard meets j >= i once; i holds the tree, j asks.
+def tiled(placed: DataFrame) -> DataFrame:
+    """(fp, shard, i, j, holds) dealt and sorted by tile: sub-shard i of a shard meets j >= i once; i holds the tree, j asks.
 
-    placed: columns, with fp among them, shard and parts (sub-shards of its shard).  Without pairs each
-    sub-shard meets itself only.
+    placed: fp, shard and parts (sub-shards of its shard).
     """
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-    cutted = placed.select(*columns, "shard", "parts", own.alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if pairs else F.col("own")
-    tiles = cutted.select(*columns, "shard", "own", other.alias("other"))
-    tiles = tiles.select(*columns, "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("holds"))
+    tiles = placed.select("fp", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("fp", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("holds"))
     return tiles.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
 
@@ -167,7 +164,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
         raise ValueError("choices of three of six blocks find every link up to three differing bits")
     placed = distinct.select("fp", F.explode(shards(F.col("fp"))).alias("shard"))
     sized = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = tiled(placed.join(sized, "shard").select("fp", "shard", F.ceil(F.col("n") / tree).cast("int").alias("parts")), ["fp"])
+    tiles = tiled(placed.join(sized, "shard").select("fp", "shard", F.ceil(F.col("n") / tree).cast("int").alias("parts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree_side, asking = None, [], []
@@ -201,7 +198,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     """(id, fingerprint, component_id) for each row; component_id is the smallest id that links reach.
 
     Texts without words have fingerprint zero, which links like any other.  Rows may repeat; a null id
-    counts only where its component has no other.  Other columns are ignored; no rows give no rows.
+    counts only where its component has no other.  Texts of any length count whole; equal texts have
+    equal fingerprints.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least")))

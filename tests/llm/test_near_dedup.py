@@ -3,7 +3,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from freqloom.llm.near_dedup import across, nearest, near_dedup
+from freqloom.llm.near_dedup import Member, local_links, near_dedup, rarest, shingle_set, similar
+from freqloom.llm.simhash import majority
 
 from .helpers import awkward, docs, empty
 
@@ -36,35 +37,57 @@ def near_copies():
     return texts + ["", None, " ", "one", "ONE", "two words"]
 
 
-@pytest.mark.parametrize("tree", (2048, 3))
-def test_kept_equal_brute_force(spark, tree):
+@pytest.mark.parametrize("tree, pivots", ((1024, 64), (3, 64), (3, 1)))
+def test_kept_equal_brute_force(spark, tree, pivots):
     texts = near_copies()
     want = brute_kept(texts)
     assert 30 < len(want) < 180
-    assert sorted(r.doc_id for r in near_dedup(docs(spark, texts), tree=tree).collect()) == want
+    assert sorted(r.doc_id for r in near_dedup(docs(spark, texts), tree=tree, pivots=pivots).collect()) == want
 
 
-def test_nearest_and_across():
-    random.seed(3)
-    members = [(fp, k, 10 + k % 3, k % 4) for k, fp in enumerate(random.getrandbits(8) for _ in range(60))]
-    assert all((members[a][0] ^ members[b][0]).bit_count() <= 3 and b < a for a, b in nearest(members, 3))
-    near = lambda x, y: x[3] != y[3] and (x[0] ^ y[0]).bit_count() <= 2 and 5 * min(x[2], y[2]) >= 4 * max(x[2], y[2])
-    pairs = lambda one, two: {(min(x[1], y[1]), max(x[1], y[1])) for x in one for y in two if near(x, y)}
-    assert set(across(members, None, 2)) == pairs(members, members)
-    assert set(across(members[:25], members[25:], 2)) == pairs(members[:25], members[25:])
+def members(texts, asks=()):
+    sets = [shingle_set(t.encode()) for t in texts]
+    return [Member(majority(x) % (1 << 64), k, k, k not in asks, x.view("int64")) for k, x in enumerate(sets)]
 
 
-def test_many_copies_give_few_pairs(spark):
-    """A large group of near copies: each has one candidate in a shard, not all the others."""
+def parts(pairs, n):
+    top = list(range(n))
+    for a, b in pairs:
+        top = [top[b] if x == top[a] else x for x in top]
+    return {frozenset(k for k in range(n) if top[k] == t) for t in top}
+
+
+def test_links_of_a_tile():
+    texts = [t for t in dict.fromkeys(near_copies()) if t and t.strip()]
+    found = members(texts)
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if similar(found[a].hashes, found[b].hashes)]
+    got = list(local_links(found, 22))
+    assert parts(got, len(texts)) == parts(pairs, len(texts)) and set(got) <= {(a, b) for p in pairs for a, b in (p, p[::-1])}
+    assert len(got) == len(texts) - len(parts(pairs, len(texts)))  # a link joins two components
+    asks = set(range(0, len(texts), 3))
+    got = list(local_links(members(texts, asks), 22))
+    assert parts(got, len(texts)) == parts([(a, b) for a, b in pairs if (a in asks) != (b in asks)], len(texts))
+
+
+def test_similar_sets_share_a_rarest_shingle():
+    texts = [t for t in dict.fromkeys(near_copies()) if t and t.strip()]
+    found = members(texts)
+    rare = [set(x) for x in rarest(found)]
+    assert all(rare[a] & rare[b] for a in range(len(texts)) for b in range(a) if similar(found[a].hashes, found[b].hashes))
+    assert sum(not (rare[a] & rare[b]) for a in range(len(texts)) for b in range(a)) > len(texts) ** 2 / 3
+
+
+def test_many_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    from freqloom.llm import near_dedup as N
+
     random.seed(4)
     words = [f"w{k}" for k in range(200)]
     texts = [" ".join(words[:k] + [f"changed{k}"] + words[k + 1 :]) for k in range(150)]
-    from freqloom.llm.near_dedup import shingle_set
-    from freqloom.llm.simhash import majority
-
-    members = [(majority(shingle_set(t.encode())) % (1 << 64), k, len(shingle_set(t.encode())), k) for k, t in enumerate(texts)]
-    assert len(set(nearest(members, 22))) == 149
-    assert [r.doc_id for r in near_dedup(docs(spark, texts)).collect()] == [0]
+    texts += [" ".join(f"other{k}" if random.random() < 0.12 else w for w in words) for k in range(60)]  # alike, but not enough
+    calls, real = [], N.similar
+    monkeypatch.setattr(N, "similar", lambda a, b: calls.append(1) or real(a, b))
+    assert len(list(local_links(members(texts), 22))) == 149 and len(calls) < 1500
+    assert len(near_dedup(docs(spark, texts)).collect()) == 61
 
 
 def test_pipeline_leaves_no_near_copies(spark, sf_dir):

@@ -138,7 +138,7 @@ def test_tiles_of_a_fingerprint_do_not_grow(spark):
 
 def test_tiles_of_a_shard_hold_every_pair_once(spark):
     rows = [(k, 5, 4) for k in range(40)]
-    tiles = tiled(spark.createDataFrame(rows, "fp long, shard long, parts int"), ["fp"]).collect()
+    tiles = tiled(spark.createDataFrame(rows, "fp long, shard long, parts int")).collect()
     met = {}
     for r in tiles:
         met.setdefault((r.i, r.j), ([], []))[r.holds].append(r.fp)
