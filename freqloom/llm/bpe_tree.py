@@ -85,8 +85,9 @@ def decode_tree(decode: Callable[[list[int]], bytes], ids: list[int], leaf: int
 def encode_bpe(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, decode: bool = False) -> DataFrame:
     """(id, n_tokens, ids[, decoded]): ids are little-endian unsigned 32-bit integers in a binary column.
 
-    Special tokens are never made.  A null or empty text has no tokens; rows may repeat; other columns
-    are ignored.  The rank file is read once on the driver (its size is that of the vocabulary) and
+    Special tokens are never made.  A null or empty text has no tokens; texts of any length are encoded
+    whole; rows may repeat, and equal texts get equal ids; other columns are ignored, whatever their
+    names; an empty table gives no rows.  The rank file is read once on the driver (its size is that of the vocabulary) and
     broadcast.  Each row is handled alone: no shuffle, and memory is bounded by the longest text.
     """
     with open(ranks_file, "rb") as f:

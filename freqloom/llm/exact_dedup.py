@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; a null text is an empty one.  The row with
     the largest id stays (a null id is the smallest; of rows with equal ids and texts exactly one
-    stays).  Other columns of ``docs`` are ignored, whatever their names; an empty input gives no rows.
+    stays).  Texts of any length are compared whole, by SHA-256.  Other columns of ``docs`` are ignored, whatever their names; an empty input gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = cut(digests(docs, id_col, text_col)).select(id_col, "text_sha256", F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key"))
