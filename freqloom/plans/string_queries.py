@@ -62,6 +62,7 @@ def description_requests(spark, d):
     return prompts.description_requests(c, c.where("concept_id < 5"))
 
 
+#: Texts made of a class name.
 LABEL_TEMPLATES = [("set", "There is {article} {c} in the scene."), ("set", "a photo of the {c}."), ("set", "the {c} in a photo.")]
 
 
