@@ -12,7 +12,7 @@ the shard's largest component search the tree.  They skip whoever shares none of
 of two sets that share 0.8, the first fifth of each in a common order has a shingle of the other.  So a
 large group of copies is neither compared nor emitted pair by pair.
 
-Texts with equal shingle sets are one node throughout.  A shard of over ``TREE`` nodes is cut into
+Texts with equal shingle sets are one node throughout, and of shards with the same nodes one is searched.  A shard of over ``TREE`` nodes is cut into
 sub-shards, each with the same ``PIVOTS`` nodes of the whole shard, through which its copies join those
 of the others; then the texts outside the shard's largest component visit its other sub-shards.
 """
@@ -219,7 +219,10 @@ def searched(tiles: DataFrame, radius: int) -> DataFrame:
 def links(texts: DataFrame, distinct: DataFrame, tree: int = TREE, pivots: int = PIVOTS, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect the nodes of ``distinct`` (node, n, fp, keys, id, digest) wherever a candidate pair is similar."""
     placed = distinct.select("fp", "node", "id", "digest", F.explode("keys").alias("shard"))
-    sized = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
+    sized = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("held"), *sums).where("held > 1")
+    # Most near copies meet in many shards: of shards with the same nodes, one will do.
+    sized = sized.groupBy("held", "sum1", "sum2").agg(F.min("shard").alias("shard")).select("shard", "held")
     parts = F.ceil(F.col("held") / tree).cast("int")
     placed = placed.join(sized, "shard").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     placed = cut(placed)
