@@ -95,6 +95,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import audited
+
+    return audited(table(spark, sf_dir, "conversations"))
+
+
 OP7_SQL = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
