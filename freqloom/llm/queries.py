@@ -95,6 +95,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import FLAG, fit, held_out, score
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    done = score(docs, fit(docs, labels))
+    return done.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= FLAG).cast("int").alias("predicted"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import audited
 
