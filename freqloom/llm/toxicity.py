@@ -4,7 +4,9 @@ A text's features are its words and the first 3 to 6 letters of them, each with
 count, and the logarithm of the text's length in words.  A logistic model learns weights of the features
 that tell most about the labels.  It must not learn that a group's name is toxic because toxic texts
 mention it: in sentences of labelled texts that hold identity terms, each term is swapped for the next
-of its group, and the squared change of the score (as log-odds) is added to the loss, times ``FAIR``.
+of its group, and in a second copy for the group's neutral word; the mean squared change of the score (as
+log-odds) is added to the loss, times ``FAIR``.  The first makes the terms of a group weigh alike, the
+second as much as a word that names no group.
 
 The sample is bounded: at most ``SAMPLE`` texts of each class and ``SAMPLE_BYTES`` of them, in the order
 of a hash of the id, whole texts only; texts of over ``TEXT_BYTES`` are not learnt from, only scored; at
@@ -37,25 +39,25 @@ LENGTH = "#"  # not a word
 WORD, SENTENCE = r"[^\W\d_]+", r"[^.!?\n]+"
 #: Words a worker keeps the features of.
 CACHE = 1 << 18
-#: Identity terms by group; a term is swapped for the next one of its group.
+#: Identity terms by group, the group's neutral word last.
 IDENTITY = tuple(
     tuple(g.split())
     for g in (
-        "muslim christian jewish hindu buddhist atheist catholic protestant sikh",
-        "muslims christians jews hindus buddhists atheists catholics protestants sikhs",
-        "women men",
-        "woman man",
-        "female male",
-        "girl boy",
-        "girls boys",
-        "gay lesbian bisexual transgender straight heterosexual homosexual queer",
-        "black white asian latino african european hispanic arab",
-        "american mexican chinese indian russian german french british turkish polish nigerian japanese",
-        "americans mexicans indians russians germans turks poles nigerians",
-        "immigrant refugee migrant foreigner native",
-        "immigrants refugees migrants foreigners natives",
-        "old young elderly teenage",
-        "blind deaf disabled autistic",
+        "muslim christian jewish hindu buddhist atheist catholic protestant sikh religious",
+        "muslims christians jews hindus buddhists atheists catholics protestants sikhs believers",
+        "women men people",
+        "woman man person",
+        "female male human",
+        "girl boy child",
+        "girls boys children",
+        "gay lesbian bisexual transgender straight heterosexual homosexual queer adult",
+        "black white asian latino african european hispanic arab tall",
+        "american mexican chinese indian russian german french british turkish polish nigerian japanese local",
+        "americans mexicans indians russians germans turks poles nigerians locals",
+        "immigrant refugee migrant foreigner native citizen",
+        "immigrants refugees migrants foreigners natives citizens",
+        "old young elderly teenage busy",
+        "blind deaf disabled autistic busy",
     )
 )
 
@@ -86,10 +88,10 @@ def features(found: list[str]) -> dict[str, float]:
     return {f: math.log1p(n) for f, n in counts.items()} | {LENGTH: math.log1p(len(found))}
 
 
-def swapped(sentence: list[str], identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[str] | None:
-    """The words with each identity term swapped for the next of its group; None if there is none."""
-    after = {t: g[(k + 1) % len(g)] for g in identity for k, t in enumerate(g)}
-    return [after.get(w, w) for w in sentence] if any(w in after for w in sentence) else None
+def swapped(sentence: list[str], identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[list[str]]:
+    """The words with each identity term swapped for the next of its group, and for the group's neutral word; [] if there is none."""
+    after = {t: (g[(k + 1) % (len(g) - 1)], g[-1]) for g in identity for k, t in enumerate(g[:-1])}
+    return [[after[w][k] if w in after else w for w in sentence] for k in (0, 1)] if any(w in after for w in sentence) else []
 
 
 def telling(texts: list[dict[str, float]], y: np.ndarray, most: int) -> list[str]:
@@ -145,7 +147,7 @@ def learn(rows: list[tuple[str, int]], totals: list[int], identity: tuple[tuple[
     found = [features(w) for w in cut]
     names = [*telling(found, y, FEATURES), LENGTH]
     place = {f: k for k, f in enumerate(names)}
-    terms = {t for g in identity for t in g}
+    terms = {t for g in identity for t in g[:-1]}
 
     def matrix(some: list[dict[str, float]]) -> np.ndarray:
         out = np.zeros((len(some), len(names)), np.float32)
@@ -156,13 +158,11 @@ def learn(rows: list[tuple[str, int]], totals: list[int], identity: tuple[tuple[
 
     pairs = []
     for (text, _), w in zip(rows, cut):
-        if len(pairs) < SENTENCES and not terms.isdisjoint(w):
+        if len(pairs) < 2 * SENTENCES and not terms.isdisjoint(w):
             for s in re.findall(SENTENCE, text):
                 own = words(s)
-                other = swapped(own, identity)
-                if other is not None:
-                    pairs.append((features(own), features(other)))
-    pairs = pairs[:SENTENCES]
+                pairs += [(features(own), features(other)) for other in swapped(own, identity)]
+    pairs = pairs[: 2 * SENTENCES]
     changes = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
     intercept, weights = logistic(matrix(found), y, changes, fair, RIDGE, STEPS)
     # The sample's classes are balanced by its bound; the corpus's are not.

@@ -57,8 +57,8 @@ def test_descent_finds_the_least_loss():
 
 
 def test_swaps_stay_within_groups():
-    assert X.swapped("a woman and a muslim".split()) == "a man and a christian".split()
-    assert X.swapped("the men".split()) == ["the", "women"] and X.swapped(["a", "house"]) is None
+    assert X.swapped("a woman and a muslim".split()) == ["a man and a christian".split(), "a person and a religious".split()]
+    assert X.swapped("the men".split()) == [["the", "women"], ["the", "people"]] and X.swapped(["a", "house"]) == [] and X.swapped(["people"]) == []
 
 
 def test_scores_of_features_and_of_the_scorer_agree():
