@@ -10,7 +10,7 @@ second as much as a word that names no group.
 
 The sample is bounded: at most ``SAMPLE`` texts of each class and ``SAMPLE_BYTES`` of them, in the order
 of a hash of the id, whole texts only; texts of over ``TEXT_BYTES`` are not learnt from, only scored; at
-most ``SENTENCES`` sentences are swapped.  Scoring is row by row, without a shuffle.
+most ``SENTENCES`` sentences of a text are swapped.  Scoring is row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, small_batches
+from .common import cut, free_names, small_batches
 
-SAMPLE, SAMPLE_BYTES, TEXT_BYTES, SENTENCES = 3000, 32 << 20, 1 << 20, 5000
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES, SENTENCES = 3000, 32 << 20, 1 << 20, 4
 FEATURES, LEAST_TEXTS, RIDGE, STEPS, FAIR = 1500, 3, 0.3, 600, 10.0
 #: Folds by crc32 of the id as text; this one is held out from learning.
 FOLDS, HELD_OUT = 4, 2
@@ -94,23 +94,10 @@ def swapped(sentence: list[str], identity: tuple[tuple[str, ...], ...] = IDENTIT
     return [[after[w][k] if w in after else w for w in sentence] for k in (0, 1)] if any(w in after for w in sentence) else []
 
 
-def telling(texts: list[dict[str, float]], y: np.ndarray, most: int) -> list[str]:
-    """The features whose presence departs most from chance, by z-score, among those of LEAST_TEXTS texts."""
-    total: Counter[str] = Counter()
-    ones: Counter[str] = Counter()
-    for f, label in zip(texts, y):
-        total.update(f.keys())
-        if label:
-            ones.update(f.keys())
-    share = y.mean()
-    z = {f: abs(ones[f] - n * share) / math.sqrt(n * share * (1 - share) + 0.5) for f, n in total.items() if n >= LEAST_TEXTS and f != LENGTH}
-    return sorted(z, key=lambda f: (-z[f], f))[:most]
-
-
 def logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, fair: float, ridge: float, steps: int) -> tuple[float, np.ndarray]:
     """Intercept and weights least in mean log loss + ridge / rows * |w|^2 / 2 + fair * mean squared change, by accelerated descent."""
     n, d = x.shape
-    a = np.column_stack((x, np.ones(n)))
+    a = np.column_stack((x, np.ones(n, x.dtype)))
     pull = np.append(np.full(d, ridge / n), 0.0)
     w = probe = np.zeros(d + 1)
     v = np.ones(d + 1) / math.sqrt(d + 1)
@@ -137,40 +124,25 @@ def logistic(x: np.ndarray, y: np.ndarray, changes: np.ndarray, fair: float, rid
     return float(w[-1]), w[:-1]
 
 
-def learn(rows: list[tuple[str, int]], totals: list[int], identity: tuple[tuple[str, ...], ...] = IDENTITY, fair: float = FAIR) -> Model:
-    """The model of labelled texts, of which the corpus has so many of each class; without both classes, the base rate."""
-    prior = math.log((totals[1] + 1) / (totals[0] + 1))
-    y = np.array([k for _, k in rows], float)
-    if not 0 < y.sum() < len(y):
-        return Model(prior)
-    cut = [words(t) for t, _ in rows]
-    found = [features(w) for w in cut]
-    names = [*telling(found, y, FEATURES), LENGTH]
-    place = {f: k for k, f in enumerate(names)}
-    terms = {t for g in identity for t in g[:-1]}
+def vector(found: list[str], place: dict[str, int]) -> dict[int, float]:
+    return {place[f]: v for f, v in features(found).items() if f in place}
 
-    def matrix(some: list[dict[str, float]]) -> np.ndarray:
-        out = np.zeros((len(some), len(names)), np.float32)
-        for i, f in enumerate(some):
-            for name in f.keys() & place.keys():
-                out[i, place[name]] = f[name]
-        return out
 
-    pairs = []
-    for (text, _), w in zip(rows, cut):
-        if len(pairs) < 2 * SENTENCES and not terms.isdisjoint(w):
-            for s in re.findall(SENTENCE, text):
-                own = words(s)
-                pairs += [(features(own), features(other)) for other in swapped(own, identity)]
-    pairs = pairs[: 2 * SENTENCES]
-    changes = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
-    intercept, weights = logistic(matrix(found), y, changes, fair, RIDGE, STEPS)
-    # The sample's classes are balanced by its bound; the corpus's are not.
-    return Model(intercept + prior - math.log(y.sum() / (len(y) - y.sum())), {f: float(x) for f, x in zip(names, weights)})
+def changes_of(text: str, place: dict[str, int], identity: tuple[tuple[str, ...], ...]) -> list[dict[int, float]]:
+    """How the features change by each swap of the text's first SENTENCES sentences with identity terms."""
+    out: list[dict[int, float]] = []
+    for s in re.findall(SENTENCE, text):
+        own = words(s)
+        for other in swapped(own, identity):
+            x, y = vector(own, place), vector(other, place)
+            out.append({k: d for k in x.keys() | y.keys() if (d := x.get(k, 0.0) - y.get(k, 0.0))})
+        if len(out) >= 2 * SENTENCES:
+            break
+    return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[str, int]], list[int]]:
-    """The bounded sample, in hash order, and how many labelled ids of each class there are to learn from."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, list[int]]:
+    """The bounded sample (order, text, label), and how many labelled ids of each class there are to learn from."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("__label"))
     order = F.struct(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"))
     totals = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
@@ -181,7 +153,27 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = rows.where(F.octet_length("__text") <= TEXT_BYTES).groupBy(id_col, "__label").agg(F.min("__text").alias("__text"))
     before = Window.partitionBy("__label").orderBy(order, "__text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__upto", F.sum(F.octet_length("__text")).over(before)).where(F.col("__upto") <= SAMPLE_BYTES)
-    return [(r[0], r[1]) for r in rows.orderBy(order, "__text").select("__text", "__label").collect()], [totals[0], totals[1]]
+    return cut(rows.select(order.alias("order"), F.col("__text").alias("text"), F.col("__label").cast("int").alias("label")).repartition(16)), [totals[0], totals[1]]
+
+
+def telling(rows: DataFrame, most: int = FEATURES) -> list[str]:
+    """The features whose presence departs most from chance, by z-score, among those of LEAST_TEXTS texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter[str] = Counter()
+            ones: Counter[str] = Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {f for w in set(words(text)) for f in word_features(w)}
+                total.update(found)
+                if label:
+                    ones.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([ones[f] for f in total], pa.int64())], ["f", "n", "ones"])
+
+    counts = rows.select("text", "label").mapInArrow(run, "f string, n long, ones long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    share = rows.agg(F.avg("label")).first()[0]
+    z = F.abs(F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 0.5)
+    return [r["f"] for r in counts.where(F.col("n") >= LEAST_TEXTS).select("f", F.round(z, 9).alias("z")).orderBy(F.desc("z"), "f").limit(most).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", identity: tuple[tuple[str, ...], ...] = IDENTITY, fair: float = FAIR) -> Model:
@@ -189,10 +181,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Of several labels of one id the smaller counts; other labels than 0 and 1, and null ids, are left
     out.  Of several rows of one id the smallest text counts, once.  A null text is empty; one of over
-    TEXT_BYTES is not learnt from.  Empty tables give the base rate of one in two.
+    TEXT_BYTES is not learnt from.  Empty tables give the base rate of one in two.  The texts stay on the
+    executors: the driver gets the chosen features and each text's values of them.
     """
     small_batches(docs.sparkSession)
-    return learn(*sample(docs, labels, id_col, text_col, label_col), identity, fair)
+    rows, totals = sample(docs, labels, id_col, text_col, label_col)
+    prior = math.log((totals[1] + 1) / (totals[0] + 1))
+    if rows.select("label").distinct().count() < 2:
+        return Model(prior)
+    names = [*telling(rows), LENGTH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: k for k, f in enumerate(names)}
+        for batch in batches:
+            out = []
+            for text in batch.column(2).to_pylist():
+                out.append([vector(words(text), place), *changes_of(text, place, identity)])
+            lists = [[list(map(part, x)) for x in out] for part in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([[list(x) for x in one] for one in some], pa.list_(pa.list_(kind))) for some, kind in zip(lists, (pa.int32(), pa.float64())))], ["order", "label", "at", "value"])
+
+    kind = f"order {rows.schema['order'].dataType.simpleString()}, label int, at array<array<int>>, value array<array<double>>"
+    got = sorted(rows.select("order", "label", "text").mapInArrow(run, kind).collect(), key=lambda r: tuple(r["order"]))
+
+    def matrix(some: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        out = np.zeros((len(some), len(names)), np.float32)
+        for i, (at, value) in enumerate(some):
+            out[i, at] = value
+        return out
+
+    y = np.array([r["label"] for r in got], np.float32)
+    changes = matrix([x for r in got for x in zip(r["at"][1:], r["value"][1:])])
+    intercept, weights = logistic(matrix([(r["at"][0], r["value"][0]) for r in got]), y, changes, fair, RIDGE, STEPS)
+    # The sample's classes are balanced by its bound; the corpus's are not.
+    ones = float(y.sum())
+    return Model(intercept + prior - math.log(ones / (len(y) - ones)), {f: float(x) for f, x in zip(names, weights)})
 
 
 class Scorer:

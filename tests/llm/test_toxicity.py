@@ -25,11 +25,15 @@ def invented(n=600, seed=1):
     return rows
 
 
-def test_swapping_takes_the_weight_off_group_names():
-    rows = [(t, y) for _, t, y in invented()]
-    totals = [sum(y == k for _, y in rows) for k in (0, 1)]
-    free, fair = X.learn(rows, totals, fair=0.0), X.learn(rows, totals, fair=X.FAIR)
-    texts = [t.replace("women", "men") for t, y in rows if not y][:100]
+def fitted(spark, rows, **more):
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    return X.fit(docs, labels, **more)
+
+
+def test_swapping_takes_the_weight_off_group_names(spark):
+    rows = invented()
+    free, fair = (fitted(spark, rows, fair=x) for x in (0.0, X.FAIR))
+    texts = [t.replace("women", "men") for _, t, y in rows if not y][:100]
     shift = [np.mean([abs(X.Scorer(m).score(t) - X.Scorer(m).score(t + " women")) for t in texts]) for m in (free, fair)]
     assert shift[0] > 0.1 and shift[1] < shift[0] / 3
     neutral = [t + " The women here." for _, t, y in invented(seed=2) if not y]
