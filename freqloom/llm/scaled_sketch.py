@@ -1,12 +1,11 @@
 """Document fingerprints: threshold-scaled sketches (built-in functions only).
 
-A sketch's part ``low`` holds every shingle hash below a fixed fraction of the hash range, so sketches of
-parts merge by union, and the share of common hashes estimates containment however unequal two documents
-are.  A text with fewer than ``LEAST`` such hashes also has a part ``rest``, its next smallest hashes up
-to ``LEAST`` in all; ``low`` is whole in any case and ``rest`` merges too (see merged).  Two sketches
-alone are compared below the lower of their limits, which may leave a short text no hash.  Where the
-texts are at hand, they are compared below the higher limit: the longer text is hashed again up to the
-limit that the shorter one's sketch reaches.
+A sketch holds every shingle hash below a fixed fraction of the hash range, so the share of common hashes
+estimates containment however unequal two documents are.  Few hashes tell little, so the fractions are
+nested: a sketch is of the densest level that keeps at most ``FEW`` hashes, else of the last one, which is
+whole however long the text.  Two sketches are compared at the sparser of their two levels, from what they
+hold alone; the sketch of a union is exactly that of the merged sketches (see merged), since a union keeps
+no fewer hashes of any level.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, whole_text
 
-WORDS, FRACTION, LEAST = 5, 8, 16
-#: Below this, of the signed 64-bit range, lies one hash of FRACTION.
-LIMIT = -(1 << 63) + (1 << 64) // FRACTION
-TOP = (1 << 63) - 1
+WORDS, FEW = 5, 64
+#: Level 0 holds every hash, level k one of FRACTIONS[k]: those below LIMITS[k] of the signed 64-bit range.
+FRACTIONS = (1, 2, 4)
+LIMITS = tuple(-(1 << 63) + (1 << 64) // n - (n == 1) for n in FRACTIONS)
+LAST = len(FRACTIONS) - 1
 #: Rows of a block; blocks, whose first ids go through the driver; and of them in each range that is cut by itself.
 BLOCK_ROWS, MAX_BLOCKS, FINE = 500, 100_000, 32
 NO_ID = -(1 << 63)
@@ -43,66 +43,65 @@ def hashes(text: Column, words: int = WORDS) -> Column:
     return let(found, shingles)
 
 
-def of_hashes(h: Column) -> Column:
-    """The sketch (low, rest), both ascending, of hashes, which may repeat."""
+def below(h: Column, level: int) -> Column:
+    """The distinct hashes of a level, in any order."""
+    return F.array_distinct(F.filter(h, lambda x: x < LIMITS[level]) if level else h)
 
-    def parts(low: Column) -> Column:
-        missing = F.greatest(F.lit(0), F.lit(LEAST) - F.size(low))
-        rest = F.when(missing > 0, F.slice(F.array_sort(F.array_distinct(F.filter(h, lambda x: x >= LIMIT))), F.lit(1), missing)).otherwise(F.array().cast("array<bigint>"))
-        return F.struct(low.alias("low"), rest.alias("rest"))
 
-    return let(F.array_sort(F.array_distinct(F.filter(h, lambda x: x < LIMIT))), parts)
+def of_hashes(h: Column, least: Column | int = 0) -> Column:
+    """The sketch (level, hashes), hashes ascending, of hashes, which may repeat; it has level ``least`` at least."""
 
+    def made(level: int, held: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.array_sort(held).alias("hashes"))
 
-def sketch(text: Column, words: int = WORDS) -> Column:
-    """(low, rest) of the word shingles' hashes."""
-    return let(hashes(text, words), of_hashes)
+    def from_level(level: int, held: Column) -> Column:
+        """The sketch, if no level above this one keeps few; held: the hashes of this level."""
+        if not level:
+            return made(0, held)
+        # Of a long text the last level alone has many: no other is looked at.
+        denser = let(below(h, level - 1), lambda d: F.when((F.size(d) > FEW) | (F.lit(level - 1) < least), made(level, held)).otherwise(from_level(level - 1, d)))
+        return F.when(F.size(held) > FEW, made(level, held)).otherwise(denser)
+
+    return let(below(h, LAST), lambda d: from_level(LAST, d))
 
 
-def kept(a: Column) -> Column:
-    """All hashes of a sketch, ascending."""
-    return F.concat(a["low"], a["rest"])
+def sketch(text: Column, words: int = WORDS) -> Column:
+    """(level, hashes) of the word shingles' hashes."""
+    return let(hashes(text, words), of_hashes)
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of the union of what two sketches were made of, exactly."""
-    return let(F.concat(kept(a), kept(b)), of_hashes)
+    return let(F.struct(F.concat(a["hashes"], b["hashes"]).alias("h"), F.greatest(a["level"], b["level"]).alias("least")), lambda x: of_hashes(x["h"], x["least"]))
 
 
-def limit_of(a: Column) -> Column:
-    """The sketch holds all hashes of its text up to here."""
-    return F.when(F.size(a["low"]) + F.size(a["rest"]) < LEAST, F.lit(TOP)).when(F.size(a["rest"]) > 0, F.element_at(a["rest"], -1)).otherwise(F.lit(LIMIT))
+def at_level(a: Column, level: Column) -> Column:
+    """The sketch's hashes that a sketch of so sparse a level would hold."""
+    return F.when(a["level"] >= level, a["hashes"]).otherwise(let(F.element_at(F.lit(list(LIMITS)), level + 1), lambda limit: F.filter(a["hashes"], lambda h: h < limit)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller text's shingles that the other has: 0 to 1; equal sketches: 1; null: no estimate."""
+    """Estimated share of the smaller text's shingles that the other has, 0 to 1; equal sketches: 1; without a hash of both at the common level: 0."""
 
     def share(both: Column) -> Column:
-        x, y, to = both["a"], both["b"], both["to"]
-        few = F.least(*[F.size(F.filter(z, lambda h: h <= to)) for z in (x, y)])
-        return F.when(x == y, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(few > 0, F.least(F.lit(1.0), F.size(F.array_intersect(x, y)) / few))
-
-    return let(F.struct(kept(a).alias("a"), kept(b).alias("b"), F.least(limit_of(a), limit_of(b)).alias("to")), share)
+        x, y = both["x"], both["y"]
+        few = F.least(F.size(x), F.size(y))
+        return F.when(few > 0, F.size(F.array_intersect(x, y)) / few).otherwise(0.0)
 
+    level = F.greatest(a["level"], b["level"])
+    return F.when(a == b, F.lit(1.0)).otherwise(let(F.struct(at_level(a, level).alias("x"), at_level(b, level).alias("y")), share))
 
-def text_containment(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
-    """containment() of two sketches whose texts are at hand: never null, exact for a text of under LEAST hashes."""
-    to = F.greatest(limit_of(a), limit_of(b))
 
-    def up_to(own: Column, text: Column) -> Column:
-        return F.when(limit_of(own) >= to, kept(own)).otherwise(let(to, lambda t: F.array_distinct(F.filter(hashes(text), lambda h: h <= t))))
-
-    def share(both: Column) -> Column:
-        return F.size(F.array_intersect(both["a"], both["b"])) / F.least(F.size(both["a"]), F.size(both["b"]))
-
-    empty = [F.size(x["low"]) + F.size(x["rest"]) == 0 for x in (a, b)]
-    return F.when(limit_of(a) == limit_of(b), containment(a, b)).when(empty[0] | empty[1], F.lit(0.0)).otherwise(let(F.struct(up_to(a, text_a).alias("a"), up_to(b, text_b).alias("b")), share))
+def as_string(a: Column) -> Column:
+    """The level's digit and the hashes in hexadecimal."""
+    return F.concat(a["level"].cast("string"), F.array_join(F.transform(a["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ""))
 
 
-def as_string(a: Column) -> Column:
-    """The hashes of low in hexadecimal, and, if there is a rest, a plus sign and those of rest."""
-    low, rest = (F.array_join(F.transform(a[x], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "") for x in ("low", "rest"))
-    return F.when(F.size(a["rest"]) == 0, low).otherwise(F.concat(low, F.lit("+"), rest))
+def of_string(text: Column) -> Column:
+    """The sketch of a fingerprint string."""
+    n = ((F.length(text) - 1) / 16).cast("int")
+    part = F.transform(F.sequence(F.lit(1), n), lambda k: F.conv(F.substring(text, k * 16 - 14, F.lit(16)), 16, -10).cast("bigint"))
+    return F.struct(F.substring(text, 1, 1).cast("int").alias("level"), F.when(n > 0, part).otherwise(F.array().cast("array<bigint>")).alias("hashes"))
 
 
 def bounds_of(ids: DataFrame, blocks: int, fine: int = FINE) -> list[int]:
@@ -157,17 +156,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_chars, edited, sketch, next_sketch, near_next, edited_sketch, near_edited) for each row.
 
     edited is the text with its last quarter of code points replaced by the first as many of the next
-    document (by ascending id; rows with one id follow each other by text; a null id comes first).
-    Null texts are empty; texts of any length are taken whole; repeated rows are each other's next; a
-    lone document is its own next; other columns are ignored, whatever their names; an empty table gives
-    no rows.
+    document (by ascending id; rows with one id follow each other by text; a null id comes first).  near_next
+    and near_edited are made of the sketches alone.  Null texts are empty; texts of any length are taken
+    whole; repeated rows are each other's next; a lone document is its own next; other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     wide = with_next(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), block_rows)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    wide = wide.select("id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch", text_containment(F.col("sketch"), F.col("next_sketch"), F.col("text"), F.col("next_text")).alias("near_next"))
+    wide = wide.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch", containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
     wide = wide.withColumn("edited_sketch", sketch(F.col("edited")))
-    near = text_containment(F.col("sketch"), F.col("edited_sketch"), F.col("text"), F.col("edited"))
+    near = containment(F.col("sketch"), F.col("edited_sketch"))
     return wide.select(F.col("id").alias(id_col), "n_chars", "edited", "sketch", "next_sketch", "near_next", "edited_sketch", near.alias("near_edited"))
