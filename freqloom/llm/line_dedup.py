@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_names, small_batches, text_bytes
+from .common import cut, free_names, shared_dir, small_batches, text_bytes
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 3
@@ -63,7 +63,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 class LineRuns:
-    """The levelled runs, as bucketed tables in the shared warehouse.
+    """The levelled runs, as bucketed tables whose files are in the shared folder, wherever the warehouse is.
 
     A key counts as frequent from ``min_docs`` documents on.
     """
@@ -78,9 +78,18 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "key") if self.buckets > 1 else rows.coalesce(1)
-        dealt.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", self._path(name)).saveAsTable(name)
         return name
 
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
+    def _drop(self, name: str) -> None:
+        """The table and, since they have a path of their own, its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def matched(self, keys: DataFrame) -> DataFrame:
         """keys with (before, known): documents counted in the runs, and the ids kept there; 0 and none for a key that no run holds."""
         dealt = keys.repartition(self.buckets, "key") if self.buckets > 1 else keys.coalesce(1)
@@ -128,7 +137,7 @@ class LineRuns:
         old, self.levels[level] = self.levels[level], []
         merged = self._write(self._merge(old))
         for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+            self._drop(name)
         self._put(level + 1, merged)
 
     def _merge(self, names: list[str]) -> DataFrame:
@@ -150,7 +159,7 @@ class LineRuns:
 
     def drop(self) -> None:
         for name in self.names():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(name)
         self.levels = []
 
 

@@ -115,3 +115,17 @@ def test_columns_of_the_added_names_stay(spark):
     done = drop_lines(df)
     assert done.columns == [*df.columns, "__n_lines_", "__n_dropped_"] and {tuple(r) for r in done.select(*names).collect()} == {("mine",) * 4}
     assert sum(r[0] for r in done.select("__n_dropped_").collect()) == 3
+
+
+def test_runs_lie_in_the_shared_folder_and_go(spark):
+    import glob
+
+    from freqloom.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    runs = LineRuns(spark, 2)
+    runs.add(spark.createDataFrame([(1, b"some line"), (2, b"some line")], "doc long, key binary"))
+    assert len(glob.glob(f"{folder}/line_run_*/*.parquet")) > 0 and "line_run" in spark.table(runs.names()[0]).inputFiles()[0]
+    assert all(folder in x for x in spark.table(runs.names()[0]).inputFiles())
+    runs.drop()
+    assert not glob.glob(f"{folder}/line_run_*")
