@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.vectors import hamming
@@ -23,28 +25,50 @@ def copies_of(rows: DataFrame, group: str, id_col: str, bits: str) -> DataFrame:
     return rows.join(representatives(rows, group, id_col, bits).select(group, bits, F.col(id_col).alias("rep")), [group, bits]).select(group, id_col, "rep")
 
 
+def bands_of(radius: int) -> tuple[int, int]:
+    """(bands, within): 64-bit hashes at most ``radius`` bits apart differ by at most ``within`` bits in one of the bands."""
+    bands = radius + 1 if radius <= RADIUS else radius // 3 + 1
+    return bands, radius // bands
+
+
 def hash_pairs(rows: DataFrame, group: str, id_col: str, bits: str, radius: int = RADIUS, salts: int = SALTS) -> DataFrame:
-    """(group, a, b, dist) of ids a < b of one group with hashes at most ``radius`` bits apart.
+    """(group, a, b, dist) of ids a < b of one group with hashes at most ``radius`` bits apart, each once.
 
     Equal hashes of a group are one class: only its smallest id stands in pairs (copies_of has the
     members), so k copies give no k * k pairs.
 
-    Up to the default radius, hashes that near share one of radius + 1 bit bands, so candidates meet in
-    an equi-join on (group, band, value); a larger radius compares whole groups.  Either way one side
-    is dealt over salts, so a large group spreads over tasks.
+    Multi-index hashing: hashes are cut into bands, of which near ones share one up to a few bits (none up
+    to the default radius).  One side is looked up under every value that near in each band, so
+    candidates meet in an equi-join on (group, band, value); a pair counts in its first near band only.
+    The other side is dealt over salts, so a large group spreads over tasks.
     """
     r = representatives(rows, group, id_col, bits).select(group, F.col(id_col).alias("id"), F.col(bits).alias("h"))
-    if radius <= RADIUS:
-        n = radius + 1
-        edges = [64 * i // n for i in range(n + 1)]
-        bands = F.array(*[F.shiftrightunsigned("h", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])])
-        r = r.select("*", F.posexplode(bands).alias("band", "value"))
-    else:
-        r = r.withColumns({"band": F.lit(0), "value": F.lit(0).cast("long")})
-    left = r.select(group, "band", "value", F.col("id").alias("a"), F.col("h").alias("ha"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    right = r.select(group, "band", "value", F.col("id").alias("b"), F.col("h").alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    near = left.join(right, [group, "band", "value", "salt"]).where("a < b").select(group, "a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("dist")).where(F.col("dist") <= radius)
-    return near.distinct() if radius <= RADIUS else near
+    n, within = bands_of(radius)
+    edges = [64 * i // n for i in range(n + 1)]
+    spans = list(zip(edges, edges[1:]))
+
+    def band(h: Column, lo: int, hi: int) -> Column:
+        return F.shiftrightunsigned(h, lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)
+
+    def probes(k: int, lo: int, hi: int) -> Column:
+        masks = [sum(1 << x for x in held) for size in range(within + 1) for held in combinations(range(hi - lo), size)]
+        return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("band"), band(F.col("h"), lo, hi).bitwiseXOR(m).alias("value")))
+
+    left = r.select(group, F.col("id").alias("a"), F.col("h").alias("ha"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.flatten(F.array(*[probes(k, *x) for k, x in enumerate(spans)]))).alias("p"))
+    left = left.select(group, "a", "ha", "salt", "p.band", "p.value")
+    right = r.select(group, F.col("id").alias("b"), F.col("h").alias("hb"), F.posexplode(F.array(*[band(F.col("h"), *x) for x in spans])).alias("band", "value"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*[F.when(F.bit_count(band(differ, *x)) <= within, F.lit(k)) for k, x in enumerate(spans)])
+    near = left.join(right, [group, "band", "value", "salt"]).where("a < b").where((hamming(F.col("ha"), F.col("hb")) <= radius) & (first == F.col("band")))
+    return near.select(group, "a", "b", hamming(F.col("ha"), F.col("hb")).cast("long").alias("dist"))
+
+
+def classes(rows: DataFrame, pairs: DataFrame, group: str, id_col: str, bits: str) -> DataFrame:
+    """(group, id, rep, links): each row's class of equal hashes, and how many other classes of its group are near it; pairs: of hash_pairs."""
+    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return copies_of(rows, group, id_col, bits).join(links, "rep", "left").select(group, id_col, "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def greedy_survivors(rows: DataFrame, pairs: DataFrame, group: str, id_col: str) -> DataFrame:
@@ -102,18 +126,19 @@ def several_words(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col(name).contains(" "))
 
 
-def bucket_answers(entities: DataFrame, answers: DataFrame, id_col: str, n: str, most: int = 46, size: int = 1000, least: int = 100) -> DataFrame:
-    """(bucket, n, lo, hi, mean, answers): mean of all answers about the entities of each of the first ``most`` buckets.
+def bucket_answers(entities: DataFrame, answers: DataFrame, id_col: str, n: str, most: int | None = None, size: int = 1000, least: int = 100) -> DataFrame:
+    """(bucket, n, lo, hi, mean, answers): mean of all answers about the entities of each bucket (of the first ``most``, if given).
 
-    Entities fall into quantile_buckets by descending count (ties by id); answers: (id, answer), of all
-    participants together.
+    Entities fall into quantile_buckets by descending count (ties by id) and meet their bucket by rank;
+    answers: (id, answer), of all participants together.
     """
-    buckets = quantile_buckets(entities, n, size, least).where(F.col("bucket") < most)
-    ends = buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))  # one row of ``most`` numbers
-    starts = F.transform("b", lambda x, i: F.aggregate(F.slice(F.col("b"), 1, i), F.lit(0).cast("long"), lambda s, y: s + y["n"]) + x["n"])
+    buckets = quantile_buckets(entities, n, size, least)
+    if most is not None:
+        buckets = buckets.where(F.col("bucket") < most)
+    start = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # a row for each bucket
+    ranks = buckets.withColumn("start", start).select("bucket", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("idx"))
     ranked = dense_index(entities.where(F.col(n) > 0).select(id_col, (-F.col(n)).alias("less")), ["less", id_col])
-    placed = ranked.join(F.broadcast(ends.select(starts.alias("ends")))).select(id_col, F.size(F.filter("ends", lambda e: e <= F.col("idx"))).cast("long").alias("bucket"))
-    pooled = placed.join(answers, id_col).groupBy("bucket").agg(F.avg("answer").alias("mean"), F.count(F.lit(1)).alias("answers"))
+    pooled = ranked.join(ranks, "idx").join(answers, id_col).groupBy("bucket").agg(F.avg("answer").alias("mean"), F.count(F.lit(1)).alias("answers"))
     return buckets.join(pooled, "bucket").select("bucket", "n", "lo", "hi", "mean", "answers")
 
 

@@ -30,41 +30,33 @@ def prototype_arrays(vectors: DataFrame, label: str = "label", vector: str = "em
     return rows.select(label, F.transform("p", lambda x: x["value"]).alias("proto"))
 
 
-def class_blocks(classes: DataFrame, rows: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The classes (label, proto) in blocks of about ``rows``: labels, ascending, and a matrix; only one block is on the driver at a time."""
-    total = classes.count()
-    for k in range(-(-total // rows)):
-        part = classes.where(F.pmod(F.xxhash64("label"), F.lit(-(-total // rows))) == k) if total > rows else classes
-        found = part.select("label", "proto").toPandas().sort_values("label")
-        if len(found):
-            yield found["label"].to_numpy(), np.stack(found["proto"].to_numpy()).astype(np.float64)
-
-
 def by_classes(vectors: DataFrame, classes: DataFrame, id_col: str, vector: str, said: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(id, truth, label, sim): for each vector what ``said`` makes of its similarities to a block of classes.
 
-    said: from labels and a matrix (vectors x labels) to two matrices (vectors x any): labels and similarities.
+    said: from labels, ascending, and a matrix (vectors x labels) to two matrices (vectors x any): labels
+    and similarities.  Blocks of vectors meet blocks of classes in tiles; nothing goes through the driver.
     """
-    src = vectors.select(F.col(id_col).alias("id"), F.col("label").alias("truth"), F.col(vector).alias("v"))
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    asked = vectors.select(F.struct(F.col(id_col).alias("id"), F.col("label").alias("truth"), F.col(vector).alias("v")).alias("a"))
+    held = classes.select(F.struct("label", "proto").alias("h"))
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema["a"].dataType}
     out = f"id {kinds['id']}, truth {kinds['truth']}, label {classes.schema['label'].dataType.simpleString()}, sim double"
 
-    def against(labels: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    own, sims = said(labels, np.stack(batch["v"].to_numpy()).astype(np.float64) @ matrix.T)
-                    yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), own.shape[1]), "truth": np.repeat(batch["truth"].to_numpy(), own.shape[1]), "label": own.ravel(), "sim": sims.ravel()})
-
-        return src.mapInPandas(run, out)
-
-    parts = [against(*block) for block in class_blocks(classes)]
-    found = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, found in zip(batch["a"], batch["h"]):
+                found = sorted(found, key=lambda x: x["label"])
+                matrix = np.stack([np.asarray(x["proto"], np.float64) for x in found])
+                sims = np.stack([np.asarray(x["v"], np.float64) for x in own]) @ matrix.T
+                labels, sims = said(np.asarray([x["label"] for x in found]), sims)
+                many = labels.shape[1]
+                yield pd.DataFrame({"id": np.repeat(np.asarray([x["id"] for x in own]), many), "truth": pd.Series([x["truth"] for x in own for _ in range(many)], dtype=object), "label": labels.ravel(), "sim": sims.ravel()})
+
+    found = tiles(asked, held, ["a"], ["h"]).mapInPandas(run, out)
     return found.select(F.col("id").alias(id_col), "truth", "label", "sim")
 
 
 def class_similarity(vectors: DataFrame, classes: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
-    """(id, true label, label, sim) of every vector to every class: matrix products of batches of vectors and blocks of classes."""
+    """(id, true label, label, sim) of every vector to every class: matrix products of blocks of vectors and blocks of classes."""
     return by_classes(vectors, classes, id_col, vector, lambda labels, sims: (np.broadcast_to(labels, sims.shape), sims))
 
 

@@ -28,13 +28,11 @@ def task_name(file: Column) -> Column:
 
 
 def score_rows(concepts: DataFrame, scores: DataFrame) -> DataFrame:
-    """(concept, rows): each concept's score vectors in order of their index; an index out of range is left out.
+    """(concept, idx, scores): each concept's score vectors, a row for each, to be read in order of idx; null for an index out of range.
 
-    concepts: (concept, idx); scores: (idx, scores array).  A concept without any index in range has null.
+    concepts: (concept, idx); scores: (idx, scores array).
     """
-    met = concepts.join(scores, "idx", "left").groupBy("concept")
-    rows = met.agg(F.sort_array(F.collect_list(F.when(F.col("scores").isNotNull(), F.struct("idx", "scores")))).alias("r"))
-    return rows.select("concept", F.when(F.size("r") > 0, F.transform("r", lambda x: x["scores"])).alias("rows"))
+    return concepts.join(scores, "idx", "left").select("concept", "idx", "scores")
 
 
 def metric_range(stats: DataFrame, order: str, metric: str = "metric") -> DataFrame:

@@ -111,6 +111,16 @@ def hamming_dups_banded(spark, d):
     return C.hash_pairs(hashes(spark, d), "label", "vec_id", "bits")
 
 
+SQL_CLASSES = ", near AS (SELECT * FROM p WHERE dist <= 22), k AS (SELECT x, count(*) AS links FROM (SELECT a AS x FROM near UNION ALL SELECT b FROM near) GROUP BY x), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings) SELECT e.label::BIGINT AS label, e.vec_id, s.vec_id AS rep, coalesce(links, 0) AS links FROM e JOIN s ON e.label = s.label AND e.b = s.b LEFT JOIN k ON s.vec_id = k.x"
+
+
+@query("hamming_classes", SQL_PAIRS + SQL_CLASSES)
+def hamming_classes(spark, d):
+    """Every vector with its class of equal hashes and that class's number of neighbours."""
+    rows = hashes(spark, d)
+    return C.classes(rows, C.hash_pairs(rows, "label", "vec_id", "bits", radius=22), "label", "vec_id", "bits")
+
+
 SQL_GREEDY = SQL_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, near AS (SELECT a, b FROM p WHERE dist <= 22),
 nodes AS (SELECT x, row_number() OVER (ORDER BY x) AS i, (SELECT coalesce(list(a), []) FROM near WHERE b = x) AS before FROM (SELECT a AS x FROM near UNION SELECT b FROM near)),
 g(i, kept, gone) AS (

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from freqloom.functions import stats as S
 from freqloom.functions import text as T
+from freqloom.operators import automaton, prompts
 from freqloom.operators import generated as G
-from freqloom.operators import prompts
 
 from . import fixtures as X
 from .catalog import query
@@ -93,8 +93,7 @@ PLAIN_WORDS = "replace(concept, '_', ' ')"
 
 @query("prompt_contains", W + X.SQL_CONCEPTS + f", p AS (SELECT item_id, ' ' || regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') || ' ' AS p FROM benchmark) SELECT concept, item_id FROM p, concepts WHERE contains(p, ' ' || lower({PLAIN_WORDS}) || ' ') OR contains(p, ' ' || lower({PLAIN_WORDS}) || 's')")
 def prompt_contains(spark, d):
-    word = F.replace(F.col("concept"), F.lit("_"), F.lit(" "))
-    return X.table(spark, d, "benchmark").join(F.broadcast(X.concepts(spark)), T.mentions(F.col("text"), word)).select("concept", "item_id")
+    return automaton.mentions(X.table(spark, d, "benchmark"), X.concepts(spark), "item_id")
 
 
 @query("prompt_exact", W + X.SQL_CONCEPTS + " SELECT concept, vec_id FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN c WHEN 1 THEN c || ' ' ELSE 'a ' || c END AS prompt FROM (SELECT vec_id, (SELECT list(concept ORDER BY concept_id) FROM concepts)[vec_id % 20 + 1] AS c FROM embeddings)) JOIN concepts ON prompt = concept")

@@ -70,35 +70,44 @@ def cased_postings(spark, d):
 SQL_MAPS = CONCEPT_SQL + ", kept AS (SELECT concept FROM cx WHERE n_images >= 10), c AS (SELECT conv_id, pos, concept FROM ct JOIN kept USING (concept)), ic AS (SELECT DISTINCT conv_id, concept FROM c), ci AS (SELECT DISTINCT conv_id FROM cap)"
 
 
-@query("concept_maps", SQL_MAPS + """ SELECT 'concept to captions' AS map, concept AS key, count(*) AS n, sha256(string_agg(conv_id || ':' || pos, ',' ORDER BY conv_id, pos)) AS members FROM c GROUP BY concept
-UNION ALL SELECT 'concept to images', concept, count(*), sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) FROM ic GROUP BY concept
-UNION ALL SELECT 'caption to concepts', cap.conv_id || ':' || cap.pos, count(concept), sha256(coalesce(string_agg(concept, ',' ORDER BY concept), '')) FROM cap LEFT JOIN c ON cap.conv_id = c.conv_id AND cap.pos = c.pos GROUP BY cap.conv_id, cap.pos
-UNION ALL SELECT 'image to concepts', ci.conv_id::VARCHAR, count(concept), sha256(coalesce(string_agg(concept, ',' ORDER BY concept), '')) FROM ci LEFT JOIN ic ON ci.conv_id = ic.conv_id GROUP BY ci.conv_id""")
+def digest_sql(member: str) -> str:
+    """Order-free digest of a key's members: the first 48 bits of their MD5, xor."""
+    return f"coalesce(bit_xor(('0x' || left(md5({member}), 12))::BIGINT), 0)"
+
+
+def digest(member):
+    return F.coalesce(F.bit_xor(F.conv(F.substring(F.md5(member), 1, 12), 16, 10).cast("bigint")), F.lit(0)).alias("members")
+
+
+@query("concept_maps", SQL_MAPS + f""" SELECT 'concept to captions' AS map, concept AS key, count(*) AS n, {digest_sql("conv_id || ':' || pos")} AS members FROM c GROUP BY concept
+UNION ALL SELECT 'concept to images', concept, count(*), {digest_sql("conv_id::VARCHAR")} FROM ic GROUP BY concept
+UNION ALL SELECT 'caption to concepts', cap.conv_id || ':' || cap.pos, count(concept), {digest_sql("concept")} FROM cap LEFT JOIN c ON cap.conv_id = c.conv_id AND cap.pos = c.pos GROUP BY cap.conv_id, cap.pos
+UNION ALL SELECT 'image to concepts', ci.conv_id::VARCHAR, count(concept), {digest_sql("concept")} FROM ci LEFT JOIN ic ON ci.conv_id = ic.conv_id GROUP BY ci.conv_id""")
 def concept_maps(spark, d):
+    """Each key of the four maps with its number of members and their digest; no list is gathered."""
     maps = index.concept_maps(captions(spark, d), "conv_id", "pos", "caption", least=10)
     ids = {"captions": F.concat_ws(":", "conv_id", "pos"), "images": F.col("conv_id").cast("string")}
     parts = []
     for kind, (rows, every) in maps.items():
         cols = ["conv_id", "pos"] if kind == "captions" else ["conv_id"]
-        name = ids[kind]
-        joined = lambda xs: F.sha2(F.array_join(xs, ","), 256).alias("members")
-        by_concept = rows.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct(*cols, name.alias("name")))).alias("m"))
-        parts.append(by_concept.select(F.lit(f"concept to {kind}").alias("map"), F.col("concept").alias("key"), F.size("m").cast("long").alias("n"), joined(F.transform("m", lambda x: x["name"]))))
-        by_id = every.join(rows, cols, "left").groupBy(*cols).agg(F.sort_array(F.collect_list("concept")).alias("m"))
-        parts.append(by_id.select(F.lit(f"{kind[:-1]} to concepts").alias("map"), name.alias("key"), F.size("m").cast("long").alias("n"), joined(F.col("m"))))
+        by_concept = rows.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), digest(ids[kind]))
+        parts.append(by_concept.select(F.lit(f"concept to {kind}").alias("map"), F.col("concept").alias("key"), "n", "members"))
+        by_id = every.join(rows, cols, "left").groupBy(*cols).agg(F.count("concept").alias("n"), digest(F.col("concept")))
+        parts.append(by_id.select(F.lit(f"{kind[:-1]} to concepts").alias("map"), ids[kind].alias("key"), "n", "members"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("label_samples", "SELECT label::BIGINT AS label, 'class ' || label AS classname, string_agg('v/' || vec_id, ',' ORDER BY 'v/' || vec_id) AS paths FROM embeddings GROUP BY label")
+@query("label_samples", "SELECT label::BIGINT AS label, 'class ' || label AS classname, 'v/' || vec_id AS path FROM embeddings")
 def label_samples(spark, d):
+    """The samples of each label, a row for each."""
     rows = X.embeddings(spark, d).select(F.col("label").cast("long").alias("label"), F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("path"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("classname"))
-    return splits.class_list(rows).join(splits.samples_of(rows), "label").select("label", "classname", F.array_join("paths", ",").alias("paths"))
+    return splits.class_list(rows).join(rows.select("label", "path"), "label").select("label", "classname", "path")
 
 
 # Entities are parts with names of several words, counted by their line items; each line item is an
 # answer, right if it was not returned.
 SQL_ENTITIES = "e AS (SELECT p_partkey AS id, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_name LIKE '% %' AND p_partkey % 9 <> 0 GROUP BY p_partkey), df AS (SELECT id AS term, n AS df FROM e WHERE n > 0)"
-SQL_GROUPS = "WITH RECURSIVE " + SQL_ENTITIES + SQL_BUCKETS.replace("1000", "50").replace(">= 100", ">= 20").replace("SELECT (k - 1)", ", bk AS (SELECT (k - 1)") + "), s AS (SELECT *, sum(n) OVER (ORDER BY bucket) - n AS start FROM bk WHERE bucket <= 45), r AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM df), a AS (SELECT l_partkey AS term, (l_returnflag <> 'R')::INT AS answer FROM lineitem), m AS (SELECT s.bucket, s.n, s.lo, s.hi, avg(answer) AS mean, count(*) AS answers FROM s JOIN r ON rank >= start AND rank < start + s.n JOIN a USING (term) GROUP BY ALL)"
+SQL_GROUPS = "WITH RECURSIVE " + SQL_ENTITIES + SQL_BUCKETS.replace("1000", "50").replace(">= 100", ">= 20").replace("SELECT (k - 1)", ", bk AS (SELECT (k - 1)") + "), s AS (SELECT *, sum(n) OVER (ORDER BY bucket) - n AS start FROM bk), r AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM df), a AS (SELECT l_partkey AS term, (l_returnflag <> 'R')::INT AS answer FROM lineitem), m AS (SELECT s.bucket, s.n, s.lo, s.hi, avg(answer) AS mean, count(*) AS answers FROM s JOIN r ON rank >= start AND rank < start + s.n JOIN a USING (term) GROUP BY ALL)"
 
 
 def bucket_means(spark, d):
@@ -154,9 +163,9 @@ def score_rows(spark, d):
     e = X.table(spark, d, "events")
     concepts = e.select((F.col("event_id") % 11).alias("concept"), (F.col("event_id") * 2).alias("idx"))
     scores = e.select(F.col("event_id").alias("idx"), F.array("value", F.col("value") * 2).alias("scores"))
-    first = F.transform("rows", lambda x: x[0])
-    total = F.round(F.aggregate(first, F.lit(0.0), lambda s, x: s + x), 4)
-    return G.score_rows(concepts, scores).select("concept", F.size("rows").cast("long").alias("n"), total.alias("total"), F.get(first, F.lit(0)).alias("head"))
+    met = G.score_rows(concepts, scores).groupBy("concept")
+    first = F.min_by("scores", F.when(F.col("scores").isNotNull(), F.col("idx")))
+    return met.agg(F.count("scores").alias("n"), F.round(F.sum(F.col("scores")[0]), 4).alias("total"), F.get(first, F.lit(0)).alias("head"))
 
 
 @query("task_names", "SELECT p_partkey, 'out_' || lower(p_type) AS task FROM part")

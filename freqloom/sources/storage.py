@@ -5,19 +5,25 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there, so that later reads see the same rows.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; also makes checkpoint() usable.
 
-    A cluster names the folder in spark.checkpoint.dir.  Where that is unset and Spark runs in one
-    process, a temporary folder is taken; elsewhere that is an error.
+    A cluster names it in spark.checkpoint.dir.  Where that is unset and Spark runs in one process, a
+    temporary folder is taken; elsewhere that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="freqloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there, so that later reads see the same rows."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

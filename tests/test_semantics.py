@@ -230,9 +230,6 @@ def test_class_blocks_and_ties(spark, monkeypatch):
     best = {v: min(range(6), key=lambda c: (-want[v, c], c)) for v in range(7)}
     for block in (2048, 2):
         monkeypatch.setattr(evaluate, "BLOCK", block)
-        blocks = list(evaluate.class_blocks(classes, block))
-        assert sorted(x for labels, _ in blocks for x in labels) == list(range(6)) and (len(blocks) > 1) == (block == 2)
-        monkeypatch.setattr(evaluate.class_blocks, "__defaults__", (block,))
         assert {(r.vec_id, r.label): r.sim for r in evaluate.class_similarity(vectors, classes, "vec_id").collect()} == want
         assert {r.vec_id: r.label for r in evaluate.best_class(vectors, classes, "vec_id").collect()} == best
 
@@ -303,8 +300,8 @@ def test_prompts_tasks_and_score_rows(spark):
     assert got == {"a": "a dog", "b": "x"}
     assert [one(spark, generated.task_name(F.lit(x))) for x in ("runs/sdxl_human_aesthetics.json", "x_exp_clip.tar.json", "plain.json")] == ["human_aesthetics", "exp_clip", "plain"]
     c = spark.createDataFrame([("cat", 0), ("cat", 9), ("dog", 9)], "concept string, idx long")
-    got = {r.concept: r.rows for r in generated.score_rows(c, spark.createDataFrame([(0, [1.0, 2.0])], "idx long, scores array<double>")).collect()}
-    assert got == {"cat": [[1.0, 2.0]], "dog": None}
+    got = {(r.concept, r.idx): r.scores for r in generated.score_rows(c, spark.createDataFrame([(0, [1.0, 2.0])], "idx long, scores array<double>")).collect()}
+    assert got == {("cat", 0): [1.0, 2.0], ("cat", 9): None, ("dog", 9): None}
 
 
 def test_concept_maps(spark):
