@@ -85,6 +85,17 @@ def with_article(name: Column) -> Column:
     return F.concat(F.lit("This is "), F.when(n.rlike("^[aeiou]"), F.lit("an ")).otherwise(F.lit("a ")), n, F.lit("."))
 
 
+def class_name(name: Column) -> Column:
+    """One spelling of class names: without a leading number, ``-101`` or the place of a scene; a plane is an airplane."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^[0-9]+\.", ""), "-101$", ""), "_(indoor|outdoor)$", "")
+    return F.when(name == "plane", "airplane").otherwise(plain)
+
+
+def path_concept(path: Column) -> Column:
+    """The concept in ``.../number.con_cept/file``."""
+    return F.replace(F.split_part(F.element_at(F.split(path, "/"), -2), F.lit("."), F.lit(2)), F.lit("_"), F.lit(" "))
+
+
 def mentions(prompt: Column, word: Column) -> Column:
     """The prompt, without punctuation, holds the word as a whole or as the start of a plural-like word."""
     p = F.concat(F.lit(" "), F.regexp_replace(F.lower(prompt), r"[^a-z0-9 ]", ""), F.lit(" "))

@@ -26,6 +26,13 @@ def concepts(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(concept_id, concept) of the given table of parts: every fifth in capitals, every seventh with underscores, every ninth with a slash."""
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, F.initcap("p_name")).when(k % 7 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(k % 9 == 0, F.replace("p_name", F.lit(" "), F.lit("/"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(k.cast("long").alias("concept_id"), name.alias("concept"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
@@ -54,6 +61,8 @@ def values(rows: list[tuple], columns: str) -> str:
 
 
 SQL_CONCEPTS = f"concepts AS (SELECT concept_id::BIGINT AS concept_id, concept FROM {values(list(enumerate(CONCEPTS)), 'concept_id, concept')})"
+INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+SQL_NAMES = f"concepts AS (SELECT p_partkey::BIGINT AS concept_id, CASE WHEN p_partkey % 5 = 0 THEN {INITCAP} WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', '_') WHEN p_partkey % 9 = 0 THEN replace(p_name, ' ', '/') ELSE p_name END AS concept FROM part)"
 SQL_TERMS = "terms AS (SELECT DISTINCT concept_id, concept, term FROM (SELECT concept_id, concept, unnest(regexp_split_to_array(lower(concept), '[_\\s]+')) AS term FROM concepts) WHERE term <> '')"
 SQL_POST = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), post AS (SELECT DISTINCT doc_id AS sample_id, w AS term FROM tok)"
 STOPS = "('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'with')"

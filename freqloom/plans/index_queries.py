@@ -51,15 +51,14 @@ def captions_flatten(spark, d):
     return captions(spark, d).select("conv_id", F.col("pos").cast("long").alias("pos"), F.sha2("caption", 256).alias("caption"))
 
 
-RESULT_TREE = '{"m1": {"full": "1", "classwise": {"cat": "1", "dog": "2", "": "0"}}, "m2": {"full": "1", "conceptwise": {"dog": "3", "hot_air balloon": "4"}}}'
-FIRST_KEYS = '[{"tree": ["a tall tree"]}, {"car": ["a red car", "a car"]}]'
-
-
-@query("concept_list", "SELECT * FROM (VALUES ('cat', 'tree'), ('dog', 'tree'), ('hot_air balloon', 'tree'), ('car', 'list'), ('tree', 'list')) v(concept, family)")
+@query("concept_list", "SELECT n_name AS concept, 'tree' AS family FROM nation UNION ALL SELECT p_name, 'list' FROM part")
 def concept_list(spark, d):
-    one = spark.range(1)
-    trees = corpora.concept_keys(one.select(F.lit(RESULT_TREE).alias("j")), "j").withColumn("family", F.lit("tree"))
-    return trees.unionByName(corpora.first_keys(one.select(F.lit(FIRST_KEYS).alias("j")), "j").withColumn("family", F.lit("list")))
+    """Concepts read from result trees, one for each region and half of its nations by each key, and from lists of one-key objects."""
+    n = X.table(spark, d, "nation")
+    half = [F.map_from_entries(F.collect_list(F.when(F.col("n_nationkey") % 2 == k, F.struct("n_name", F.lit("1"))))) for k in (0, 1)]
+    trees = n.groupBy("n_regionkey").agg(F.to_json(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.struct(half[0].alias("classwise")), F.struct(half[1].alias("classwise"))))).alias("j"))
+    lists = X.table(spark, d, "part").select(F.to_json(F.array(F.map_from_arrays(F.array("p_name"), F.array(F.array("p_type"))))).alias("j"))
+    return corpora.concept_keys(trees, "j").withColumn("family", F.lit("tree")).unionByName(corpora.first_keys(lists, "j").withColumn("family", F.lit("list")))
 
 
 @query("shard_key_parse", "SELECT lpad((doc_id // 100)::VARCHAR, 5, '0') || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS name, lpad((doc_id // 100)::VARCHAR, 5, '0') AS shard, (doc_id // 100) * 10000 + doc_id AS sample_id, doc_id AS lead FROM documents WHERE doc_id % 3 = 0")
@@ -98,9 +97,9 @@ def text_normalize(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.sha2(T.clean(F.col("text")), 256).alias("cleaned"))
 
 
-@query("query_terms", W + X.SQL_CONCEPTS + ", " + X.SQL_TERMS + f" SELECT concept, term, {T.lemma_sql('term')} AS lemma FROM terms")
+@query("query_terms", W + X.SQL_NAMES + ", " + X.SQL_TERMS + f" SELECT concept_id, concept, term, {T.lemma_sql('term')} AS lemma FROM terms")
 def query_terms(spark, d):
-    return search.concept_terms(X.concepts(spark)).select("concept", "term", T.lemma(F.element_at(F.split("term", "'"), -1)).alias("lemma"))
+    return search.concept_terms(X.names(spark, d)).select("concept_id", "concept", "term", T.lemma(F.element_at(F.split("term", "'"), -1)).alias("lemma"))
 
 
 @query("unigram_postings", W + X.SQL_POST + ", " + X.SQL_LEMMAS + " SELECT term, count(*) AS n, min(sample_id) AS lo, max(sample_id) AS hi FROM lemma_post GROUP BY term")
@@ -187,10 +186,7 @@ def first_per_key(spark, d):
     return sinks.first_per_key(rows, ["key"], ["doc_id"])
 
 
-MAPS = [(0, "cat", 1), (0, "dog", 2), (1, "dog", 5), (1, "owl", 3), (2, "cat", 7)]
-
-
-@query("map_merge", f"SELECT key, arg_max(value, place)::BIGINT AS value FROM {X.values(MAPS, 'place, key, value')} GROUP BY key")
+@query("map_merge", "SELECT key, arg_max(value, place) AS value FROM (SELECT event_id AS place, event_type || user_id AS key, value FROM events) GROUP BY key")
 def map_merge(spark, d):
-    rows = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(k).alias("key"), F.lit(v).cast("long").alias("value")) for p, k, v in MAPS])
-    return sinks.merge_maps(spark.range(1).select(F.inline(rows)), "key", "value", "place")
+    rows = X.table(spark, d, "events").select(F.col("event_id").alias("place"), F.concat("event_type", F.col("user_id").cast("string")).alias("key"), "value")
+    return sinks.merge_maps(rows, "key", "value", "place")

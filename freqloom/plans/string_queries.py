@@ -21,59 +21,59 @@ def rows_of(spark, rows, columns):
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, columns)]) for r in rows])))
 
 
-@query("case_variants", W + X.SQL_CONCEPTS + r""", w AS (SELECT concept, list_filter(regexp_split_to_array(concept, '[_\s]+'), lambda x: x <> '') AS w FROM concepts),
-v AS (SELECT concept, list_transform(w, lambda x: [lower(x), upper(x[1]) || lower(x[2:])]) AS v FROM w)
-SELECT DISTINCT concept, array_to_string(list_filter([a, b, c], lambda x: x IS NOT NULL), '_') AS variant FROM v, LATERAL (SELECT unnest(v[1]) AS a), LATERAL (SELECT unnest(coalesce(v[2], [NULL])) AS b), LATERAL (SELECT unnest(coalesce(v[3], [NULL])) AS c)""")
+@query("case_variants", W + X.SQL_NAMES + r""", w AS (SELECT concept_id, concept, list_filter(regexp_split_to_array(concept, '[_\s]+'), lambda x: x <> '') AS w FROM concepts),
+v AS (SELECT concept_id, concept, list_transform(w, lambda x: [lower(x), upper(x[1]) || lower(x[2:])]) AS v FROM w)
+SELECT DISTINCT concept_id, concept, array_to_string(list_filter([a, b, c], lambda x: x IS NOT NULL), '_') AS variant FROM v, LATERAL (SELECT unnest(v[1]) AS a), LATERAL (SELECT unnest(coalesce(v[2], [NULL])) AS b), LATERAL (SELECT unnest(coalesce(v[3], [NULL])) AS c)""")
 def case_variants(spark, d):
-    return X.concepts(spark).select("concept", F.explode(T.case_variants(F.col("concept"))).alias("variant"))
+    return X.names(spark, d).select("concept_id", "concept", F.explode(T.case_variants(F.col("concept"))).alias("variant")).distinct()
 
 
-@query("key_normalize", W + X.SQL_CONCEPTS + " SELECT concept, lower(replace(concept, '_', ' ')) AS key FROM concepts")
+@query("key_normalize", W + X.SQL_NAMES + " SELECT concept, lower(replace(concept, '_', ' ')) AS key FROM concepts")
 def key_normalize(spark, d):
-    return X.concepts(spark).select("concept", T.concept_key(F.col("concept")).alias("key"))
+    return X.names(spark, d).select("concept", T.concept_key(F.col("concept")).alias("key"))
 
 
-#: Class names as the data sets spell them.
-CLASSES = ["plane", "car", "001.Black_footed_Albatross", "200.Common_Yellowthroat", "ak47-101", "zebra-101", "abbey_outdoor", "apse_indoor", "airplane"]
+RENAMED = "CASE WHEN class = 'plane' THEN 'airplane' ELSE regexp_replace(regexp_replace(regexp_replace(class, '^[0-9]+\\.', ''), '-101$', ''), '_(indoor|outdoor)$', '') END"
 
 
-@query("class_rename", f"SELECT class, CASE WHEN class = 'plane' THEN 'airplane' ELSE regexp_replace(regexp_replace(regexp_replace(class, '^[0-9]+\\.', ''), '-101$', ''), '_(indoor|outdoor)$', '') END AS renamed FROM {X.values([(c,) for c in CLASSES], 'class')}")
+@query("class_rename", f"WITH c AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'plane' WHEN 1 THEN lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.' || replace(p_name, ' ', '_') WHEN 2 THEN p_name || '-101' WHEN 3 THEN p_name || '_outdoor' WHEN 4 THEN p_name || '_indoor' ELSE p_name END AS class FROM part) SELECT p_partkey, class, {RENAMED} AS renamed FROM c")
 def class_rename(spark, d):
-    c = F.col("class")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^[0-9]+\.", ""), "-101$", ""), "_(indoor|outdoor)$", "")
-    return rows_of(spark, [(x,) for x in CLASSES], ["class"]).select("class", F.when(c == "plane", "airplane").otherwise(plain).alias("renamed"))
+    """Class names in the spellings of several data sets, brought to one."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    spelled = F.when(k % 6 == 0, "plane").when(k % 6 == 1, F.concat(F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("."), F.replace(name, F.lit(" "), F.lit("_")))).when(k % 6 == 2, F.concat(name, F.lit("-101"))).when(k % 6 == 3, F.concat(name, F.lit("_outdoor"))).when(k % 6 == 4, F.concat(name, F.lit("_indoor"))).otherwise(name)
+    return X.table(spark, d, "part").select("p_partkey", spelled.alias("class")).withColumn("renamed", T.class_name(F.col("class")))
 
 
 #: Prompt modes and their templates.
 TEMPLATES = [("class", "{c}"), ("simple", "A photo of a {c}."), ("ensemble", "a photo of a {c}."), ("ensemble", "a drawing of the {c}."), ("ensemble", "a close-up photo of one {c}.")]
 
 
-@query("prompt_expand", W + X.SQL_CONCEPTS + f" SELECT concept, mode, replace(template, '{{c}}', concept) AS prompt FROM concepts, {X.values(TEMPLATES, 'mode, template')}")
+@query("prompt_expand", W + X.SQL_NAMES + f" SELECT concept, mode, replace(template, '{{c}}', concept) AS prompt FROM concepts, {X.values(TEMPLATES, 'mode, template')}")
 def prompt_expand(spark, d):
-    return prompts.expand(X.concepts(spark), rows_of(spark, TEMPLATES, ["mode", "template"]))
+    return prompts.expand(X.names(spark, d), rows_of(spark, TEMPLATES, ["mode", "template"]))
 
 
 LINES = [prompts.SEED, *[q for q in prompts.QUESTIONS for _ in range(prompts.ANSWERS)]]
 
 
-@query("description_requests", W + X.SQL_CONCEPTS + f" SELECT concept, place::BIGINT AS place, replace(template, '{{c}}', concept) AS line FROM concepts, {X.values(list(enumerate(LINES)), 'place, template')} WHERE concept_id >= 5")
+@query("description_requests", W + X.SQL_NAMES + f" SELECT concept, place::BIGINT AS place, replace(template, '{{c}}', concept) AS line FROM concepts, {X.values(list(enumerate(LINES)), 'place, template')} WHERE concept_id % 3 = 0 AND concept NOT IN (SELECT concept FROM concepts WHERE concept_id < 5)")
 def description_requests(spark, d):
-    c = X.concepts(spark)
-    return prompts.description_requests(c, c.where("concept_id < 5"))
+    c = X.names(spark, d)
+    return prompts.description_requests(c.where("concept_id % 3 = 0"), c.where("concept_id < 5"))
 
 
 #: Texts made of a class name.
 LABEL_TEMPLATES = [("set", "There is {article} {c} in the scene."), ("set", "a photo of the {c}."), ("set", "the {c} in a photo.")]
 
 
-@query("label_texts", W + X.SQL_CONCEPTS + f", t AS (SELECT concept AS c, mode, template FROM (SELECT lower(replace(concept, '_', ' ')) AS concept FROM concepts), {X.values(LABEL_TEMPLATES, 'mode, template')}), p AS (SELECT c AS concept, mode, replace(replace(template, '{{article}}', CASE WHEN regexp_matches(c, '^[aeiou]') THEN 'an' ELSE 'a' END), '{{c}}', c) AS p FROM t) SELECT concept, mode, CASE WHEN p LIKE 'a%' OR p LIKE 'the%' THEN 'This is ' || p ELSE p END AS prompt FROM p")
+@query("label_texts", W + X.SQL_NAMES + f", t AS (SELECT concept AS c, mode, template FROM (SELECT regexp_replace(lower(replace(replace(concept, '_', ' '), '/', ' or ')), '\\.+$', '') AS concept FROM concepts), {X.values(LABEL_TEMPLATES, 'mode, template')}), p AS (SELECT c AS concept, mode, replace(replace(template, '{{article}}', CASE WHEN regexp_matches(c, '^[aeiou]') THEN 'an' ELSE 'a' END), '{{c}}', c) AS p FROM t) SELECT concept, mode, CASE WHEN p LIKE 'a%' OR p LIKE 'the%' THEN 'This is ' || p ELSE p END AS prompt FROM p")
 def label_texts(spark, d):
-    return prompts.label_texts(X.concepts(spark), rows_of(spark, LABEL_TEMPLATES, ["mode", "template"]))
+    return prompts.label_texts(X.names(spark, d), rows_of(spark, LABEL_TEMPLATES, ["mode", "template"]))
 
 
-@query("prompt_article", W + X.SQL_CONCEPTS + r", p AS (SELECT concept, regexp_replace(lower(replace(replace(concept, '_', ' '), '/', ' or ')), '\.+$', '') AS n FROM concepts) SELECT concept, 'This is ' || CASE WHEN regexp_matches(n, '^[aeiou]') THEN 'an ' ELSE 'a ' END || n || '.' AS prompt FROM p")
+@query("prompt_article", W + X.SQL_NAMES + r", p AS (SELECT concept, regexp_replace(lower(replace(replace(concept, '_', ' '), '/', ' or ')), '\.+$', '') AS n FROM concepts) SELECT concept, 'This is ' || CASE WHEN regexp_matches(n, '^[aeiou]') THEN 'an ' ELSE 'a ' END || n || '.' AS prompt FROM p")
 def prompt_article(spark, d):
-    return X.concepts(spark).select("concept", T.with_article(F.col("concept")).alias("prompt"))
+    return X.names(spark, d).select("concept", T.with_article(F.col("concept")).alias("prompt"))
 
 
 @query("pre_caption", r"""SELECT doc_id, sha256(array_to_string(w[1:50], ' ')) AS cleaned, len(w[1:50])::BIGINT AS words FROM (SELECT doc_id, string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\s{2,}', ' ', 'g'), chr(10)), ' '), ' ') AS w FROM documents)""")
@@ -106,13 +106,12 @@ def prompt_exact(spark, d):
     return rows.join(F.broadcast(X.concepts(spark)), "concept").select("concept", "vec_id")
 
 
-PATHS = ["refs/001.hot_air_balloon/1.png", "refs/014.tree/a.png", "a/b/190.fire_truck/x.jpg"]
-
-
-@query("path_concept", f"SELECT path, replace(split_part(split_part(path, '/', -2), '.', 2), '_', ' ') AS concept FROM {X.values([(p,) for p in PATHS], 'path')}")
+@query("path_concept", "WITH p AS (SELECT 'refs/' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.' || replace(p_name, ' ', '_') || '/' || p_partkey || '.png' AS path FROM part) SELECT path, replace(split_part(split_part(path, '/', -2), '.', 2), '_', ' ') AS concept FROM p")
 def path_concept(spark, d):
-    folder = F.element_at(F.split("path", "/"), -2)
-    return rows_of(spark, [(p,) for p in PATHS], ["path"]).select("path", F.replace(F.split_part(folder, F.lit("."), F.lit(2)), F.lit("_"), F.lit(" ")).alias("concept"))
+    """The concept in the folder of a reference image."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("refs/"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("/"), k.cast("string"), F.lit(".png"))
+    return X.table(spark, d, "part").select(path.alias("path")).withColumn("concept", T.path_concept(F.col("path")))
 
 
 @query("tag_join", W + X.SQL_CONCEPTS + ", " + X.SQL_IMG + " SELECT sample_id, string_agg(concept, ' | ' ORDER BY concept_id) AS tags FROM img JOIN concepts USING (concept_id) WHERE prob > 0.6 GROUP BY sample_id")
@@ -127,10 +126,17 @@ MODELS = [("RN50", "cc3m", "rn50_cc3m.pt"), ("RN50", "cc12m", "rn50_cc12m.pt"),
 KEYS = [f"backbone_{b}_pretrained_{p}" for b, p, _ in MODELS]
 
 
-@query("model_key_parse", f"SELECT key, regexp_extract(key, '^backbone_(.+)_pretrained_(.+)$', 1) AS backbone, regexp_extract(key, '^backbone_(.+)_pretrained_(.+)$', 2) AS pretrained FROM {X.values([(k,) for k in KEYS], 'key')}")
+EVENT_KEYS = f"ev AS (SELECT event_id, ({KEYS!r})[event_id % 6 + 1] AS key FROM events)"
+
+
+def event_keys(spark, d):
+    """(event_id, key): a model's key for each event."""
+    return X.table(spark, d, "events").select("event_id", F.element_at(F.lit(KEYS), (F.col("event_id") % len(KEYS) + 1).cast("int")).alias("key"))
+
+
+@query("model_key_parse", W + EVENT_KEYS + " SELECT event_id, key, regexp_extract(key, '^backbone_(.+)_pretrained_(.+)$', 1) AS backbone, regexp_extract(key, '^backbone_(.+)_pretrained_(.+)$', 2) AS pretrained FROM ev")
 def model_key_parse(spark, d):
-    part = [F.regexp_extract("key", "^backbone_(.+)_pretrained_(.+)$", k) for k in (1, 2)]
-    return rows_of(spark, [(k,) for k in KEYS], ["key"]).select("key", part[0].alias("backbone"), part[1].alias("pretrained"))
+    return event_keys(spark, d).select("event_id", "key", *[F.regexp_extract("key", "^backbone_(.+)_pretrained_(.+)$", k).alias(c) for k, c in ((1, "backbone"), (2, "pretrained"))])
 
 
 @query("label_lookup", "SELECT n_name AS name, n_nationkey::BIGINT AS idx, r_name AS class FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -147,16 +153,19 @@ def checkpoint_of(backbone: str, pretrained: str) -> str:
     raise ValueError(f"no model {backbone} with {pretrained}")
 
 
-@query("model_registry", f"SELECT * FROM {X.values(MODELS, 'backbone, pretrained, checkpoint')}")
+@query("model_registry", W + EVENT_KEYS + f" SELECT backbone, pretrained, checkpoint, count(*) AS n FROM ev JOIN {X.values(MODELS, 'backbone, pretrained, checkpoint')} ON key = 'backbone_' || backbone || '_pretrained_' || pretrained GROUP BY ALL")
 def model_registry(spark, d):
-    return rows_of(spark, MODELS, ["backbone", "pretrained", "checkpoint"])
+    """How many events each registered model has."""
+    parts = model_key_parse(spark, d).groupBy("backbone", "pretrained").agg(F.count(F.lit(1)).alias("n"))
+    return parts.join(F.broadcast(rows_of(spark, MODELS, ["backbone", "pretrained", "checkpoint"])), ["backbone", "pretrained"]).select("backbone", "pretrained", "checkpoint", "n")
 
 
-@query("model_pick", f"SELECT backbone, min_by(key, i) AS key FROM (SELECT *, 'backbone_' || b || '_pretrained_' || p AS key FROM {X.values([(i, b, p) for i, (b, p, _) in enumerate(MODELS)], 'i, b, p')}) JOIN (VALUES ('RN'), ('ViT')) k(backbone) ON contains(key, backbone) AND contains(key, '1') GROUP BY backbone")
+@query("model_pick", W + EVENT_KEYS + " SELECT backbone, min_by(key, event_id) AS key, count(*) AS n FROM ev JOIN (VALUES ('RN'), ('ViT')) k(backbone) ON contains(key, backbone) AND contains(key, '1') GROUP BY backbone")
 def model_pick(spark, d):
-    keys = rows_of(spark, list(enumerate(KEYS)), ["i", "key"])
-    asked = rows_of(spark, [("RN",), ("ViT",)], ["backbone"])
-    return keys.join(F.broadcast(asked), F.contains("key", F.col("backbone")) & F.contains("key", F.lit("1"))).groupBy("backbone").agg(F.min_by("key", "i").alias("key"))
+    """The first key of each backbone family with a given part."""
+    fits = F.filter(F.lit(["RN", "ViT"]), lambda b: F.contains(F.col("key"), b))
+    keys = event_keys(spark, d).where(F.contains("key", F.lit("1"))).select("event_id", "key", F.explode(fits).alias("backbone"))
+    return keys.groupBy("backbone").agg(F.min_by("key", "event_id").alias("key"), F.count(F.lit(1)).alias("n"))
 
 
 @query("t2i_parse", "SELECT e.item_id AS instance_id, e.metric, e.k::BIGINT AS value FROM (SELECT item_id, metric, k FROM benchmark LEFT JOIN (SELECT event_id, event_type AS metric, json_extract_string(props, '$.k')::BIGINT AS k FROM events) x ON item_id * 3 = event_id) e")
@@ -166,12 +175,13 @@ def t2i_parse(spark, d):
     return G.attach(prompts, stats, "event_id").select(F.col("item_id").alias("instance_id"), "metric", "value")
 
 
-STATS_JSON = '[{"instance_id": "a", "stats": [{"name": {"name": "clip"}, "sum": 1.5, "mean": 1.5}, {"name": {"name": "aes"}, "sum": 2.0, "mean": 1.0}]}, {"instance_id": "b", "stats": [{"name": {"name": "clip"}, "sum": 3.0, "mean": 0.5}]}, {"instance_id": "a", "stats": []}]'
-
-
-@query("t2i_stats", "SELECT * FROM (VALUES ('a', 0::BIGINT, 'clip', 1.5::DOUBLE, 1.5::DOUBLE), ('a', 1, 'aes', 2.0, 1.0), ('b', 0, 'clip', 3.0, 0.5)) v(instance_id, pos, metric, sum, mean)")
+@query("t2i_stats", "SELECT 'e' || event_id AS instance_id, 0::BIGINT AS pos, event_type AS metric, value AS sum, value / 2 AS mean FROM events")
 def t2i_stats(spark, d):
-    return G.parse_stats(spark.range(1).select(F.lit(STATS_JSON).alias("j")), "j").withColumn("pos", F.col("pos").cast("long"))
+    """Statistics read from JSON in which each event stands twice, the second time without any."""
+    one = F.struct(F.struct(F.col("event_type").alias("name")).alias("name"), F.col("value").alias("sum"), (F.col("value") / 2).alias("mean"))
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("instance_id")
+    made = F.to_json(F.array(F.struct(name, F.array(one).alias("stats")), F.struct(name, F.filter(F.array(one), lambda x: F.lit(False)).alias("stats"))))
+    return G.parse_stats(X.table(spark, d, "events").select(made.alias("j")), "j").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("metric_range", "SELECT event_type AS metric, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
