@@ -24,17 +24,20 @@ def log_count(n: Column) -> Column:
     return F.log(F.greatest(n, F.lit(1)).cast("double"))
 
 
-def log_bins(rows: DataFrame, n_col: str, value_col: str, bins: int) -> DataFrame:
-    """(bin, edge, n, mean, std) for each of ``bins`` edges over log counts; an empty bin has mean and deviation 0.
+def log_bins(rows: DataFrame, n_col: str, value_col: str, bins: int, by: list[str] | None = None) -> DataFrame:
+    """([by], bin, edge, n, mean, std) for each of ``bins`` edges over log counts; an empty bin has mean and deviation 0.
 
-    The range is one row of minima and maxima, which is broadcast; the result has ``bins`` rows.
+    The range is one row of minima and maxima (one for each group), which is broadcast where there are no
+    groups; the result has ``bins`` rows a group.
     """
-    x = rows.select(log_count(F.col(n_col)).alias("x"), F.col(value_col).cast("double").alias("v"))
-    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo IS NOT NULL").select(linspace(F.col("lo"), F.col("hi"), bins).alias("edges"))
-    placed = x.join(F.broadcast(ends)).select(digitize(F.col("x"), F.col("edges")).cast("long").alias("bin"), "v")
-    found = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    every = ends.select(F.posexplode("edges").alias("bin", "e")).select(F.col("bin").cast("long"), F.exp("e").alias("edge"))
-    return every.join(F.broadcast(found), "bin", "left").select("bin", "edge", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(0.0)).alias("std"))
+    by = by or []
+    x = rows.select(*by, log_count(F.col(n_col)).alias("x"), F.col(value_col).cast("double").alias("v"))
+    ends = x.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo IS NOT NULL").select(*by, linspace(F.col("lo"), F.col("hi"), bins).alias("edges"))
+    met = x.join(ends, by) if by else x.join(F.broadcast(ends))
+    placed = met.select(*by, digitize(F.col("x"), F.col("edges")).cast("long").alias("bin"), "v")
+    found = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    every = ends.select(*by, F.posexplode("edges").alias("bin", "e")).select(*by, F.col("bin").cast("long"), F.exp("e").alias("edge"))
+    return every.join(found if by else F.broadcast(found), [*by, "bin"], "left").select(*by, "bin", "edge", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(0.0)).alias("std"))
 
 
 def average_rank(order: Column, within: list[str] | None = None) -> Column:

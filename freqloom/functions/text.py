@@ -45,13 +45,18 @@ def concept_key(concept: Column) -> Column:
     return F.lower(F.replace(concept, F.lit("_"), F.lit(" ")))
 
 
+def capitalised(word: Column) -> Column:
+    """The first letter upper case, the rest lower case."""
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
+
+
 def case_variants(concept: Column) -> Column:
     """Every choice of lower case or capital for each word, joined by underscores, lower case first."""
     words = F.filter(F.split(concept, r"[_\s]+"), lambda w: w != "")
     start = F.array(F.lit("")).cast("array<string>")
 
     def grow(done: Column, w: Column) -> Column:
-        both = F.array(F.lower(w), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))))
+        both = F.array(F.lower(w), capitalised(w))
         return F.flatten(F.transform(done, lambda d: F.transform(both, lambda x: F.when(d == "", x).otherwise(F.concat(d, F.lit("_"), x)))))
 
     return F.aggregate(words, start, grow)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,31 +146,49 @@ def bucket_answers(entities: DataFrame, answers: DataFrame, id_col: str, n: str,
 
 def quantile_buckets(freq: DataFrame, n: str = "df", size: int = 1000, least: int = 100) -> DataFrame:
     """(bucket, n, lo, hi): rows by descending count in buckets; a bucket closes at ``size`` rows, or before a
-    lower count once it has ``least`` rows.  Zero counts and the last open bucket are left out.
+    lower count once it has ``least`` rows (1 or more).  Zero counts and the last open bucket are left out.
 
-    An order-dependent fold in one task, over the table of distinct counts: d distinct counts sum to at
-    least d * d / 2, so 10^12 postings have 1.4 million of them at most.
+    An order-dependent fold in parallel: the distinct counts are dealt to range partitions; each partition
+    tells for every number of rows that the open bucket may hold when it begins (``size`` of them) what it
+    holds at the end, its highest count and the buckets closed meanwhile.  The partitions' tables, ``size``
+    rows each whatever the data, are chained on the driver; then each partition folds from its true start.
     """
-    import pandas as pd
-
-    runs = freq.where(F.col(n) > 0).groupBy(F.col(n).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    if not 1 <= least <= size:
+        raise ValueError("least must be from 1 to size")
+    runs = freq.where(F.col(n) > 0).groupBy(F.col(n).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = cut(runs.repartitionByRange(F.desc("v")).withColumn("part", F.spark_partition_id()))
+
+    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.arange(size)
+        hi, made = np.full(size, -1), np.zeros(size, np.int64)  # -1: as at the start
+        pdf = pdf.sort_values("v", ascending=False)
+        for v, c in pdf[["v", "c"]].itertuples(index=False):
+            closed = held >= least
+            open_ = np.where(closed, 0, held)
+            full, held = np.divmod(open_ + c, size)
+            made += closed + full
+            hi = np.where((full > 0) | (open_ == 0), v, hi)
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "held": [held], "hi": [hi], "made": [made], "last": pdf["v"].iloc[-1]})
+
+    told = placed.groupBy("part").applyInPandas(transfer, "part int, held array<long>, hi array<long>, made array<long>, last long")
+    starts, state = {}, (0, 0, 0, 0)  # the open bucket's rows, highest and lowest count, and the buckets before it
+    for r in told.orderBy("part").toLocalIterator():
+        starts[r.part] = state
+        held, hi, _, made = state
+        state = (r.held[held], hi if r.hi[held] == -1 else r.hi[held], r.last, made + r.made[held])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, lo, hi = [], 0, float("inf"), 0
-
-        def close() -> None:
-            nonlocal held, lo, hi
-            out.append((len(out), held, lo, hi))
-            held, lo, hi = 0, float("inf"), 0
-
+        held, hi, lo, bucket = starts[int(pdf["part"].iloc[0])]
+        out = []
         for v, c in pdf.sort_values("v", ascending=False)[["v", "c"]].itertuples(index=False):
-            if v < lo and held >= least:
-                close()
-            while c:
-                take = min(c, size - held)
-                held, c, lo, hi = held + take, c - take, v, max(hi, v)
-                if held == size:
-                    close()
+            if held >= least:
+                out.append((bucket, held, lo, hi))
+                held, bucket = 0, bucket + 1
+            hi, lo = (hi if held else v), v
+            while held + c >= size:
+                out.append((bucket, size, v, hi))
+                held, c, hi, bucket = 0, c - (size - held), v, bucket + 1
+            held += c
         return pd.DataFrame(out, columns=["bucket", "n", "lo", "hi"])
 
-    return runs.groupBy(F.lit(0).alias("g")).applyInPandas(fold, "bucket long, n long, lo long, hi long")
+    return placed.groupBy("part").applyInPandas(fold, "bucket long, n long, lo long, hi long")

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freqloom.functions.text import case_variants, concept_key, query_terms
+from freqloom.functions.text import capitalised, concept_key, query_terms
 
 from .index import Analyzer, surface, unigram_postings
 
@@ -97,14 +97,21 @@ def tag_of(concepts: DataFrame, tags: DataFrame) -> DataFrame:
 
     tags: the index's distinct tags.  A concept's own spelling comes first, then its case variants in
     their order, then any tag with the same key (lower case, underscores as spaces), the least of them;
-    a concept without any has a null tag.  Tags and variants meet by equality.
+    a concept without any has a null tag.  No variant is made: a tag that is one has the key of the
+    concept's words, and which of its words are capitalised is its place in the order.
     """
-    spelled = concepts.select("concept_id", "concept", F.posexplode(F.array_union(F.array("concept"), case_variants(F.col("concept")))).alias("nth", "tag"))
-    exact = spelled.join(tags.select("tag"), "tag", "left_semi").groupBy("concept_id").agg(F.min(F.struct("nth", "tag"))["tag"].alias("exact"))
-    alike = concepts.select("concept_id", concept_key(F.col("concept")).alias("key")).join(tags.select(concept_key(F.col("tag")).alias("key"), "tag"), "key")
-    alike = alike.groupBy("concept_id").agg(F.min("tag").alias("alike"))
-    both = concepts.select("concept_id", "concept").join(exact, "concept_id", "left").join(alike, "concept_id", "left")
-    return both.select("concept_id", "concept", F.coalesce("exact", "alike").alias("tag"))
+    name, tag = F.col("concept"), F.col("tag")
+    found = F.filter(F.split(name, r"[_\s]+"), lambda w: w != "")
+    words = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    spaced = F.lower(F.array_join(words, " "))
+    asked = concepts.where(name.isNotNull()).select("concept_id", "concept", words.alias("words"), F.explode(F.array_distinct(F.array(concept_key(name), spaced))).alias("key"))
+    met = asked.join(tags.select("tag", concept_key(tag).alias("key")), "key")
+    capitals = F.zip_with("words", F.split(tag, "_"), lambda w, p: F.when(p == F.lower(w), 0).when(p == capitalised(w), 1))
+    variant = ~F.exists(capitals, lambda c: c.isNull())
+    place = F.when(tag == name, F.array(F.lit(-1))).when(variant, capitals).when(F.col("key") == concept_key(name), F.array(F.lit(2)))
+    placed = met.select("concept_id", "tag", place.alias("place")).where("place IS NOT NULL")
+    best = placed.groupBy("concept_id").agg(F.min_by("tag", F.struct("place", "tag")).alias("tag"))
+    return concepts.select("concept_id", "concept").join(best, "concept_id", "left")
 
 
 def tagged_hits(postings: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from freqloom.operators import evaluate as E
 from freqloom.operators import generated as G
 from freqloom.operators import index, search
 from freqloom.sources import splits
+from freqloom.sources.storage import cut
 
 from . import fixtures as X
 from .catalog import query
@@ -50,15 +51,14 @@ SQL_LOOKUP = SQL_TAGGED + f", spelled AS (SELECT * FROM {X.values(SPELLED, 'conc
 
 @query("image_search_variants", W + SQL_LOOKUP + " SELECT concept, found.tag, count(sample_id) AS n FROM found LEFT JOIN tagged USING (tag) GROUP BY concept, found.tag")
 def image_search_variants(spark, d):
-    postings = tagged(spark, d)
-    n = postings.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    n = cut(tagged(spark, d).groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
     return search.tag_of(X.concepts(spark), n).join(n, "tag", "left").select("concept", "tag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("integrated_search_variants", W + SQL_LOOKUP + ", " + X.SQL_TERMS + ", " + X.SQL_POST + ", " + X.SQL_HITS + ", i AS (SELECT concept_id, sample_id FROM found JOIN tagged USING (tag)) SELECT concept, (SELECT count(*) FROM hits h WHERE h.concept_id = c.concept_id) AS n_text, (SELECT count(*) FROM i WHERE i.concept_id = c.concept_id) AS n_image, (SELECT count(*) FROM hits h JOIN i USING (concept_id, sample_id) WHERE concept_id = c.concept_id) AS n_both FROM concepts c")
 def integrated_search_variants(spark, d):
     c = X.concepts(spark)
-    return search.integrated(search.text_search(X.corpus(spark, d), c), search.tagged_hits(tagged(spark, d), c), c)
+    return search.integrated(search.text_search(X.corpus(spark, d), c), search.tagged_hits(cut(tagged(spark, d)), c), c)
 
 
 @query("cased_postings", "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE term <> lower(term) GROUP BY term")
@@ -148,13 +148,9 @@ def threshold_performance(spark, d):
     """For each threshold of the image search: how log frequency goes with zero-shot accuracy, over ten inner bins."""
     acc = E.zero_shot(X.embeddings(spark, d)).where("label IS NOT NULL").select(F.col("label").cast("long").alias("concept_id"), "acc")
     n = index.image_postings(X.images(spark, d), X.THRESHOLDS).groupBy("threshold", "concept_id").agg(F.count(F.lit(1)).alias("n")).join(acc, "concept_id")
-    parts = []
-    for t in X.THRESHOLDS:
-        bins = S.log_bins(n.where(F.col("threshold") == t), "n", "acc", 12).where("bin BETWEEN 1 AND 10")
-        parts.append(bins.agg(F.round(F.corr(F.log("edge"), F.col("mean")), 6).alias("r"), F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("threshold"), "r", "n"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    bins = S.log_bins(cut(n), "n", "acc", 12, ["threshold"]).where("bin BETWEEN 1 AND 10")  # a row for each threshold and concept
+    r = bins.groupBy("threshold").agg(F.round(F.corr(F.log("edge"), F.col("mean")), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+    every = spark.range(1).select(F.explode(F.lit(X.THRESHOLDS)).alias("threshold")).join(r, "threshold", "left")
     return S.with_p(every, "r", "n").select("threshold", "r", (F.col("p") < 0.05).alias("significant"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpora import dense_index
+
 ITEM = "array<struct<path: string, label: int, classname: string>>"
 
 
@@ -23,8 +25,8 @@ def read_folders(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     named = files.withColumn("classname", F.element_at(F.split("path", "/"), -2))
     classes = named.select("classname").distinct()
-    labels = classes.join(classes.withColumnRenamed("classname", "other"), F.col("other") <= F.col("classname")).groupBy("classname").agg((F.count(F.lit(1)) - 1).cast("int").alias("label"))
-    return named.join(F.broadcast(labels), "classname").select("path", "classname", "label")
+    labels = dense_index(classes, ["classname"], "label").withColumn("label", F.col("label").cast("int"))
+    return named.join(labels, "classname").select("path", "classname", "label")
 
 
 def read_variants(spark: SparkSession, split_file: str, variants_file: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Behaviours that matter, each on a tiny table."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -126,6 +127,24 @@ def test_pearson_p_value():
     assert abs(S.pearson_p(0.0, 20) - 1) < 1e-12
 
 
+def test_tags_found_without_making_variants(spark):
+    concepts = ["hot air", "a b", "_", "many words " * 20, "x  y", "one", None, "p q"]
+    tags = ["hot_Air", "Hot_air", "hot air", "A b", "a B", "", "MANY_words_" * 19 + "many_Words", "many_words_" * 19 + "Many_words", "X_y", "x y", "ONE", "One", "p q", "P_q", "p_Q"]
+    c = spark.createDataFrame(list(enumerate(concepts)), "concept_id long, concept string")
+    t = spark.createDataFrame([(x,) for x in tags], "tag string")
+    want = {0: "hot air", 1: "A b", 2: "", 3: "many_words_" * 19 + "Many_words", 4: "X_y", 5: "One", 6: None, 7: "p q"}
+    assert {r.concept_id: r.tag for r in search.tag_of(c, t).collect()} == want
+
+
+def test_log_bins_of_groups(spark):
+    rows = spark.createDataFrame([(g, n * (g + 1), float(n % 7)) for g in range(3) for n in range(1, 60)], "g long, n long, v double")
+    got = {(r.g, r.bin): (r.edge, r.n, r.mean, r.std) for r in S.log_bins(rows, "n", "v", 6, ["g"]).collect()}
+    for g in range(3):
+        for r in S.log_bins(rows.where(F.col("g") == g), "n", "v", 6).collect():
+            assert got.pop((g, r.bin)) == pytest.approx((r.edge, r.n, r.mean, r.std))
+    assert not got
+
+
 def test_average_rank(spark):
     rows = spark.createDataFrame([("a", 3), ("b", 1), ("c", 3), ("d", 9)], "k string, v long")
     want = {("a", 2.5), ("b", 1.0), ("c", 2.5), ("d", 4.0)}
@@ -139,6 +158,37 @@ def test_buckets_close_on_a_drop_or_at_size(spark):
     assert got == [(0, 3, 9, 9), (1, 6, 5, 8)]  # two of 8 and four of 5; the last four stay open
 
 
+def brute_buckets(counts, size, least):
+    out, held = [], []
+    for v in sorted((x for x in counts if x > 0), reverse=True):
+        if held and v < held[-1] and len(held) >= least:
+            out.append(held)
+            held = []
+        held.append(v)
+        if len(held) == size:
+            out.append(held)
+            held = []
+    return [(i, len(b), b[-1], b[0]) for i, b in enumerate(out)]
+
+
+@pytest.mark.parametrize("size, least, seed", [(6, 3, 1), (10, 1, 2), (25, 25, 3), (7, 5, 4), (50, 20, 5)])
+def test_buckets_fold_alike_over_partitions(spark, size, least, seed):
+    rng = random.Random(seed)
+    counts = [int(rng.paretovariate(0.6)) % 400 for _ in range(900)]
+    freq = spark.createDataFrame([(c,) for c in counts], "df long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = curate.quantile_buckets(freq, size=size, least=least).orderBy("bucket").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in found] == brute_buckets(counts, size, least)
+
+
+def test_buckets_of_nothing(spark):
+    freq = spark.createDataFrame([(0,)], "df long")
+    assert curate.quantile_buckets(freq).collect() == []
+
+
 def brute_greedy(bits, radius):
     gone = set()
     for i in range(len(bits)):
