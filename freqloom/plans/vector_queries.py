@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.vectors import dot
 from freqloom.operators import evaluate as E
+from freqloom.operators import neighbours as N
 
 from . import fixtures as X
 from .catalog import query
@@ -26,7 +27,7 @@ def zero_shot_accuracy(spark, d):
 @query("cosine_topk", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q, c.vec_id AS cand, round(list_dot_product(q.e, c.e), 9) AS sim FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, cand) AS rank FROM s) SELECT q, rank, cand, round(sim, 6) AS sim FROM r WHERE rank <= 10")
 def cosine_topk(spark, d):
     v = X.embeddings(spark, d)
-    return E.top_k(v.where("vec_id % 50 = 0"), v, 10)
+    return N.top_k(v.where("vec_id % 50 = 0"), N.cells(v), 10)
 
 
 SQL_RANKS = """WITH v AS (SELECT vec_id, vec_id // 6 AS g, vec_id % 6 AS m, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -42,7 +43,8 @@ def ranks(spark, d):
     texts, images = v.where("m > 0"), v.where("m = 0")
     found = []
     for name, a, b in (("text_to_image", texts, images), ("image_to_text", images, texts)):
-        r = E.true_ranks(a.select(F.col("vec_id").alias("query_id"), "own_id", "v"), b.select(F.col("vec_id").alias("cand_id"), "own_id", "v"))
+        candidates = b.select(F.col("vec_id").alias("cand_id"), "own_id", "v")
+        r = N.true_ranks(a.select(F.col("vec_id").alias("query_id"), "own_id", "v"), candidates, N.cells(candidates, "cand_id", "v"))
         found.append(r.join(a.select(F.col("vec_id").alias("query_id"), "concept"), "query_id").select(F.lit(name).alias("direction"), "concept", "rank"))
     return found[0].unionByName(found[1])
 
