@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.vectors import dot
-from freqloom.sources.corpora import dense_index
 from freqloom.sources.storage import cut
 
 #: Pivots are a sample of the vectors, on the driver and in the closure of tasks: PIVOTS * dimension numbers.
@@ -61,7 +60,8 @@ def cells(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                 yield batch.assign(cell=cell, far=far[np.arange(len(cell)), cell], norm=np.sqrt((v * v).sum(1)))
 
     dealt = held.mapInPandas(deal, "id long, v array<double>, cell long, far double, norm double")
-    placed = dense_index(dealt, ["cell", "far", "id"]).withColumn("block", F.floor(F.col("idx") / block))
+    order = ["cell", "far", "id"]
+    placed = dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.floor(F.monotonically_increasing_id() / block))
     packed = placed.groupBy("cell", "block").agg(  # at most ``block`` rows
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")
     )
