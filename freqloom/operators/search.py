@@ -78,6 +78,15 @@ def subset(hits: DataFrame, keep: DataFrame) -> DataFrame:
     return hits.join(keep.select("sample_id").distinct(), "sample_id", "left_semi").dropDuplicates(["concept_id", "sample_id"])
 
 
+def requested(index: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, sample_id): hits of a table of requests (request_id, corpus, threshold, concept_id).
+
+    index: as sinks.write_image_index has it.  The requests, filtered, decide at run time which folders are
+    read (dynamic partition pruning), so a search of one corpus reads no other.
+    """
+    return index.join(requests, ["corpus", "threshold", "concept_id"]).select("request_id", "sample_id")
+
+
 def misalignment(text_hits: DataFrame, image_hits: DataFrame, corpus_size: DataFrame) -> DataFrame:
     """(n_mis, degree_extracted, degree_fixed): samples with concepts in both modalities but none in common.
 

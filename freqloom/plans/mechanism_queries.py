@@ -1,4 +1,4 @@
-"""Queries over tar archives, bitmap postings and the positional index."""
+"""Queries over tar archives, annotation lists, bitmap postings, the positional and the maintained index."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from freqloom.operators import bitmaps, index, phrases
-from freqloom.sources import shards, tar
+from freqloom.operators import bitmaps, index, phrases, search
+from freqloom.sources import json_lists, shards, sinks, tar
 from freqloom.sources.storage import shared_dir
+from freqloom.streaming import corrections
 
 from . import fixtures as X
 from .catalog import query
@@ -51,3 +52,52 @@ def phrase_search(spark, d):
     asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(words, 1, (F.col("item_id") % 4 + 2).cast("int")), " ").alias("phrase"))
     post = phrases.positional_postings(X.corpus(spark, d), only=phrases.phrase_terms(asked))
     return phrases.phrase_search(post, asked).groupBy("phrase_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+
+
+@query("annotation_list", "SELECT 'img/' || doc_id || '.jpg' AS image_path, pos::INT AS pos, sha256(coalesce(CASE pos WHEN 0 THEN text ELSE source END, '')) AS caption, [doc_id % 10, 10 + pos] AS caption_tags, [doc_id % 10, 10, 11] AS image_tags FROM documents, (VALUES (0), (1)) v(pos)")
+def annotation_list(spark, d):
+    """Documents as annotated images in JSON lists of 100, read back by byte ranges."""
+    docs = X.table(spark, d, "documents")
+    tag = F.col("doc_id") % 10
+    longs = lambda *c: F.array(*[x.cast("long") for x in c])
+    item = F.struct(
+        F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+        F.array(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))).alias("caption"),
+        longs(tag, F.lit(10), F.lit(11)).alias("union_label_id"),
+        F.array(longs(tag, F.lit(10)), longs(tag, F.lit(11))).alias("parse_label_id"),
+    )
+    lists = docs.groupBy(F.floor(F.col("doc_id") / 100)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(item)), ", "), F.lit("]")).alias("value"))
+    folder = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    lists.select("value").write.text(folder)
+    rows = json_lists.read_json_list(spark, folder, json_lists.ANNOTATION, suffix=".txt", split=1 << 20)
+    each = rows.select("image_path", F.posexplode("caption").alias("pos", "caption"), F.col("union_label_id").alias("image_tags"), "parse_label_id")
+    return each.select("image_path", "pos", F.sha2("caption", 256).alias("caption"), "image_tags", F.get("parse_label_id", F.col("pos")).alias("caption_tags"))
+
+
+SQL_NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN coalesce(source, '') || ' changed ' || coalesce(text, '') ELSE text END AS text FROM documents), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM now)"
+
+
+@query("maintained_index", W + SQL_NOW + " SELECT term, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM w GROUP BY term")
+def maintained_index(spark, d):
+    """Documents indexed as a stream; then every third changes, every seventh is removed, and old versions come again."""
+    doc = F.col("doc_id")
+    docs = X.table(spark, d, "documents").select(doc.alias("sample_id"), "text", "source")
+    source, target, checkpoint = (f"{shared_dir(spark)}/index-{uuid.uuid4().hex}/{x}" for x in ("documents", "index", "checkpoint"))
+    first = docs.select("sample_id", F.lit(1).cast("long").alias("version"), "text")
+    text = F.when(F.col("sample_id") % 7 != 0, F.concat(F.coalesce("source", F.lit("")), F.lit(" changed "), F.coalesce("text", F.lit(""))))
+    changed = docs.where("sample_id % 3 = 0 OR sample_id % 7 = 0").select("sample_id", F.lit(2).cast("long").alias("version"), text.alias("text"))
+    for rows in (first, changed.unionByName(first.where("sample_id % 2 = 0"))):
+        rows.write.mode("append").parquet(source)
+        corrections.maintain(spark, source, target, checkpoint, fan=2).awaitTermination()
+    return corrections.postings(spark, target).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("sample_id").alias("ids"))
+
+
+@query("requested_search", W + X.SQL_IMG + ", r AS (SELECT n_nationkey AS request_id, n_nationkey % 3 AS corpus, [0.5, 0.6, 0.7][1 + n_nationkey % 3]::DOUBLE AS threshold, (n_nationkey % 10)::BIGINT AS concept_id FROM nation WHERE n_regionkey = 1) SELECT request_id::BIGINT AS request_id, sample_id FROM r JOIN img ON img.concept_id = r.concept_id AND sample_id % 3 = corpus AND prob > threshold")
+def requested_search(spark, d):
+    """Hits of a table of requests in an image index with folders by corpus and threshold."""
+    made = index.image_postings(X.images(spark, d), [0.5, 0.6, 0.7]).withColumn("corpus", (F.col("sample_id") % 3).cast("int"))
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    sinks.write_image_index(made, folder)
+    key = F.col("n_nationkey")
+    wanted = X.table(spark, d, "nation").where("n_regionkey = 1").select(key.cast("long").alias("request_id"), (key % 3).cast("int").alias("corpus"), F.element_at(F.lit([0.5, 0.6, 0.7]), (key % 3 + 1).cast("int")).alias("threshold"), (key % 10).cast("long").alias("concept_id"))
+    return search.requested(spark.read.parquet(folder), wanted)

@@ -34,6 +34,15 @@ def write_thresholds(postings: DataFrame, path: str) -> None:
     postings.repartition("threshold", "concept_id").sortWithinPartitions("threshold", "concept_id").write.mode("overwrite").partitionBy("threshold").parquet(path)
 
 
+def write_image_index(postings: DataFrame, path: str) -> None:
+    """An image index (corpus, threshold, concept_id, sample_id) with a folder for each corpus and threshold.
+
+    Files hold ranges of concepts, so a large folder has several and a look-up skips most row groups.
+    """
+    order = ["corpus", "threshold", "concept_id", "sample_id"]
+    postings.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("corpus", "threshold").parquet(path)
+
+
 def write_map_json(maps: DataFrame, key: str, value: str, path: str) -> None:
     """A JSON object {key: value} on each line, one for each row, so that no map meets in one task."""
     maps.select(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))).alias("value")).write.mode("overwrite").text(path)

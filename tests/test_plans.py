@@ -53,3 +53,10 @@ def test_no_python_in_text_search(spark, sf_dir):
 def test_similarities_broadcast_no_table_and_cross_nothing(spark, sf_dir):
     for name in ("image_probs", "zero_shot_accuracy", "cosine_topk", "retrieval_recall"):
         assert not re.search("CartesianProduct|BroadcastNestedLoop", plan(catalog.queries()[name](spark, sf_dir)))
+
+
+def test_requests_prune_folders_at_run_time(spark, sf_dir, tmp_path):
+    found = catalog.queries()["requested_search"](spark, sf_dir)
+    found.collect()
+    p = plan(found)
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", p)
