@@ -24,8 +24,18 @@ def zero_shot_accuracy(spark, d):
     return E.zero_shot(X.embeddings(spark, d)).select(F.col("label").cast("long").alias("label"), "acc")
 
 
-@query("cosine_topk", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q, c.vec_id AS cand, round(list_dot_product(q.e, c.e), 9) AS sim FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, cand) AS rank FROM s) SELECT q, rank, cand, round(sim, 6) AS sim FROM r WHERE rank <= 10")
+SQL_TOP = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q, c.vec_id AS cand, round(list_dot_product(q.e, c.e), 9) AS sim FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, cand) AS rank FROM s) SELECT q, rank, cand, round(sim, 6) AS sim FROM r WHERE rank <= 10"
+
+
+@query("cosine_topk", SQL_TOP)
 def cosine_topk(spark, d):
+    v = X.embeddings(spark, d)
+    return E.top_k(v.where("vec_id % 50 = 0"), v, 10)
+
+
+@query("pruned_topk", SQL_TOP)
+def pruned_topk(spark, d):
+    """The same by cells of vectors."""
     v = X.embeddings(spark, d)
     return N.top_k(v.where("vec_id % 50 = 0"), N.cells(v), 10)
 
@@ -38,22 +48,31 @@ ranks AS (SELECT 'text_to_image' AS direction, tl::BIGINT AS concept, min(r) AS
 k AS (SELECT direction, concept, rank, unnest([1, 5, 10]) AS k FROM ranks)"""
 
 
-def ranks(spark, d):
+def ranks(spark, d, pruned=False):
     v = X.embeddings(spark, d).select("vec_id", F.floor(F.col("vec_id") / 6).alias("own_id"), (F.col("vec_id") % 6).alias("m"), F.col("label").cast("long").alias("concept"), F.col("embedding").alias("v"))
     texts, images = v.where("m > 0"), v.where("m = 0")
     found = []
     for name, a, b in (("text_to_image", texts, images), ("image_to_text", images, texts)):
-        candidates = b.select(F.col("vec_id").alias("cand_id"), "own_id", "v")
-        r = N.true_ranks(a.select(F.col("vec_id").alias("query_id"), "own_id", "v"), candidates, N.cells(candidates, "cand_id", "v"))
+        asked, held = a.select(F.col("vec_id").alias("query_id"), "own_id", "v"), b.select(F.col("vec_id").alias("cand_id"), "own_id", "v")
+        r = N.true_ranks(asked, held, N.cells(held, "cand_id", "v")) if pruned else E.true_ranks(asked, held)
         found.append(r.join(a.select(F.col("vec_id").alias("query_id"), "concept"), "query_id").select(F.lit(name).alias("direction"), "concept", "rank"))
     return found[0].unionByName(found[1])
 
 
-@query("retrieval_recall", SQL_RANKS + " SELECT direction, k::BIGINT AS k, round(avg((rank <= k)::INT) * 100, 6) AS recall FROM k GROUP BY direction, k")
+SQL_RECALL = SQL_RANKS + " SELECT direction, k::BIGINT AS k, round(avg((rank <= k)::INT) * 100, 6) AS recall FROM k GROUP BY direction, k"
+
+
+@query("retrieval_recall", SQL_RECALL)
 def retrieval_recall(spark, d):
     return E.recall(ranks(spark, d), by=["direction"])
 
 
+@query("pruned_recall", SQL_RECALL)
+def pruned_recall(spark, d):
+    """The same by cells of candidates."""
+    return E.recall(ranks(spark, d, pruned=True), by=["direction"])
+
+
 @query("retrieval_conceptwise", SQL_RANKS + " SELECT direction, k::BIGINT AS k, concept, round(avg((rank <= k)::INT) * 100, 6) AS recall FROM k GROUP BY direction, k, concept")
 def retrieval_conceptwise(spark, d):
     return E.recall(ranks(spark, d), by=["direction", "concept"])

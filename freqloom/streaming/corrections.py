@@ -5,7 +5,7 @@ for each term it gains and -1 for each it loses; an older or equal version gives
 sent again counts once.  Rows of a micro-batch are a run; ``fan`` runs of a level are merged into one of the next,
 in which rows that cancel out are gone.  A manifest for each micro-batch names the runs that count.  A batch that
 is repeated after a failure writes the same names again from the manifest before it, and readers see a batch
-whole or not at all.  Merged runs stay on disk until ``unused`` names are removed, for readers that still use them.
+whole or not at all.  Merged runs stay on disk, for readers that still use them.
 """
 
 from __future__ import annotations
