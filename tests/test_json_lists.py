@@ -40,7 +40,7 @@ def test_elements_at_any_cut(spark, tmp_path, split, monkeypatch):
             with J.opened(str(tmp_path / f"{k}.json")) as file:
                 odd, depth, got = 0, 0, []
                 for at in range(len(data)):
-                    got += [json.loads(e) for _, e in J.elements(file, at, at + 1, len(data), odd, depth)]
+                    got += [json.loads(e) for _, e, _ in J.elements(file, at, at + 1, len(data), odd, depth)]
                     o, outside, inside = J.summed(file, at, at + 1)
                     odd, depth = (odd + o) % 2, depth + (inside if odd else outside)
             assert got == items
@@ -71,3 +71,39 @@ def test_what_is_no_list_fails(spark, tmp_path, text):
 
 def test_no_file(spark, tmp_path):
     assert J.read_elements(spark, str(tmp_path)).count() == 0
+
+
+def spread(value, rng):
+    """JSON of a value with blanks of any length after brackets, colons and commas of the first two levels."""
+    blank = lambda: " " * rng.choice([0, 1, 400]) + "\n" * rng.randint(0, 1)
+    dumps = lambda v: json.dumps(v, ensure_ascii=False)
+    arrays = [f"{blank()}{dumps(k)}{blank()}:{blank()}" + (f"[{blank()}" + f"{blank()},{blank()}".join(map(dumps, v)) + f"{blank()}]" if isinstance(v, list) else dumps(v)) for k, v in value.items()]
+    return "{" + ",".join(arrays) + blank() + "}"
+
+
+@pytest.mark.parametrize("split", [67, 1 << 20])
+def test_arrays_of_objects_keep_their_key(spark, tmp_path, split):
+    rng = random.Random(split)
+    want = []
+    for k in range(2):
+        tables = [{texts(rng) + '\\"k' * rng.randint(0, 2) + str(i): [value(rng) for _ in range(rng.randint(0, 3))] for i in range(3)} | {"plain": 7} for _ in range(2)]
+        (tmp_path / f"{k}.json").write_text("\n".join(spread(t, rng) for t in tables))
+        want += [(str(k), key, v) for t in tables for key, vs in t.items() if isinstance(vs, list) for v in vs]
+    found = J.read_elements(spark, str(tmp_path), split=split, kind=J.LISTS).orderBy("file", "at").collect()
+    assert [(r.file[-6], r.key, json.loads(r.element)) for r in found] == want
+
+
+@pytest.mark.parametrize("split", [6, 1 << 20])
+def test_entries_of_objects(spark, tmp_path, split):
+    rng = random.Random(split)
+    table = {texts(rng) + str(i): rng.randint(-9, 9) for i in range(9)}
+    (tmp_path / "x.json").write_text(json.dumps(table) + "{ }" + json.dumps({"more": 1}))
+    found = J.read_json_map(spark, str(tmp_path), "long", split=split).orderBy("at").collect()
+    assert [(r.key, r.value) for r in found] == [*table.items(), ("more", 1)]
+
+
+@pytest.mark.parametrize("text", ['{"a": {"b": [1]}}', "[1]", '{"a": [1]}[2]', '{"a": [1'])
+def test_what_is_no_object_of_arrays_fails(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="JSON list"):
+        J.read_json_lists(spark, str(tmp_path), "int", split=3).collect()
