@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import curation_queries, index_queries, mechanism_queries, search_queries, string_queries, study_queries, vector_queries  # noqa: F401
+    from . import curation_queries, index_queries, mechanism_queries, search_queries, storage_queries, string_queries, study_queries, vector_queries  # noqa: F401
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:

@@ -1,58 +1,13 @@
-"""Tar shards: members in name order, filtered by extension, with their JSON or text sidecars."""
+"""Names and ids of the members of tar shards; ``tar`` reads them."""
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".ppm", ".bmp", ".pgm", ".tif", ".tiff", ".webp")
 
 
-def read_tar(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, sidecar: str = "json", tolerant: bool = True, archives: Column | None = None) -> DataFrame:
-    """(archive, name, content, sidecar): one row per member with a wanted extension, in name order.
-
-    sidecar: text of the member of the same stem with that extension, or null; JSON is checked.  A
-    truncated archive gives the members before the break, or raises if not tolerant.  archives: a
-    condition on the files' path, length and modificationTime, tested before a file is read.  An archive
-    is one value of at most 2 GB.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    files = (files if archives is None else files.where(archives)).select("path", "content")
-
-    def members(data: bytes) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        try:
-            with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                for m in tar:
-                    if m.isfile() and (f := tar.extractfile(m)) is not None:
-                        found[m.name] = f.read()
-        except (tarfile.ReadError, EOFError):
-            if not tolerant:
-                raise
-        return found
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
-                found = members(data)
-                rows = []
-                for name in sorted(found):
-                    if name.lower().endswith(extensions):
-                        text = found.get(f"{name.rpartition('.')[0]}.{sidecar}")
-                        if text is not None and sidecar == "json":
-                            json.loads(text)
-                        rows.append((path, name, found[name], None if text is None else text.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["archive", "name", "content", "sidecar"])
-
-    return files.mapInPandas(run, "archive string, name string, content binary, sidecar string")
-
-
 def texts_by_index(members: DataFrame) -> DataFrame:
     """(idx, text) of text members named by a leading integer."""
     return members.select(leading_number(F.col("name")).alias("idx"), F.decode("content", "UTF-8").alias("text")).where("idx IS NOT NULL")

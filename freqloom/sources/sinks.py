@@ -1,10 +1,12 @@
-"""Writers: counts by partition, index shards by bucket, upserts by key."""
+"""Writers: counts and hits by partition, index shards by bucket, upserts by key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import json_lists
+
 COUNT_KEYS = ["downstream", "pt_dataset", "method"]
 
 
@@ -17,16 +19,46 @@ def read_counts(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_count_json(spark, path: str) -> DataFrame:
-    """Counts of JSON objects {concept: n} in files <downstream>_<corpus>_<method>_search_counts.json."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.explode(F.from_json("value", "map<string, bigint>")).alias("concept", "n"))
-    name = F.split(F.regexp_replace("file", r"_search_counts\.json$", ""), "_", 3)
-    return raw.select(name[0].alias("downstream"), name[1].alias("pt_dataset"), name[2].alias("method"), "concept", "n")
+def read_count_json(spark, path: str, suffix: str = "_search_counts.json", split: int = json_lists.SPLIT) -> DataFrame:
+    """Counts of JSON objects {concept: n}, read in byte ranges.
+
+    The keys are in names <downstream>_<corpus>_<method>_search_counts.json of files, or in those of
+    folders, as write_count_json has it.  path: a file, or a folder of files with that suffix.
+    """
+    raw = json_lists.read_json_map(spark, path, "bigint", suffix, split).select("file", F.col("key").alias("concept"), F.col("value").alias("n"))
+    name = F.split(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"_search_counts\.json$", ""), "_", 3)
+    folders = [F.nullif(F.regexp_extract("file", f"/{k}=([^/]*)/", 1), F.lit("")) for k in COUNT_KEYS]
+    return raw.select(*[F.coalesce(f, F.get(name, F.lit(i))).alias(k) for i, (k, f) in enumerate(zip(COUNT_KEYS, folders))], "concept", "n")
+
+
+def write_count_json(counts: DataFrame, path: str) -> None:
+    """Counts as JSON objects {concept: n}, one on each line of text files, in a folder for each key (of letters, digits, ``-`` and ``_``)."""
+    entry = F.to_json(F.create_map(F.col("concept"), F.col("n")))
+    placed = counts.repartitionByRange(*COUNT_KEYS, "concept")
+    placed.select(*COUNT_KEYS, entry.alias("value")).write.mode("append").partitionBy(*COUNT_KEYS).text(path)
+
+
+def write_hits(hits: DataFrame, path: str) -> None:
+    """Search hits (downstream, pt_dataset, method, concept, sample_id) beside their counts, a folder for each key.
+
+    Files hold ranges of concepts and samples, so a concept with very many hits has several files and a
+    look-up of a concept skips the others.
+    """
+    order = [*COUNT_KEYS, "concept", "sample_id"]
+    hits.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(*COUNT_KEYS).parquet(path)
+
+
+def read_hits(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int, term: str = "term") -> None:
-    """Postings bucketed and sorted by term: lookups of few terms then read few buckets."""
-    postings.repartition(buckets, term).write.mode("overwrite").bucketBy(buckets, term).sortBy(term).saveAsTable(table)
+def write_postings(postings: DataFrame, table: str, buckets: int, term: str = "term", path: str | None = None) -> None:
+    """Postings bucketed and sorted by term: lookups of few terms then read few buckets.
+
+    path: where the files lie, in a folder that driver and executors share; without it the warehouse must be one.
+    """
+    writer = postings.repartition(buckets, term).write.mode("overwrite").bucketBy(buckets, term).sortBy(term)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def write_thresholds(postings: DataFrame, path: str) -> None:
@@ -65,11 +97,14 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return least.select(*keys, *[F.col("__first")[c].alias(c) for c in (*order, *rest)])
 
 
-def flat_list(lists: DataFrame, json_col: str) -> DataFrame:
-    """(concept, entries) of lists of one-key objects [{concept: [entry, ...]}]: the nested lists as flat rows; of repeated concepts the last counts."""
-    items = lists.select(F.posexplode(F.from_json(json_col, "array<map<string, array<string>>>")).alias("at", "m"))
-    keys = items.select("at", F.explode("m").alias("concept", "entries"))
-    return keys.groupBy("concept").agg(F.max_by("entries", "at").alias("entries"))
+def read_flat_list(spark, path: str, suffix: str = ".json", split: int = json_lists.SPLIT) -> DataFrame:
+    """(concept, entries) of lists of one-key objects [{concept: [entry, ...]}], read in byte ranges: the nested lists as flat rows.
+
+    Of repeated concepts the last counts, by file and place.  path: a file, or a folder of files with that suffix.
+    """
+    items = json_lists.read_elements(spark, path, suffix, split)
+    keys = items.select("file", "at", F.explode(F.from_json("element", "map<string, array<string>>")).alias("concept", "entries"))
+    return keys.groupBy("concept").agg(F.max_by("entries", F.struct("file", "at")).alias("entries"))
 
 
 def merge_maps(maps: DataFrame, key: str, value: str, order: str) -> DataFrame:

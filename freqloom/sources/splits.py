@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import json_lists
 from .corpora import dense_index
 
-ITEM = "array<struct<path: string, label: int, classname: string>>"
+SPLITS = ("train", "val", "test")
 
 
-def read_split_json(spark: SparkSession, path: str) -> DataFrame:
-    """(split, path, label, classname) of {train, val, test: [[path, label, classname], ...]} files."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "train array<array<string>>, val array<array<string>>, test array<array<string>>").alias("j"))
-    parts = [raw.select(F.lit(s).alias("split"), F.explode(f"j.{s}").alias("r")) for s in ("train", "val", "test")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select("split", F.col("r")[0].alias("path"), F.col("r")[1].try_cast("int").alias("label"), F.col("r")[2].alias("classname"))
+def read_split_json(spark: SparkSession, path: str, suffix: str = ".json", split: int = json_lists.SPLIT) -> DataFrame:
+    """(split, path, label, classname) of {train, val, test: [[path, label, classname], ...]} files, read in byte ranges.
+
+    path: a file, or a folder of files with that suffix.  Other keys are left out; an item that is no list has nulls.
+    """
+    rows = json_lists.read_json_lists(spark, path, "array<string>", suffix, split).where(F.col("key").isin(*SPLITS))
+    r = F.col("value")
+    return rows.select(F.col("key").alias("split"), F.get(r, F.lit(0)).alias("path"), F.get(r, F.lit(1)).try_cast("int").alias("label"), F.get(r, F.lit(2)).alias("classname"))
+
+
+def write_split_json(rows: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Split files of rows (split, path, label, classname): JSON objects with about ``per_file`` items each, dealt by a hash of the path."""
+    item = F.array(F.col("path"), F.col("label").cast("string"), F.col("classname"))
+    files = F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / per_file))).cast("int")
+    lists = [F.collect_list(F.when(F.col("split") == s, item)).alias(s) for s in SPLITS]
+    dealt = rows.groupBy(F.pmod(F.xxhash64("path"), files).alias("file")).agg(*lists)
+    dealt.select(F.to_json(F.struct(*SPLITS)).alias("value")).write.text(path)
 
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:

@@ -200,13 +200,22 @@ def with_sidecars(found: DataFrame, extensions: tuple[str, ...] = IMAGE_EXTENSIO
     """(archive, name, content, sidecar): members with a wanted extension and the text of the member of the same stem with that of sidecars, or null.
 
     found: (archive, name, content), as of read_members with names = the extensions and the sidecar's.  Of members of one name in an archive, all are rows.
+    JSON sidecars are checked: one that is no JSON object fails the job that reads it.
     """
     ends = "|".join(x.lstrip(".") for x in extensions)
     wanted = found.where(F.lower("name").rlike(rf"\.({ends})$")).select("archive", "name", "content", stem(F.col("name")).alias("__stem"))
     texts = found.where(F.endswith("name", F.lit(f".{sidecar}"))).groupBy("archive", stem(F.col("name")).alias("__stem")).agg(F.decode(F.max("content"), "UTF-8").alias("sidecar"))
+    if sidecar == "json":
+        good = F.from_json("sidecar", "map<string, string>").isNotNull()
+        texts = texts.withColumn("sidecar", F.when(good, F.col("sidecar")).otherwise(F.raise_error(F.concat(F.lit("no JSON beside "), "__stem"))))
     return wanted.join(texts, ["archive", "__stem"], "left").select("archive", "name", "content", "sidecar")
 
 
+def read_tar(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, sidecar: str = "json", **options: Any) -> DataFrame:
+    """(archive, name, content, sidecar) of the archives of a folder, or of one, in byte ranges; rows have no order."""
+    return with_sidecars(read_members(spark, path, names=",".join((*extensions, f".{sidecar}")), **options), extensions, sidecar)
+
+
 def write_tar(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
     """Write rows as members of tar archives in a folder, one for each partition, and give (archive, members, bytes).
 

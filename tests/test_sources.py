@@ -5,7 +5,8 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from freqloom.sources import corpora, shards, sinks, splits
+from freqloom.operators import prompts
+from freqloom.sources import corpora, shards, sinks, splits, tar
 
 
 def test_caption_files(spark, tmp_path):
@@ -30,29 +31,32 @@ def test_dense_index_and_positional_replacement(spark):
 
 
 def make_tar(path, files, cut=0):
-    with tarfile.open(path, "w") as tar:
+    with tarfile.open(path, "w") as archive:
         for name, data in files.items():
             info = tarfile.TarInfo(name)
             info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
+            archive.addfile(info, io.BytesIO(data))
     if cut:
         data = open(path, "rb").read()
         open(path, "wb").write(data[:cut])
 
 
-def test_tar_members_are_sorted_filtered_and_have_sidecars(spark, tmp_path):
+def test_tar_members_are_filtered_and_have_sidecars(spark, tmp_path):
     make_tar(tmp_path / "0.tar", {"2.JPG": b"two", "1.jpg": b"one", "1.json": b'{"a": 1}', "1.txt": b"caption", "notes.md": b"x"})
-    got = [(r.name, bytes(r.content), r.sidecar) for r in shards.read_tar(spark, str(tmp_path)).collect()]
+    got = sorted((r.name, bytes(r.content), r.sidecar) for r in tar.read_tar(spark, str(tmp_path)).collect())
     assert got == [("1.jpg", b"one", '{"a": 1}'), ("2.JPG", b"two", None)]
-    texts = shards.texts_by_index(shards.read_tar(spark, str(tmp_path), extensions=(".txt",), sidecar="none"))
+    texts = shards.texts_by_index(tar.read_tar(spark, str(tmp_path), extensions=(".txt",), sidecar="none"))
     assert [tuple(r) for r in texts.collect()] == [(1, "caption")]
+    make_tar(tmp_path / "1.tar", {"3.jpg": b"x", "3.json": b"{"})
+    with pytest.raises(Exception, match="no JSON beside 3"):
+        tar.read_tar(spark, str(tmp_path)).collect()
 
 
 def test_truncated_archive(spark, tmp_path):
     make_tar(tmp_path / "0.tar", {"1.jpg": b"a" * 600, "2.jpg": b"b" * 6000}, cut=2500)
-    assert [r.name for r in shards.read_tar(spark, str(tmp_path)).collect()] == ["1.jpg"]
+    assert [r.name for r in tar.read_tar(spark, str(tmp_path)).collect()] == ["1.jpg"]
     with pytest.raises(Exception, match="(?i)read|eof|unexpected"):
-        shards.read_tar(spark, str(tmp_path), tolerant=False).collect()
+        tar.read_tar(spark, str(tmp_path), tolerant=False).collect()
 
 
 def test_sample_ids(spark):
@@ -81,7 +85,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_counts(rows, str(tmp_path / "c"))
     assert sinks.read_counts(spark, str(tmp_path / "c")).where("method = 'text'").first().n == 5
     (tmp_path / "cifar10_cc3m_lemmatized_search_counts.json").write_text('{"car": 3, "dog": 0}')
-    got = {tuple(r) for r in sinks.read_count_json(spark, str(tmp_path / "*_search_counts.json")).collect()}
+    got = {tuple(r) for r in sinks.read_count_json(spark, str(tmp_path)).collect()}
     assert got == {("cifar10", "cc3m", "lemmatized", "car", 3), ("cifar10", "cc3m", "lemmatized", "dog", 0)}
     old = spark.createDataFrame([("a", 1), ("b", 2)], "model string, v long")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "model string, v long")
@@ -121,19 +125,42 @@ def test_map_json(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()) == ['{"a":1}', '{"b":2}']
 
 
-def test_flat_list(spark):
-    text = '[{"cat": ["a", "b"]}, {"dog": []}, {"cat": ["c"]}]'
-    got = {r.concept: r.entries for r in sinks.flat_list(spark.createDataFrame([(text,)], "j string"), "j").collect()}
+def test_flat_list(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"cat": ["a", "b"]}, {"dog": []}, {"cat": ["c"]}]')
+    got = {r.concept: r.entries for r in sinks.read_flat_list(spark, str(tmp_path), split=9).collect()}
     assert got == {"cat": ["c"], "dog": []}
 
 
+def test_split_files_are_read_in_ranges(spark, tmp_path):
+    items = [[f"{i}, [\"x\"].jpg", str(i % 3), "a {class}"] for i in range(200)]
+    (tmp_path / "s.json").write_text(json.dumps({"other": [1], "train": items[:120], "val": [], "test": items[120:]}))
+    rows = splits.read_split_json(spark, str(tmp_path), split=700)
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(("train" if i < 120 else "test", p, int(label), c) for i, (p, label, c) in enumerate(items))
+    splits.write_split_json(rows, str(tmp_path / "again"), per_file=30)
+    assert sorted(map(tuple, splits.read_split_json(spark, str(tmp_path / "again"), suffix=".txt").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_counts_and_hits_in_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "c", m, f'the "{k}"', k) for m in ("text", "image") for k in range(5)], "downstream string, pt_dataset string, method string, concept string, n long")
+    sinks.write_count_json(rows, str(tmp_path / "c"))
+    assert sorted(map(tuple, sinks.read_count_json(spark, str(tmp_path / "c"), suffix=".txt", split=4).collect())) == sorted(map(tuple, rows.collect()))
+    sinks.write_hits(rows.withColumnRenamed("n", "sample_id"), str(tmp_path / "h"))
+    found = sinks.read_hits(spark, str(tmp_path / "h")).where("method = 'text' AND concept = 'the \"3\"'")
+    assert [r.sample_id for r in found.collect()] == [3]
+    assert "PartitionFilters: [isnotnull(method" in found._jdf.queryExecution().toString()
+
+
+def test_prompt_banks(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps({"birds": ["Show {} {}, a bird", "Show {} {}, a bird", "{}"], "places": ["in {}", None]}))
+    concepts = spark.createDataFrame([("birds", "Owl"), ("places", "Peru"), ("none", "x")], "dataset string, concept string")
+    got = {tuple(r) for r in prompts.expand_sets(concepts, prompts.read_banks(spark, str(tmp_path), "long")).collect()}
+    assert got == {("birds", "Owl", "long", "Show an Owl, a bird"), ("birds", "Owl", "long", "Owl"), ("places", "Peru", "long", "in Peru")}
+
+
 def test_archives_are_chosen_before_they_are_read(spark, tmp_path):
     for name in ("a", "b"):
-        with tarfile.open(tmp_path / f"{name}.tar", "w") as tar:
-            info = tarfile.TarInfo("1.jpg")
-            info.size = 1
-            tar.addfile(info, io.BytesIO(b"x"))
-    got = shards.read_tar(spark, str(tmp_path), archives=F.col("path").endswith("/b.tar")).collect()
+        make_tar(tmp_path / f"{name}.tar", {"1.jpg": b"x"})
+    got = tar.read_tar(spark, str(tmp_path), archives="/b.tar").collect()
     assert len(got) == 1 and got[0].archive.endswith("/b.tar")
 
 
