@@ -1,4 +1,4 @@
-"""Queries through files: split files, counts and hits, bucketed postings, chunks, variant and JSON lists, prompt banks.
+"""Queries through files: corpora, folders, split files, counts and hits, bucketed postings, chunks, variant and JSON lists, prompt banks.
 
 Each writes what it makes of the given tables to the shared folder and reads it back.
 """
@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from freqloom.operators import index, prompts, search
-from freqloom.sources import sinks, splits
+from freqloom.sources import corpora, sinks, splits
 from freqloom.sources.storage import shared_dir
 
 from . import fixtures as X
@@ -114,3 +114,25 @@ def prompt_banks(spark, d):
     spark.range(1).select(F.to_json(F.struct(*[F.lit(t).alias(s) for s, t in BANKS.items()])).alias("value")).write.text(folder)
     parts = X.table(spark, d, "part").select(F.col("p_type").alias("dataset"), F.col("p_name").alias("concept"))
     return prompts.expand_sets(parts, prompts.read_banks(spark, folder, "set", suffix=".txt"))
+
+
+SQL_LINES = "SELECT 'doc/' || doc_id AS link, sha256(nullif(regexp_replace(coalesce(text, ''), '[\\t\\r\\n]', ' ', 'g'), '')) AS text FROM documents"
+
+
+@query("tsv_corpus", SQL_LINES)
+def tsv_corpus(spark, d):
+    """Documents as the tab-separated lines of a caption corpus, read by its reader; an empty text is null."""
+    folder = fresh(spark, "tsv")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\r\n]", " ")
+    X.table(spark, d, "documents").select(F.concat(text, F.lit("\tdoc/"), F.col("doc_id").cast("string")).alias("value")).write.text(folder)
+    return corpora.read_captions(spark, "cc3m", folder).select("link", F.sha2("text", 256).alias("text"))
+
+
+@query("folder_classes", "SELECT 'type=' || p_type AS classname, (row_number() OVER (ORDER BY p_type) - 1)::INT AS label, n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)")
+def folder_classes(spark, d):
+    """A folder for each type of part with a file of its parts: classes and labels of an image folder, and how much each holds."""
+    folder = fresh(spark, "folders")
+    X.table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_partkey").cast("string").alias("value")).repartition("type").write.partitionBy("type").text(folder)
+    classes = splits.read_folders(spark, folder).select("classname", "label").distinct()
+    held = spark.read.text(folder, recursiveFileLookup=True).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("classname")).agg(F.count(F.lit(1)).alias("n"))
+    return classes.join(held, "classname").select("classname", "label", "n")
