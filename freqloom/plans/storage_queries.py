@@ -29,7 +29,7 @@ def split_files(spark, d):
     m = F.col("p_partkey") % 10
     rows = X.table(spark, d, "part").select(F.when(m < 7, "train").when(m == 7, "val").otherwise("test").alias("split"), F.concat("p_type", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("path"), F.col("p_size").cast("int").alias("label"), F.col("p_name").alias("classname"))
     folder = fresh(spark, "splits")
-    splits.write_split_json(rows, folder, per_file=500)
+    splits.write_split_json(rows, folder)
     return splits.load_dataset("food101")(spark, folder, suffix=".txt")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,21 @@ def read_split_json(spark: SparkSession, path: str, suffix: str = ".json", split
     return rows.select(F.col("key").alias("split"), F.get(r, F.lit(0)).alias("path"), F.get(r, F.lit(1)).try_cast("int").alias("label"), F.get(r, F.lit(2)).alias("classname"))
 
 
-def write_split_json(rows: DataFrame, path: str, per_file: int = 10_000) -> None:
-    """Split files of rows (split, path, label, classname): JSON objects with about ``per_file`` items each, dealt by a hash of the path."""
-    item = F.array(F.col("path"), F.col("label").cast("string"), F.col("classname"))
-    files = F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / per_file))).cast("int")
-    lists = [F.collect_list(F.when(F.col("split") == s, item)).alias(s) for s in SPLITS]
-    dealt = rows.groupBy(F.pmod(F.xxhash64("path"), files).alias("file")).agg(*lists)
-    dealt.select(F.to_json(F.struct(*SPLITS)).alias("value")).write.text(path)
+def write_split_json(rows: DataFrame, path: str) -> None:
+    """Split files of rows (split, path, label, classname): a JSON object of each Arrow batch, one on each line of text files.
+
+    Rows stay where they are, so a repeated path gathers nowhere.  Rows of another split, or of none, are left out.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: dict[str, list] = {s: [] for s in SPLITS}
+            for r in batch.to_pylist():
+                lists[r["split"]].append([r["path"], r["label"], r["classname"]])
+            yield pa.RecordBatch.from_pydict({"value": [json.dumps(lists)]})
+
+    wanted = rows.where(F.col("split").isin(*SPLITS)).select("split", "path", "label", "classname")
+    wanted.mapInArrow(told, "value string").write.text(path)
 
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,8 @@ def test_split_files_are_read_in_ranges(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"other": [1], "train": items[:120], "val": [], "test": items[120:]}))
     rows = splits.read_split_json(spark, str(tmp_path), split=700)
     assert sorted(tuple(r) for r in rows.collect()) == sorted(("train" if i < 120 else "test", p, int(label), c) for i, (p, label, c) in enumerate(items))
-    splits.write_split_json(rows, str(tmp_path / "again"), per_file=30)
+    spark.createDataFrame([("none", "x", 1, "y"), (None, "x", 1, "y")], rows.schema).unionByName(rows).write.parquet(str(tmp_path / "rows"))
+    splits.write_split_json(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "again"))
     assert sorted(map(tuple, splits.read_split_json(spark, str(tmp_path / "again"), suffix=".txt").collect())) == sorted(map(tuple, rows.collect()))
 
 
