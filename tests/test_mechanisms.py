@@ -176,3 +176,16 @@ def test_hash_pairs_at_any_radius(spark, radius):
 def test_no_query_matches_all_pairs(spark, sf_dir):
     for name in ("prompt_contains", "hamming_dups", "hamming_classes", "greedy_dedup", "bitmap_text_search", "phrase_search"):
         assert not re.search("CartesianProduct|NestedLoop", plan(catalog.queries()[name](spark, sf_dir)))
+
+
+def test_hash_pairs_ship_blocks_and_no_looked_up_rows(spark):
+    """Many hashes of a group, in blocks of any number: no side of the join is multiplied row by row."""
+    random.seed(8)
+    base = [random.getrandbits(63) for _ in range(40)]
+    rows = [(k, k % 2, random.choice(base) ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63))) for k in range(900)] + [(2000, None, base[0]), (2001, 1, None)]
+    df = spark.createDataFrame(rows, "id long, g int, h long")
+    want = sorted(map(tuple, curate.hash_pairs(df, "g", "id", "h", 22).collect()))
+    for block in (7, 64):
+        got = curate.hash_pairs(df, "g", "id", "h", 22, block=block)
+        assert sorted(map(tuple, got.collect())) == want and want
+        assert "Generate" not in plan(got)
