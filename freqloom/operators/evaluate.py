@@ -15,6 +15,10 @@ from freqloom.sources.storage import cut
 
 #: Rows of a block of vectors: a similarity tile has BLOCK * BLOCK cells.
 BLOCK = 2048
+#: Rows of a block of vectors that is packed into bytes, and asked ones of a tile that are multiplied at a time.
+PACKED, STRIP = 16_384, 256
+#: Similarities that differ by more than this differ when rounded to nine digits.
+CLOSE = 1e-8
 
 
 def prototypes(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -103,12 +107,13 @@ def packed_blocks(rows: DataFrame, columns: list[str], name: str) -> tuple[DataF
 def tiles(asked: DataFrame, held: DataFrame, ask: list[str], hold: list[str]) -> DataFrame:
     """Every block of the asked rows with every block of the held ones, a row for each: (ask, hold) as arrays.
 
-    Blocks meet by equality of both numbers, so a tile is a key of its own and no side is broadcast.
+    Blocks meet by equality of both numbers, so a tile is a key of its own.  A merge join, as Spark takes the size of a
+    side before its rows are multiplied for that after, and would send it whole to the driver and to every executor.
     """
     (a, n), (h, m) = packed_blocks(asked, ask, "ask_block"), packed_blocks(held, hold, "hold_block")
     a = a.withColumn("hold_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     h = h.withColumn("ask_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return a.join(h, ["ask_block", "hold_block"]).select(*ask, *hold)
+    return a.hint("merge").join(h, ["ask_block", "hold_block"]).select(*ask, *hold)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -139,25 +144,74 @@ def true_ranks(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, rank): 1 + the candidates nearer than the query's best own one.
 
     queries: (query_id, own_id, v); candidates: (cand_id, own_id, v); a candidate is a query's own if
-    own_id is equal.  Nearer is a larger similarity, or an equal one with a smaller id.  Blocks of
-    queries meet blocks of candidates in matrix products; each tile returns one count per query.
+    own_id is equal.  Nearer is a larger similarity, or an equal one with a smaller id.  Packed blocks of
+    queries meet those of candidates in matrix products; each tile returns one count per query.
     """
     own = queries.alias("q").join(candidates.alias("c"), "own_id").select("query_id", F.struct(F.round(dot(F.col("q.v"), F.col("c.v")), 9).alias("s"), (-F.col("cand_id")).alias("c")).alias("m"))
     best = own.groupBy("query_id").agg(F.max("m").alias("m")).select("query_id", F.col("m.s").alias("own_sim"), (-F.col("m.c")).alias("own_cand"))
-    asked = queries.join(best, "query_id").select("query_id", "v", "own_sim", "own_cand")
-    held = candidates.select("cand_id", F.col("v").alias("cv"))
+    asked = packed(queries.join(best, "query_id"), {"query_id": "i8", "own_sim": "f8", "own_cand": "i8"}, "v", "ask_block")
+    held = packed(candidates, {"cand_id": "i8"}, "v", "hold_block").withColumnRenamed("v", "cv")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                sims = np.round(np.stack(r.v).astype(np.float64) @ np.stack(r.cv).astype(np.float64).T, 9)
-                s, c, ids = np.asarray(r.own_sim)[:, None], np.asarray(r.own_cand)[:, None], np.asarray(r.cand_id)[None, :]
-                yield pd.DataFrame({"query_id": r.query_id, "nearer": ((sims > s) | ((sims == s) & (ids < c))).sum(1)})
+                ids, cand = np.frombuffer(r.query_id, "i8"), np.frombuffer(r.cand_id, "i8")
+                n = nearer(vectors_of(r.v), vectors_of(r.cv), cand, np.frombuffer(r.own_sim, "f8"), np.frombuffer(r.own_cand, "i8"))
+                yield pd.DataFrame({"query_id": ids, "nearer": n})
 
-    counted = tiles(asked, held, ["query_id", "v", "own_sim", "own_cand"], ["cand_id", "cv"]).mapInPandas(run, "query_id long, nearer long")
+    counted = couples(asked, held).select("query_id", "own_sim", "own_cand", "v", "cand_id", "cv").mapInPandas(run, "query_id long, nearer long")
     return counted.groupBy("query_id").agg((F.sum("nearer") + 1).alias("rank"))
 
 
+def packed(rows: DataFrame, columns: dict[str, str], vector: str, name: str) -> DataFrame:
+    """Rows in blocks of about PACKED, by number ``name``: columns (of these numpy types) and vectors v as bytes."""
+    single = dict(rows.dtypes)[vector] == "array<float>"  # exact in half the bytes
+    dealt = rows.where(F.col(vector).isNotNull()).select(*columns, F.col(vector).alias("v"))
+    n = max(1, -(-dealt.count() // PACKED))
+    dealt = dealt.withColumn(name, F.pmod(F.xxhash64(next(iter(columns))), F.lit(n)))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = {c: [pdf[c].to_numpy(kind).tobytes()] for c, kind in columns.items()}
+        return pd.DataFrame({name: [pdf[name].iloc[0]], **made, "v": [packed_matrix(np.stack(pdf["v"]), single)]})
+
+    return cut(dealt.groupBy(name).applyInPandas(pack, f"{name} long, {', '.join(f'{c} binary' for c in columns)}, v binary"))
+
+
+def packed_matrix(v: np.ndarray, single: bool) -> bytes:
+    """A matrix as bytes: of each number, its columns, then the numbers."""
+    return np.array([4 if single else 8, v.shape[1]], "i8").tobytes() + v.astype("f4" if single else "f8").tobytes()
+
+
+def vectors_of(data: bytes) -> np.ndarray:
+    """The matrix of packed_matrix, in doubles."""
+    size, width = np.frombuffer(data, "i8", 2)
+    return np.frombuffer(data, f"f{size}", offset=16).reshape(-1, width).astype("f8")
+
+
+def couples(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Every block of ``asked`` beside every one of ``held``, a row for each, by equality of both numbers; see tiles."""
+    n, m = (int(x.agg(F.coalesce(F.max(c), F.lit(-1))).first()[0]) + 1 for x, c in ((asked, "ask_block"), (held, "hold_block")))
+    if not n or not m:
+        return asked.join(held.withColumnRenamed("hold_block", "ask_block"), "ask_block").limit(0)
+    a = asked.withColumn("hold_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    h = held.withColumn("ask_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return a.hint("merge").join(h, ["ask_block", "hold_block"])
+
+
+def nearer(v: np.ndarray, held: np.ndarray, ids: np.ndarray, sim: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many of the held vectors are more similar to each v than ``sim``, or as similar (to nine digits) with a smaller id than ``own``."""
+    found = np.zeros(len(v), np.int64)
+    for k in range(0, len(v), STRIP):
+        at = slice(k, k + STRIP)
+        sims, s = v[at] @ held.T, sim[at, None]
+        above = sims > s + CLOSE
+        found[at] = above.sum(1)
+        i, j = np.nonzero((sims >= s - CLOSE) ^ above)  # only these can be equal when rounded
+        x, s, c = np.round(sims[i, j], 9), sim[at][i], own[at][i]
+        found[at] += np.bincount(i[(x > s) | ((x == s) & (ids[j] < c))], minlength=len(sims))
+    return found
+
+
 def recall(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: list[str] | None = None) -> DataFrame:
     """([by], k, recall): percent of queries whose own candidate is among the first k."""
     each = ranks.select(*(by or []), "rank", F.explode(F.lit(list(ks)).cast("array<bigint>")).alias("k"))
