@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from freqloom.functions.vectors import dot
 from freqloom.sources.storage import cut
 
+from .evaluate import PACKED, couples, nearer, packed, packed_matrix, vectors_of
+
 #: Pivots are a sample of the vectors, on the driver and in the closure of tasks: PIVOTS * dimension numbers.
 PIVOTS = 256
 #: Rows of a block, and queries that meet it in one tile.
@@ -159,18 +161,57 @@ def true_ranks(queries: DataFrame, candidates: DataFrame, held: Cells) -> DataFr
 
     queries: (query_id, own_id, v); candidates: (cand_id, own_id, v), the vectors of ``held``; a candidate is a
     query's own if own_id is equal.  Nearer is a larger similarity, or an equal one with a smaller id.  The own
-    similarity is known before, so a block is left out, counted whole by its bounds, or read.
+    similarity is known before, so a block is left out, counted whole by its bounds, or read.  Packs of blocks meet
+    packs of queries, so what is shuffled does not depend on how many blocks stay open.
     """
     own = queries.alias("q").join(candidates.alias("c"), "own_id").select("query_id", F.struct(F.round(dot(F.col("q.v"), F.col("c.v")), 9).alias("s"), (-F.col("cand_id")).alias("c")).alias("m"))
     best = own.groupBy("query_id").agg(F.max("m").alias("m")).select("query_id", F.col("m.s").alias("least"), (-F.col("m.c")).alias("own_cand"))
-    asked = cut(queries.join(best, "query_id").select(F.col("query_id").alias("q"), F.col("v").cast("array<double>").alias("v"), "least", "own_cand"))
-    pairs = cut(open_blocks(asked, held).join(asked.select("q", "least"), "q").withColumn("whole", F.col("low") > F.col("least") + EPS))
-
-    def nearer(r) -> pd.DataFrame:
-        sims = np.round(matrix(r.v) @ matrix(r.vs).T, 9)
-        s, c, ids = np.asarray(r.least)[:, None], np.asarray(r.own_cand)[:, None], np.asarray(r.ids)[None, :]
-        return pd.DataFrame({"q": r.q, "nearer": ((sims > s) | ((sims == s) & (ids < c))).sum(1)})
+    asked = packed(queries.join(best, "query_id"), {"query_id": "i8", "least": "f8", "own_cand": "i8"}, "v", "ask_block")
+    pivots = held.pivots
 
-    read = in_tiles(pairs.where("NOT whole").select("q", "cell", "block"), asked, held, nearer, "q long, nearer long")
-    counted = read.unionByName(pairs.where("whole").select("q", F.col("n").alias("nearer"))).groupBy("q").agg(F.sum("nearer").alias("nearer"))
-    return asked.join(counted, "q", "left").select(F.col("q").alias("query_id"), (F.coalesce("nearer", F.lit(0)) + 1).alias("rank"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                q, least, own = np.frombuffer(r.query_id, "i8"), np.frombuffer(r.least, "f8"), np.frombuffer(r.own_cand, "i8")
+                ids, vs = np.frombuffer(r.ids, "i8"), vectors_of(r.vs)
+                v = vectors_of(r.v)
+                norm2, met = (v * v).sum(1), v @ pivots.T
+                far, size = np.sqrt(np.maximum(norm2[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * met, 0)), np.sqrt(norm2)
+                found, at = np.zeros(len(q), np.int64), 0
+                for cell, n, lo, hi, norm in np.frombuffer(r.bounds, "f8").reshape(-1, 5):
+                    cell, n = int(cell), int(n)
+                    gap = np.maximum(np.maximum(lo - far[:, cell], far[:, cell] - hi), 0)
+                    most = np.minimum(met[:, cell] + size * hi, (norm2 + norm * norm - gap * gap) / 2)
+                    whole = met[:, cell] - size * hi > least + EPS
+                    found[whole] += n
+                    read = np.flatnonzero((most >= least - EPS) & ~whole)
+                    if len(read):
+                        found[read] += nearer(v[read], vs[at : at + n], ids[at : at + n], least[read], own[read])
+                    at += n
+                yield pd.DataFrame({"query_id": q, "nearer": found})
+
+    tiles = couples(asked, gathered(held)).select("query_id", "least", "own_cand", "v", "ids", "vs", "bounds")
+    counted = tiles.mapInPandas(run, "query_id long, nearer long").groupBy("query_id").agg(F.sum("nearer").alias("nearer"))
+    return queries.join(best, "query_id").select("query_id").join(counted, "query_id", "left").select("query_id", (F.coalesce("nearer", F.lit(0)) + 1).alias("rank"))
+
+
+def gathered(held: Cells) -> DataFrame:
+    """(hold_block, ids, vs, bounds): blocks, in packs of about PACKED rows, as bytes; bounds: (cell, n, lo, hi, norm) of each."""
+    rows = held.blocks.join(held.bounds, ["cell", "block"])
+    n = max(1, -(-int(held.bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // PACKED))
+    dealt = rows.withColumn("hold_block", F.pmod(F.xxhash64("cell", "block"), F.lit(n)))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "block"])
+        vs = np.concatenate([matrix(x) for x in pdf["vs"]])
+        single = bool((vs.astype("f4") == vs).all())
+        return pd.DataFrame(
+            {
+                "hold_block": [pdf["hold_block"].iloc[0]],
+                "ids": [np.concatenate(list(pdf["ids"])).astype("i8").tobytes()],
+                "vs": [packed_matrix(vs, single)],
+                "bounds": [pdf[["cell", "n", "lo", "hi", "norm"]].to_numpy("f8").tobytes()],
+            }
+        )
+
+    return cut(dealt.groupBy("hold_block").applyInPandas(pack, "hold_block long, ids binary, vs binary, bounds binary"))

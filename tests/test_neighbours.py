@@ -58,3 +58,27 @@ def test_blocks_are_left_out(spark):
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.lit(0.99).alias("least"))
     share = neighbours.open_blocks(asked, held).count() / (asked.count() * held.bounds.count())
     assert share < 0.1
+
+
+def test_tiles_are_merged_and_sent_to_nobody_whole(spark):
+    """Also with pivots: packs of queries meet packs of blocks, however many blocks stay open."""
+    rows = table(spark, np.random.default_rng(9).normal(size=(300, 8))).select("vec_id", F.floor(F.col("vec_id") / 3).alias("own_id"), F.col("embedding").alias("v"))
+    texts, images = rows.where("vec_id % 3 > 0").withColumnRenamed("vec_id", "query_id"), rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "cand_id")
+    for found in (evaluate.true_ranks(texts, images), neighbours.true_ranks(texts, images, neighbours.cells(images, "cand_id", "v", pivots=16, block=8))):
+        told = found._jdf.queryExecution().toString()
+        assert "SortMergeJoin [ask_block" in told and "HashJoin [ask_block" not in told
+    told = evaluate.top_k(texts.withColumnRenamed("query_id", "vec_id"), rows, 3, vector="v")._jdf.queryExecution().toString()
+    assert "SortMergeJoin [ask_block" in told and "HashJoin [ask_block" not in told
+
+
+def test_packed_ranks_with_equal_and_close_vectors(spark):
+    v = np.random.default_rng(2).normal(size=(90, 5)).astype(np.float32)
+    v[30:60] = v[7]
+    v[60:75] = v[8] * np.float32(1 + 1e-7)
+    rows = spark.createDataFrame([(i, i // 3, x.tolist()) for i, x in enumerate(v)], "id long, own_id long, v array<float>")
+    texts, images = rows.where("id % 3 > 0").withColumnRenamed("id", "query_id"), rows.where("id % 3 = 0").withColumnRenamed("id", "cand_id")
+    sims = np.round(v.astype(float) @ v.astype(float).T, 9)
+    held = [i for i in range(90) if i % 3 == 0]
+    want = {i: 1 + sum((sims[i, c], -c) > (sims[i, i // 3 * 3], -(i // 3 * 3)) for c in held) for i in range(90) if i % 3}
+    assert {r.query_id: r["rank"] for r in evaluate.true_ranks(texts, images).collect()} == want
+    assert {r.query_id: r["rank"] for r in neighbours.true_ranks(texts, images, neighbours.cells(images, "cand_id", "v", pivots=4, block=8)).collect()} == want
