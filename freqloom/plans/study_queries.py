@@ -70,38 +70,41 @@ def cased_postings(spark, d):
 SQL_MAPS = CONCEPT_SQL + ", kept AS (SELECT concept FROM cx WHERE n_images >= 10), c AS (SELECT conv_id, pos, concept FROM ct JOIN kept USING (concept)), ic AS (SELECT DISTINCT conv_id, concept FROM c), ci AS (SELECT DISTINCT conv_id FROM cap)"
 
 
-def digest_sql(member: str) -> str:
-    """Order-free digest of a key's members: the first 48 bits of their MD5, xor."""
-    return f"coalesce(bit_xor(('0x' || left(md5({member}), 12))::BIGINT), 0)"
+#: Conversations whose members of a key are put in order together.
+TOGETHER = 4096
 
 
-def digest(member):
-    return F.coalesce(F.bit_xor(F.conv(F.substring(F.md5(member), 1, 12), 16, 10).cast("bigint")), F.lit(0)).alias("members")
+def members(rows, key: str, order: list[str], name):
+    """(key, n, members): the SHA-256 of each key's members in order, joined by commas; put in order by ranges of the first column, a text for each, so that a key's rows don't meet in a task."""
+    ranged = rows.groupBy(key, F.floor(F.col(order[0]) / TOGETHER).alias("at")).agg(F.sort_array(F.collect_list(F.struct(*order, name.alias("name")))).alias("m"))
+    texts = ranged.select(key, "at", F.size("m").alias("c"), F.array_join(F.transform("m", lambda x: x["name"]), ",").alias("text"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    return texts.groupBy(key).agg(F.sum("c").alias("n"), F.sha2(F.array_join(whole, ","), 256).alias("members"))
 
 
-@query("concept_maps", SQL_MAPS + f""" SELECT 'concept to captions' AS map, concept AS key, count(*) AS n, {digest_sql("conv_id || ':' || pos")} AS members FROM c GROUP BY concept
-UNION ALL SELECT 'concept to images', concept, count(*), {digest_sql("conv_id::VARCHAR")} FROM ic GROUP BY concept
-UNION ALL SELECT 'caption to concepts', cap.conv_id || ':' || cap.pos, count(concept), {digest_sql("concept")} FROM cap LEFT JOIN c ON cap.conv_id = c.conv_id AND cap.pos = c.pos GROUP BY cap.conv_id, cap.pos
-UNION ALL SELECT 'image to concepts', ci.conv_id::VARCHAR, count(concept), {digest_sql("concept")} FROM ci LEFT JOIN ic ON ci.conv_id = ic.conv_id GROUP BY ci.conv_id""")
+@query("concept_maps", SQL_MAPS + """ SELECT 'concept to captions' AS map, concept AS key, count(*) AS n, sha256(string_agg(conv_id || ':' || pos, ',' ORDER BY conv_id, pos)) AS members FROM c GROUP BY concept
+UNION ALL SELECT 'concept to images', concept, count(*), sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) FROM ic GROUP BY concept
+UNION ALL SELECT 'caption to concepts', cap.conv_id || ':' || cap.pos, count(concept), sha256(coalesce(string_agg(concept, ',' ORDER BY concept), '')) FROM cap LEFT JOIN c ON cap.conv_id = c.conv_id AND cap.pos = c.pos GROUP BY cap.conv_id, cap.pos
+UNION ALL SELECT 'image to concepts', ci.conv_id::VARCHAR, count(concept), sha256(coalesce(string_agg(concept, ',' ORDER BY concept), '')) FROM ci LEFT JOIN ic ON ci.conv_id = ic.conv_id GROUP BY ci.conv_id""")
 def concept_maps(spark, d):
-    """Each key of the four maps with its number of members and their digest; no list is gathered."""
+    """Each key of the four maps with its number of members and the digest of their list, in order."""
     maps = index.concept_maps(captions(spark, d), "conv_id", "pos", "caption", least=10)
     ids = {"captions": F.concat_ws(":", "conv_id", "pos"), "images": F.col("conv_id").cast("string")}
     parts = []
     for kind, (rows, every) in maps.items():
         cols = ["conv_id", "pos"] if kind == "captions" else ["conv_id"]
-        by_concept = rows.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), digest(ids[kind]))
+        by_concept = members(rows, "concept", cols, ids[kind])
         parts.append(by_concept.select(F.lit(f"concept to {kind}").alias("map"), F.col("concept").alias("key"), "n", "members"))
-        by_id = every.join(rows, cols, "left").groupBy(*cols).agg(F.count("concept").alias("n"), digest(F.col("concept")))
-        parts.append(by_id.select(F.lit(f"{kind[:-1]} to concepts").alias("map"), ids[kind].alias("key"), "n", "members"))
+        by_id = every.join(rows, cols, "left").groupBy(*cols).agg(F.sort_array(F.collect_list("concept")).alias("m"))
+        parts.append(by_id.select(F.lit(f"{kind[:-1]} to concepts").alias("map"), ids[kind].alias("key"), F.size("m").cast("long").alias("n"), F.sha2(F.array_join("m", ","), 256).alias("members")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("label_samples", "SELECT label::BIGINT AS label, 'class ' || label AS classname, 'v/' || vec_id AS path FROM embeddings")
+@query("label_samples", "SELECT label::BIGINT AS label, 'class ' || label AS classname, string_agg('v/' || vec_id, ',' ORDER BY 'v/' || vec_id) AS paths FROM embeddings GROUP BY label")
 def label_samples(spark, d):
-    """The samples of each label, a row for each."""
+    """Each label with its class and the list of its samples."""
     rows = X.embeddings(spark, d).select(F.col("label").cast("long").alias("label"), F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("path"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("classname"))
-    return splits.class_list(rows).join(rows.select("label", "path"), "label").select("label", "classname", "path")
+    return splits.class_list(rows).join(splits.samples_of(rows), "label").select("label", "classname", F.array_join("paths", ",").alias("paths"))
 
 
 # Entities are parts with names of several words, counted by their line items; each line item is an
