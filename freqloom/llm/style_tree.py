@@ -25,8 +25,7 @@ footers, sidebars, forms, comments) decide; so do class names that announce it (
 article, shift the bound.  The main article is the ``main`` element or the ``article`` with the most text, if it
 holds a third of the page's text outside announced noise.
 
-Words are counted by their hashes.  A branch of much text is known by a fixed fraction of them, the
-smallest hashes of all its pages (as in a threshold-scaled sketch); a branch of little text by all.
+Words are counted by their hashes, every word of every branch.
 
 Pages are parsed once, into blocks, which are kept as Parquet in the shared folder; copies of a page count
 once in the tree.  A page gets the fates of its own branches only.
@@ -59,9 +58,8 @@ LEAST_REPEAT = 0.01
 INSIDE, BESIDE, NEUTRAL, ANNOUNCED, NAMED, HINT, NESTED = 2.0, -2.0, 1.0, -20.0, -11.0, -1.5, -4.0
 #: Branches at or below this prior are no measure of a host's main text, if there are others.
 NO_MEASURE = INSIDE + NAMED
-#: A branch's words are all counted if no page has more of them in it; else those whose hashes lie below one in SHARE.
-FEW_WORDS, SHARE = 32, 8
-LIMIT = -(1 << 63) + (1 << 64) // SHARE
+#: Branches with more words on a page are long; words are counted whose hashes lie below LIMIT, in long ones too: all.
+FEW_WORDS, LIMIT = 32, 1 << 63
 #: (host, branch, word) counts that a task holds before it passes them on.
 HELD_COUNTS = 200_000
 #: Rows of turned branches, of pages that have one and of copies, up to which they are broadcast (8 to 100 bytes each).
@@ -362,10 +360,7 @@ def distinct_pages(parsed: DataFrame) -> DataFrame:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(host, root, branch, word, n): on how many of the distinct pages a branch has the word (hashed; any digits are alike).
-
-    Of branches with over FEW_WORDS words on some page only the words below LIMIT.
-    """
+    """(host, root, branch, word, n): on how many of the distinct pages a branch has the word (hashed; any digits are alike)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple] = Counter()
@@ -397,9 +392,6 @@ def word_counts(pages: DataFrame) -> DataFrame:
                     words.setdefault(branches[k], set()).update(map(hashed, texts[k].split(" ")))
                 at += size
                 for branch, some in words.items():
-                    if len(some) > FEW_WORDS:  # a null word marks the branch
-                        some = {w for w in some if w < LIMIT}
-                        held[(host, root, branch, None)] += 1
                     for w in some:
                         held[(host, root, branch, w)] += 1
                 if len(held) >= HELD_COUNTS:
@@ -408,9 +400,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
     small_batches(pages.sparkSession)
     counts = pages.select("host", "root", "blocks").mapInArrow(run, "host string, root int, branch long, word long, n long")
-    counts = cut(counts.groupBy("host", "root", "branch", "word").agg(F.sum("n").alias("n")))
-    large = counts.where("word IS NULL").select("host", "root", "branch", F.lit(True).alias("large"))
-    return counts.where("word IS NOT NULL").join(large, ["host", "root", "branch"], "left").where(F.col("large").isNull() | (F.col("word") < LIMIT)).drop("large")
+    return counts.groupBy("host", "root", "branch", "word").agg(F.sum("n").alias("n"))
 
 
 def weighty() -> Column:
