@@ -57,3 +57,15 @@ def test_a_batch_that_is_repeated_replaces_itself(spark, tmp_path):
     shutil.rmtree(tmp_path / f"out/manifest/batch={commits.name}")
     corrections.maintain(spark, s.src, s.out, s.ck, fan=2).awaitTermination()
     assert {tuple(r) for r in corrections.postings(spark, s.out).collect()} == want == {("b", 0), ("c", 0), ("c", 1)}
+
+
+def test_documents_are_followed_without_a_call_for_each(spark, tmp_path):
+    """No state of a Python function; merged runs go from the first terms to the last."""
+    s = Steps(spark, tmp_path, 2)
+    s.send(*[(k, 1, f"a w{k % 5} x") for k in range(40)])
+    got = s.send(*[(k, 2, None if k % 7 == 0 else "b a") for k in range(0, 40, 3)], (1, 0, "old"))
+    want = {(t, k) for k in range(40) for t in (["a", "w", "x"] if k % 3 else [] if k % 7 == 0 else ["a", "b"])}
+    assert got == want and not (tmp_path / "ck/state").exists()
+    (level, run), = corrections.manifest(spark, s.out)
+    assert level == 1 and sorted(r.change for r in spark.read.parquet(f"{s.out}/runs/{run}").collect()) == [1] * len(want)
+    assert spark.read.parquet(f"{s.out}/documents/{run}").count() == 40  # removed ones keep their version
