@@ -4,8 +4,9 @@
 
 * ``path``: a folder or one archive; ``suffix``: of archives in a folder (``.tar``);
 * ``split``: bytes of a partition (128 MiB).  A member belongs to the range in which its header begins;
-* ``index``: Parquet written from ``tar_index``; without it a task walks the headers from the archive's
-  start, which reads 512 bytes a member and no contents;
+* ``starts``: Parquet written from ``range_starts``: a task walks the headers of its own range, which reads
+  512 bytes a member and no contents.  ``read_members`` makes it; without it a task walks from the archive's start;
+* ``index``: Parquet written from ``tar_index``, in place of headers;
 * ``archives``, ``names``: endings of archives' paths and of members' names, any of which must fit, lower case
   aside, separated by commas: other archives have no partitions, other members aren't read;
 * ``tolerant``: a truncated archive ends at the break (true) or raises (false).
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .shards import IMAGE_EXTENSIONS
+from .storage import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules["freqloom"])
 
@@ -67,11 +69,11 @@ def archives(path: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((front + x.path, x.size) for x in found)
 
 
-def members(file: Any, tolerant: bool) -> Iterator[Member]:
-    """The regular files of an archive, by its headers alone."""
+def headers(file: Any, tolerant: bool, start: int = 0) -> Iterator[tuple[tarfile.TarInfo, bool]]:
+    """The headers of an archive from one on, and whether headers before it hold for it."""
     file.seek(0, 2)
     size = file.tell()
-    file.seek(0)
+    file.seek(start)
     try:
         with tarfile.open(fileobj=file, mode="r:") as tar:
             for m in tar:
@@ -79,7 +81,7 @@ def members(file: Any, tolerant: bool) -> Iterator[Member]:
                 if m.isfile():
                     if m.offset_data + m.size > size:
                         raise tarfile.ReadError("the archive ends in a member")
-                    yield Member(m.name, m.offset, m.offset_data, m.size)
+                yield m, bool(tar.pax_headers)
             if 0 < size - tar.offset < tarfile.BLOCKSIZE:
                 raise tarfile.ReadError("the archive ends in a header")
     except (tarfile.ReadError, EOFError):
@@ -87,30 +89,51 @@ def members(file: Any, tolerant: bool) -> Iterator[Member]:
             raise
 
 
+def members(file: Any, tolerant: bool, start: int = 0) -> Iterator[Member]:
+    """The regular files of an archive, by its headers alone, from a header on."""
+    for m, _ in headers(file, tolerant, start):
+        if m.isfile():
+            yield Member(m.name, m.offset, m.offset_data, m.size)
+
+
 def endings(option: str) -> tuple[str, ...]:
     return tuple(x.strip().lower() for x in option.split(",") if x.strip()) or ("",)
 
 
 class Range(InputPartition):
-    def __init__(self, archive: str, start: int, end: int) -> None:
-        super().__init__((archive, start, end))
-        self.archive, self.start, self.end = archive, start, end
+    """first: a header at which to begin, at or before the range's own; None: no header is in the range."""
+
+    def __init__(self, archive: str, start: int, end: int, first: int | None = 0) -> None:
+        super().__init__((archive, start, end, first))
+        self.archive, self.start, self.end, self.first = archive, start, end, first
 
 
 class TarReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.suffix = options["path"], options.get("suffix", ".tar")
-        self.split, self.index = int(options.get("split", SPLIT)), options.get("index")
+        self.split, self.index, self.starts = int(options.get("split", SPLIT)), options.get("index"), options.get("starts")
         self.tolerant = options.get("tolerant", "true").lower() == "true"
         self.archives, self.names = (endings(options.get(x, "")) for x in ("archives", "names"))
 
     def partitions(self) -> list[Range]:
         wanted = [(a, n) for a, n in archives(self.path, self.suffix) if a.lower().endswith(self.archives)]
-        return [Range(a, start, min(n, start + self.split)) for a, n in wanted for start in range(0, n, self.split)]
+        first: dict[tuple[str, int], int] = {}
+        if self.starts is not None:
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            for path, _ in archives(self.starts, ".parquet"):
+                where, inner = fs.FileSystem.from_uri(path)
+                for x in pq.read_table(inner, filesystem=where).to_pylist():
+                    first[(x["archive"], x["range"])] = x["first"]
+        walked = {a for a, _ in first}
+        return [Range(a, k * self.split, min(n, (k + 1) * self.split), first.get((a, k)) if a in walked else 0) for a, n in wanted for k in range(-(-n // self.split))]
 
     def found(self, part: Range, file: Any) -> Iterator[Member]:
         if self.index is None:
-            for m in members(file, self.tolerant):
+            if part.first is None:
+                return
+            for m in members(file, self.tolerant, part.first):
                 if m.at >= part.end:
                     return
                 if m.at >= part.start:
@@ -161,12 +184,39 @@ class TarDataSource(DataSource):
 def read_members(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """(archive, name, size, content) of the members of an archive, or of all archives in a folder."""
     spark.dataSource.register(TarDataSource)
+    split = int(options.get("split", SPLIT))
+    if "index" not in options and "starts" not in options:
+        wanted = endings(options.get("archives", ""))
+        large = [a for a, n in archives(path, options.get("suffix", ".tar")) if n > split and a.lower().endswith(wanted)]
+        if large:
+            options["starts"] = f"{shared_dir(spark)}/starts-{uuid.uuid4().hex}"
+            range_starts(spark, large, split).write.parquet(options["starts"])
     reader = spark.read.format("tar").option("path", path)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load()
 
 
+def range_starts(spark: SparkSession, paths: list[str], split: int) -> DataFrame:
+    """(archive, range, first): where the first header of each range of archives begins, by a task for each archive that reads headers once.
+
+    Ranges without a header have no row, but the first one; one that headers before it hold for begins at 0.
+    """
+    listed = spark.createDataFrame([(a,) for a in paths], "archive string").repartition(len(paths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                first = {0: 0}
+                with opened(archive) as file:
+                    for m, held in headers(file, tolerant=True):
+                        first.setdefault(m.offset // split, 0 if held else m.offset)
+                columns = [pa.array([archive] * len(first)), pa.array(list(first), pa.int64()), pa.array(list(first.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["archive", "range", "first"])
+
+    return listed.mapInArrow(run, "archive string, range long, first long")
+
+
 def tar_index(spark: SparkSession, path: str, suffix: str = ".tar", tolerant: bool = True) -> DataFrame:
     """(archive, name, at, data, size): where members begin, by a task for each archive that reads headers only."""
     found = archives(path, suffix)

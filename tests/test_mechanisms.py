@@ -90,6 +90,27 @@ def test_tar_of_over_two_gigabytes_in_several_partitions(spark, tmp_path):
     assert found.rdd.getNumPartitions() >= 6 and sorted((r.name, r.content) for r in found.collect()) == [(f"{k}.jpg", b"0123456789") for k in range(5)]
 
 
+def test_tar_ranges_read_their_own_headers(spark, tmp_path):
+    """Each range begins at its first header, long names included; only what a global header tells is walked from the start."""
+    for kind, form in (("gnu", tarfile.GNU_FORMAT), ("pax", tarfile.PAX_FORMAT), ("global", tarfile.PAX_FORMAT)):
+        with tarfile.open(tmp_path / f"{kind}.tar", "w", format=form, pax_headers={"comment": "x"} if kind == "global" else None) as out:
+            for i in range(60):
+                info = tarfile.TarInfo(f"{'d' * (150 if i % 3 else 5)}/{i}.txt")
+                info.size = 9_000 if i % 20 == 7 else i
+                if i % 5 == 4:
+                    info.type, info.size = tarfile.DIRTYPE, 0
+                out.addfile(info, io.BytesIO(bytes(info.size)))
+    for split in (512, 4_096):
+        found = tar.read_members(spark, str(tmp_path), split=split)
+        got = [(r.archive[-8:], r.name, r.size) for r in found.collect()]
+        assert len(got) == len(set(got)) == 3 * 48
+        starts = tar.range_starts(spark, [f"file://{tmp_path}/{k}.tar" for k in ("gnu", "pax", "global")], split).collect()
+        for r in starts:
+            assert r.first == 0 if r.archive.endswith("global.tar") or r.range == 0 else r.first // split == r.range
+        ranges = tar.TarReader({"path": str(tmp_path), "split": str(split)}).partitions()
+        assert len(ranges) == found.rdd.getNumPartitions() and len(starts) < len(ranges)
+
+
 def test_truncated_tar(spark, tmp_path):
     archive(tmp_path / "a.tar", [(f"{k}.jpg", bytes(600)) for k in range(10)])
     data = (tmp_path / "a.tar").read_bytes()
