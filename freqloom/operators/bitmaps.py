@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freqloom.sources.storage import cut, dealt
+
 from .search import concept_terms
 
 #: Fixed value: ids of one of Spark's bitmap buckets.
@@ -12,9 +14,14 @@ BITS = 32_768
 
 
 def bitmap_postings(postings: DataFrame, term: str = "term", id_col: str = "sample_id") -> DataFrame:
-    """(term, bucket, bits) of (term, sample_id); equal ids count once.  Bitmaps combine map-side, so a shuffle moves one for each term, bucket and task."""
+    """(term, bucket, bits) of (term, sample_id); equal ids count once.
+
+    Postings are dealt by term and bucket, at most BITS different ones each, so bitmaps (4 KiB however few their bits)
+    are neither shuffled nor sorted.
+    """
     sample = F.col(id_col).cast("long")
-    return postings.groupBy(term, F.bitmap_bucket_number(sample).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(sample)).alias("bits"))
+    rows = postings.select(term, F.bitmap_bucket_number(sample).alias("bucket"), F.bitmap_bit_position(sample).alias("bit"))
+    return dealt(rows, term, "bucket").groupBy(term, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def doc_freq(bitmaps: DataFrame, term: str = "term") -> DataFrame:
@@ -24,25 +31,28 @@ def doc_freq(bitmaps: DataFrame, term: str = "term") -> DataFrame:
 
 def ids_of(bucket: Column, bits: Column) -> Column:
     """The ids of a bitmap as an array, by its bytes that aren't zero."""
-    text = F.hex(bits)
+    places = F.lit([[k for k in range(8) if value >> k & 1] for value in range(256)])
+
+    def id_at(p: Column) -> Column:
+        return F.when(bucket > 0, (bucket - 1) * BITS + p + 1).otherwise(bucket * BITS - p)
 
-    def of_text(h: Column) -> Column:
-        value = lambda b: F.conv(F.substring(h, 2 * b + 1, F.lit(2)), 16, 10).cast("int")
-        held = F.filter(F.sequence(F.lit(0), F.lit(BITS // 8 - 1)), lambda b: F.substring(h, 2 * b + 1, F.lit(2)) != "00")
-        return F.flatten(F.transform(held, lambda b: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", value(b), k).bitwiseAND(1) == 1), lambda k: b * 8 + k)))
+    def of_bits(x: Column) -> Column:
+        byte = lambda b: F.substring(x, b + 1, F.lit(1))
+        held = F.filter(F.sequence(F.lit(0), F.lit(BITS // 8 - 1)), lambda b: byte(b) != F.lit(b"\0"))
+        return F.flatten(F.transform(held, lambda b: F.transform(F.get(places, F.conv(F.hex(byte(b)), 16, 10).cast("int")), lambda k: id_at(b * 8 + k))))
 
-    place = F.transform(F.array(text), of_text)[0]
-    return F.transform(place, lambda p: F.when(bucket > 0, (bucket - 1) * BITS + p + 1).otherwise(bucket * BITS - p))
+    return F.transform(F.array(bits), of_bits)[0]
 
 
 def bitmap_search(bitmaps: DataFrame, concepts: DataFrame) -> DataFrame:
     """(concept_id, concept, bucket, bits): samples that hold all known terms of a concept, as bitmaps that aren't empty.
 
     A concept's bitmaps of a bucket meet there, and only where its rarest known term has any; a term no
-    document has is dropped from its concept, a concept without known terms has no rows.
+    document has is dropped from its concept, a concept without known terms has no rows.  The concepts' bitmaps
+    are made once and kept in the shared folder.
     """
     terms = concept_terms(concepts)
-    held = bitmaps.join(terms.select("term").distinct(), "term", "left_semi")
+    held = cut(bitmaps.join(terms.select("term").distinct(), "term", "left_semi"))
     known = terms.join(doc_freq(held), "term")
     least = known.groupBy("concept_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("needed"))
     where = held.join(least, "term").select("concept_id", "bucket", "needed")

@@ -160,6 +160,23 @@ def test_bitmap_search_equals_relational_division(spark, sf_dir):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 0
 
 
+def test_bitmaps_are_not_shuffled(spark, sf_dir):
+    """Postings are, by term and bucket; a search keeps its bitmaps and reads the postings once."""
+    from freqloom.plans import fixtures as X
+
+    post = index.unigram_postings(X.corpus(spark, sf_dir))
+    p = plan(bitmaps.bitmap_postings(post))
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p and "Aggregate" not in p.split("Exchange")[1]
+    assert "documents.parquet" not in plan(bitmaps.bitmap_search(bitmaps.bitmap_postings(post), X.concepts(spark)))
+
+
+def test_dense_bitmaps_are_read_whole(spark):
+    ids = [*range(1, 2 * bitmaps.BITS + 1), *range(-bitmaps.BITS, 1, 3)]
+    made = bitmaps.bitmap_postings(spark.createDataFrame([(i,) for i in ids], "sample_id long").selectExpr("'a' AS term", "sample_id"))
+    got = made.select(F.explode(bitmaps.ids_of(F.col("bucket"), F.col("bits"))).alias("i")).collect()
+    assert sorted(r.i for r in got) == sorted(ids)
+
+
 def test_automaton_finds_what_the_definition_says(spark):
     from freqloom.functions import text as T
 
