@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.text import STOP_WORDS, lemma, tokens
 from freqloom.sources.corpora import dense_index
+from freqloom.sources.storage import dealt
 
 #: Turns a text column into an array of index terms, repeats allowed.
 Analyzer = Callable[[Column], Column]
@@ -41,8 +42,9 @@ def phrase_postings(corpus: DataFrame, id_col: str = "sample_id", text_col: str
     return corpus.select(F.explode(F.array_distinct(made)).alias("phrase"), F.col(id_col).alias("sample_id"))
 
 
-def doc_freq(postings: DataFrame, term: str = "term") -> DataFrame:
-    return postings.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
+def doc_freq(postings: DataFrame, term: str = "term", many: bool = False) -> DataFrame:
+    """(term, df).  many: most terms are in few documents, such as pairs; rows are then dealt by term first, since counting in each task would keep nearly all of them."""
+    return (dealt(postings, term) if many else postings).groupBy(term).agg(F.count(F.lit(1)).alias("df"))
 
 
 def merge_chunks(chunks: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def unigram_postings(spark, d):
 
 @query("phrase_postings", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM t) SELECT phrase, count(*) AS n FROM p GROUP BY phrase")
 def phrase_postings(spark, d):
-    return index.phrase_postings(X.corpus(spark, d)).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return index.doc_freq(index.phrase_postings(X.corpus(spark, d)), "phrase", many=True).withColumnRenamed("df", "n")
 
 
 @query("term_doc_freq", W + X.SQL_DF + " SELECT term, df FROM df")

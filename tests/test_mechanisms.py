@@ -177,6 +177,14 @@ def test_dense_bitmaps_are_read_whole(spark):
     assert sorted(r.i for r in got) == sorted(ids)
 
 
+def test_pairs_are_counted_where_they_are_dealt(spark, sf_dir):
+    """No task keeps the pairs of its documents: nothing is counted under the exchange."""
+    p = plan(catalog.queries()["phrase_postings"](spark, sf_dir))
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p and "HashAggregate" not in p.split("Exchange")[1]
+    rows = spark.createDataFrame([("a b", 1), ("a b", 2), ("b c", 1)], "phrase string, sample_id long")
+    assert sorted(map(tuple, index.doc_freq(rows, "phrase", many=True).collect())) == [("a b", 2), ("b c", 1)]
+
+
 def test_automaton_finds_what_the_definition_says(spark):
     from freqloom.functions import text as T
 
