@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import json_lists
+from .storage import dealt
 
 COUNT_KEYS = ["downstream", "pt_dataset", "method"]
 
@@ -55,9 +56,11 @@ def read_hits(spark, path: str) -> DataFrame:
 def write_postings(postings: DataFrame, table: str, buckets: int, term: str = "term", path: str | None = None) -> None:
     """Postings bucketed and sorted by term: lookups of few terms then read few buckets.
 
+    A bucket is written by several tasks, each of which sorts its own rows; a frequent term has several files.
     path: where the files lie, in a folder that driver and executors share; without it the warehouse must be one.
     """
-    writer = postings.repartition(buckets, term).write.mode("overwrite").bucketBy(buckets, term).sortBy(term)
+    bucket = F.pmod(F.hash(term), F.lit(buckets))  # as bucketBy has it
+    writer = dealt(postings, bucket, groups=buckets).write.mode("overwrite").bucketBy(buckets, term).sortBy(term)
     (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 

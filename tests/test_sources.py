@@ -102,6 +102,20 @@ def test_bucketed_postings(spark):
     spark.sql("DROP TABLE postings_test")
 
 
+def test_a_bucket_is_written_by_several_tasks(spark):
+    """A frequent term's postings don't meet in one task; a look-up by bucket still needs no shuffle."""
+    rows = spark.range(3_000).selectExpr("CASE WHEN id < 2000 THEN 'the' ELSE 'w' || id END AS term", "id AS sample_id")
+    sinks.write_postings(rows, "postings_spread", 4)
+    table = spark.table("postings_spread")
+    held = table.where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert len(held) > 1 and sum(r["count"] for r in held) == 2_000
+    files = [x.rpartition("/")[2] for x in table.inputFiles()]
+    assert len(files) <= 8 and {x.rpartition("_")[2][:5] for x in files} == {f"{k:05d}" for k in range(4)}
+    counts = table.groupBy("term").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString() and counts.count() == 1_001
+    spark.sql("DROP TABLE postings_spread")
+
+
 def test_positions_of_other_ids_fail(spark):
     rows = spark.createDataFrame([(k,) for k in range(5)], "id long")
     lines = spark.createDataFrame([(k, f"line {k}") for k in (0, 1, 2, 4, 5)], "item long, line string")
