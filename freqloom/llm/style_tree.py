@@ -41,7 +41,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +62,10 @@ INSIDE, BESIDE, NEUTRAL, ANNOUNCED, NAMED, HINT, NESTED = 2.0, -2.0, 1.0, -20.0,
 NO_MEASURE = INSIDE + NAMED
 #: Branches with more words on a page are long; words are counted whose hashes lie below LIMIT, in long ones too: all.
 FEW_WORDS, LIMIT = 32, 1 << 63
-#: (host, branch, word) counts that a task holds before it passes them on.
-HELD_COUNTS = 200_000
+#: (host, branch, word) counts that a task holds before it passes them on, 24 bytes each a few times over; counts in a batch of rows.
+HELD_COUNTS, TOLD_ROWS = 1_000_000, 50_000
+#: A branch's words are dealt by the first bits of their hashes, to eight parts.
+PART_SHIFT = 61
 #: Rows of turned branches, of pages that have one and of copies, up to which they are broadcast (8 to 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -359,12 +363,25 @@ def distinct_pages(parsed: DataFrame) -> DataFrame:
     return parsed.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "row", "left_anti")
 
 
+def summed(group: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by group and word, in that order."""
+    order = np.lexsort((word, group))
+    group, word, n = group[order], word[order], n[order]
+    at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])))[: len(group)]
+    return group[at], word[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(host, root, branch, word, n): on how many of the distinct pages a branch has the word (hashed; any digits are alike)."""
+    """(host, root, branch, word, n): on how many of the distinct pages a branch has the word (hashed; any digits are alike).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple] = Counter()
+    Shuffled are rows of a branch's words, a row for each of eight ranges of hashes, with their counts in a task, a byte each if none is over 255.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        groups: dict[tuple, int] = {}
+        held: list[tuple] = []
+        size = 0
 
         def hashed(word: str) -> int:
             found = known.get(word)
@@ -375,32 +392,83 @@ def word_counts(pages: DataFrame) -> DataFrame:
             return found
 
         def told() -> pa.RecordBatch:
-            columns = list(zip(*held)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(held.values()), pa.int64())], ["host", "root", "branch", "word", "n"])
-            held.clear()
-            return out
+            group, word, n = held[0]
+            part = word >> PART_SHIFT
+            at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+            ends = np.append(at[1:], len(group)).tolist()
+            words, short, counts, keys = word.astype("<i8").tobytes(), n.astype("u1").tobytes(), n.astype("<u4").tobytes(), list(groups)
+            few = (np.maximum.reduceat(n, at) < 256).tolist()
+            rows = [(*keys[g], p, words[8 * x : 8 * y], short[x:y] if f else counts[4 * x : 4 * y]) for g, p, x, y, f in zip(group[at].tolist(), part[at].tolist(), at.tolist(), ends, few)]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "root", "branch", "part", "words", "counts"])
 
         for batch in batches:
             lists = batch.column(2)
             flat = lists.flatten()
-            branches, texts, sizes = flat.field("branch").to_pylist(), flat.field("text").to_pylist(), lists.value_lengths().to_pylist()
-            at = 0
-            for host, root, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes):
-                words: dict[int, set[int]] = {}
-                for k in range(at, at + size):
-                    words.setdefault(branches[k], set()).update(map(hashed, texts[k].split(" ")))
-                at += size
-                for branch, some in words.items():
-                    for w in some:
-                        held[(host, root, branch, w)] += 1
-                if len(held) >= HELD_COUNTS:
+            if not len(flat):
+                continue
+            page = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            hosts, roots = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            group = np.array([groups.setdefault((hosts[p], roots[p], b), len(groups)) for p, b in zip(page.tolist(), flat.field("branch").to_pylist())])
+            texts = pc.split_pattern(flat.field("text").cast(pa.large_string()), " ")
+            sizes = texts.value_lengths().to_numpy(zero_copy_only=False)
+            coded = texts.flatten().dictionary_encode()
+            word = np.array([hashed(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            page, group = np.repeat(page, sizes), np.repeat(group, sizes)
+            order = np.lexsort((page, word, group))
+            page, word, group = page[order], word[order], group[order]
+            once = np.append(True, (page[1:] != page[:-1]) | (word[1:] != word[:-1]) | (group[1:] != group[:-1]))
+            held.append((group[once], word[once], np.ones(np.count_nonzero(once), np.int64)))
+            size += len(held[-1][0])
+            if size >= HELD_COUNTS:
+                held = [summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if 2 * size >= HELD_COUNTS:
                     yield told()
-        yield told()
+                    groups, held, size = {}, [], 0
+        if held:
+            held = [summed(*map(np.concatenate, zip(*held)))]
+            yield told()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[tuple] = []
+        done: list[tuple] = []
+        size = ready = 0
+
+        def both() -> tuple[np.ndarray, np.ndarray]:
+            words, counts = map(np.concatenate, zip(*held))
+            return (words, counts) if len(held) == 1 else summed(np.zeros(len(words), np.int8), words, counts)[1:]
+
+        def told() -> pa.RecordBatch:
+            at = np.repeat(np.arange(len(done)), [len(x[1]) for x in done])
+            kinds = (pa.string(), pa.int32(), pa.int64())
+            keys = [pa.array([x[0][k] for x in done], kind).take(pa.array(at)) for k, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*keys, *(pa.array(np.concatenate([x[k] for x in done])) for k in (1, 2))], ["host", "root", "branch", "word", "n"])
+
+        for batch in batches:
+            for *k, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if key is not None and k != key:
+                    done.append((key, *both()))
+                    ready += len(done[-1][1])
+                    held, size = [], 0
+                    if ready >= TOLD_ROWS:
+                        yield told()
+                        done, ready = [], 0
+                key = k
+                held.append((np.frombuffer(words, "<i8"), np.frombuffer(counts, "u1" if 8 * len(counts) == len(words) else "<u4").astype(np.int64)))
+                size += len(held[-1][0])
+                if size >= HELD_COUNTS and len(held) > 1:
+                    held = [both()]
+                    size = len(held[0][0])
+        if key is not None:
+            done.append((key, *both()))
+            yield told()
 
     small_batches(pages.sparkSession)
-    counts = pages.select("host", "root", "blocks").mapInArrow(run, "host string, root int, branch long, word long, n long")
-    return counts.groupBy("host", "root", "branch", "word").agg(F.sum("n").alias("n"))
+    key = ["host", "root", "branch", "part"]
+    counts = pages.select("host", "root", "blocks").mapInArrow(count, "host string, root int, branch long, part int, words binary, counts binary")
+    return counts.repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, "host string, root int, branch long, word long, n long")
 
 
 def weighty() -> Column:

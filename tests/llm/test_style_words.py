@@ -6,3 +6,24 @@ def test_every_word_of_a_long_branch_is_counted(spark):
     pages = spark.createDataFrame([("h", 0, [(5, text)]), ("h", 0, [(5, text)])], "host string, root int, blocks array<struct<branch: bigint, text: string>>")
     got = S.word_counts(pages).collect()
     assert len(got) == 200 and {r.n for r in got} == {2}
+
+
+def test_words_are_shuffled_in_rows_of_a_branch(spark):
+    """The counts are those of the definition, whatever tasks hold, and a shuffled row has many of them."""
+    import random
+    from collections import Counter
+
+    random.seed(5)
+    rows = []
+    for k in range(4_000):
+        blocks = [(random.randint(0, 3), " ".join(random.choices(["a", "b7", "b12", "", "\u0663x", *(f"w{c}" for c in "abcdefghijklmnopq")], k=random.randint(1, 30)))) for _ in range(random.randint(0, 4))]
+        rows.append((random.choice([*["h"] * 10, "g", ""]), int(random.random() < 0.1), blocks))
+    want = Counter()
+    for host, root, blocks in rows:
+        want.update({(host, root, b, S.signed(S.xxhash.xxh64_intdigest(S.re.sub(r"\d+", "0", w)))) for b, text in blocks for w in text.split(" ")})
+    pages = spark.createDataFrame(rows, "host string, root int, blocks array<struct<branch: bigint, text: string>>").repartition(2)
+    counts = S.word_counts(pages)
+    got = [((r.host, r.root, r.branch, r.word), r.n) for r in counts.collect()]
+    assert len(got) == len(want) and dict(got) == want and max(want.values()) > 2 * 256
+    under = counts._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(host")[-1]
+    assert "words#" in under and "word#" not in under
