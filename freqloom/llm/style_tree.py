@@ -64,8 +64,8 @@ NO_MEASURE = INSIDE + NAMED
 FEW_WORDS, LIMIT = 32, 1 << 63
 #: (host, branch, word) counts that a task holds before it passes them on, 24 bytes each a few times over; counts in a batch of rows.
 HELD_COUNTS, TOLD_ROWS = 1_000_000, 50_000
-#: A branch's words are dealt by the first bits of their hashes, to eight parts.
-PART_SHIFT = 61
+#: A branch's words are dealt by the first bits of their hashes, to eight parts; so many hashes of a row are packed.
+PART_SHIFT, PACKED_WORDS = 61, 64
 #: Rows of turned branches, of pages that have one and of copies, up to which they are broadcast (8 to 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -371,10 +371,28 @@ def summed(group: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return group[at], word[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def packed(words: np.ndarray) -> bytes:
+    """Ascending numbers below 2 ** PART_SHIFT by Elias and Fano: how far their leading bits rise, then the other bits of each."""
+    low = PART_SHIFT + 1 - len(words).bit_length()
+    rises = np.zeros(len(words) + (1 << PART_SHIFT - low), np.uint8)
+    rises[(words >> low) + np.arange(len(words))] = 1
+    bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(np.concatenate([rises, bits[:, 64 - low :].ravel()])).tobytes()
+
+
+def unpacked(code: bytes, n: int) -> np.ndarray:
+    low = PART_SHIFT + 1 - n.bit_length()
+    rises, found = n + (1 << PART_SHIFT - low), np.unpackbits(np.frombuffer(code, np.uint8))
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - low :] = found[rises : rises + n * low].reshape(n, low)
+    return np.flatnonzero(found[:rises]) - np.arange(n) << low | np.packbits(bits, axis=1).view(">u8").ravel().astype(np.int64)
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """(host, root, branch, word, n): on how many of the distinct pages a branch has the word (hashed; any digits are alike).
 
     Shuffled are rows of a branch's words, a row for each of eight ranges of hashes, with their counts in a task, a byte each if none is over 255.
+    A task takes its pages by host, so it tells a branch's words once unless one host has more than it holds; rows of many words are packed.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,16 +409,17 @@ def word_counts(pages: DataFrame) -> DataFrame:
                 found = known[word] = signed(xxhash.xxh64_intdigest(re.sub(r"\d+", "0", word)))
             return found
 
-        def told() -> pa.RecordBatch:
-            group, word, n = held[0]
+        def told(size: int) -> pa.RecordBatch:
+            group, word, n = (x[:size] for x in held[0])
             part = word >> PART_SHIFT
             at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
             ends = np.append(at[1:], len(group)).tolist()
-            words, short, counts, keys = word.astype("<i8").tobytes(), n.astype("u1").tobytes(), n.astype("<u4").tobytes(), list(groups)
+            rest = word - (part << PART_SHIFT)
+            words, short, counts, keys = rest.astype("<i8").tobytes(), n.astype("u1").tobytes(), n.astype("<u4").tobytes(), list(groups)
             few = (np.maximum.reduceat(n, at) < 256).tolist()
-            rows = [(*keys[g], p, words[8 * x : 8 * y], short[x:y] if f else counts[4 * x : 4 * y]) for g, p, x, y, f in zip(group[at].tolist(), part[at].tolist(), at.tolist(), ends, few)]
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "root", "branch", "part", "words", "counts"])
+            rows = [(*keys[g], p, y - x, words[8 * x : 8 * y] if y - x < PACKED_WORDS else packed(rest[x:y]), short[x:y] if f else counts[4 * x : 4 * y]) for g, p, x, y, f in zip(group[at].tolist(), part[at].tolist(), at.tolist(), ends, few)]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "root", "branch", "part", "size", "words", "counts"])
 
         for batch in batches:
             lists = batch.column(2)
@@ -423,12 +442,18 @@ def word_counts(pages: DataFrame) -> DataFrame:
             if size >= HELD_COUNTS:
                 held = [summed(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
-                if 2 * size >= HELD_COUNTS:
-                    yield told()
-                    groups, held, size = {}, [], 0
+                if 2 * size >= HELD_COUNTS:  # the last host may go on
+                    first = next((k for k, x in enumerate(groups) if x[0] == hosts[-1]), len(groups))
+                    done = int(np.searchsorted(held[0][0], first))
+                    if 2 * (size - done) >= HELD_COUNTS:
+                        first, done = len(groups), size
+                    yield told(done)
+                    group, word, n = (x[done:] for x in held[0])
+                    groups, size = {x: k for k, x in enumerate(list(groups)[first:])}, size - done
+                    held = [(group - first, word, n)] if size else []
         if held:
             held = [summed(*map(np.concatenate, zip(*held)))]
-            yield told()
+            yield told(len(held[0][0]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -447,7 +472,8 @@ def word_counts(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*keys, *(pa.array(np.concatenate([x[k] for x in done])) for k in (1, 2))], ["host", "root", "branch", "word", "n"])
 
         for batch in batches:
-            for *k, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for *k, part, n, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                k.append(part)
                 if key is not None and k != key:
                     done.append((key, *both()))
                     ready += len(done[-1][1])
@@ -456,7 +482,8 @@ def word_counts(pages: DataFrame) -> DataFrame:
                         yield told()
                         done, ready = [], 0
                 key = k
-                held.append((np.frombuffer(words, "<i8"), np.frombuffer(counts, "u1" if 8 * len(counts) == len(words) else "<u4").astype(np.int64)))
+                rest = np.frombuffer(words, "<i8") if n < PACKED_WORDS else unpacked(words, n)
+                held.append((rest + (part << PART_SHIFT), np.frombuffer(counts, "u1" if len(counts) == n else "<u4").astype(np.int64)))
                 size += len(held[-1][0])
                 if size >= HELD_COUNTS and len(held) > 1:
                     held = [both()]
@@ -467,7 +494,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
     small_batches(pages.sparkSession)
     key = ["host", "root", "branch", "part"]
-    counts = pages.select("host", "root", "blocks").mapInArrow(count, "host string, root int, branch long, part int, words binary, counts binary")
+    counts = pages.select("host", "root", "blocks").sortWithinPartitions("host").mapInArrow(count, "host string, root int, branch long, part int, size int, words binary, counts binary")
     return counts.repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, "host string, root int, branch long, word long, n long")
 
 
