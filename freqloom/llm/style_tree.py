@@ -96,6 +96,7 @@ PLAIN_WORDS = frozenset(
 TELLING_WORDS = frozenset("with without no has layout".split())
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGITS = re.compile(r"\d+")
 
 
 class Node(NamedTuple):
@@ -396,19 +397,10 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         groups: dict[tuple, int] = {}
         held: list[tuple] = []
         size = 0
 
-        def hashed(word: str) -> int:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= 1 << 18:
-                    known.clear()
-                found = known[word] = signed(xxhash.xxh64_intdigest(re.sub(r"\d+", "0", word)))
-            return found
-
         def told(size: int) -> pa.RecordBatch:
             group, word, n = (x[:size] for x in held[0])
             part = word >> PART_SHIFT
@@ -432,13 +424,13 @@ def word_counts(pages: DataFrame) -> DataFrame:
             texts = pc.split_pattern(flat.field("text").cast(pa.large_string()), " ")
             sizes = texts.value_lengths().to_numpy(zero_copy_only=False)
             coded = texts.flatten().dictionary_encode()
-            word = np.array([hashed(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-            page, group = np.repeat(page, sizes), np.repeat(group, sizes)
-            order = np.lexsort((page, word, group))
-            page, word, group = page[order], word[order], group[order]
-            once = np.append(True, (page[1:] != page[:-1]) | (word[1:] != word[:-1]) | (group[1:] != group[:-1]))
-            held.append((group[once], word[once], np.ones(np.count_nonzero(once), np.int64)))
-            size += len(held[-1][0])
+            hashes = [xxhash.xxh64_intdigest(w if w.isalpha() else DIGITS.sub("0", w)) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+            words, code = np.unique(np.array(hashes, np.uint64).view(np.int64), return_inverse=True)
+            places, place = np.unique(page * len(groups) + group, return_inverse=True)  # a branch of a page
+            once = np.sort(np.repeat(place, sizes) * len(words) + code[coded.indices.to_numpy(zero_copy_only=False)])
+            once = once[np.append(True, once[1:] != once[:-1])]
+            held.append((places[once // len(words)] % len(groups), words[once % len(words)], np.ones(len(once), np.int64)))
+            size += len(once)
             if size >= HELD_COUNTS:
                 held = [summed(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
