@@ -14,6 +14,8 @@ from freqloom.operators import automaton, bitmaps, curate, index, phrases, searc
 from freqloom.plans import catalog
 from freqloom.sources import tar
 
+from .oracle import assert_same
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -235,3 +237,52 @@ def test_hash_pairs_ship_blocks_and_no_looked_up_rows(spark):
         got = curate.hash_pairs(df, "g", "id", "h", 22, block=block)
         assert sorted(map(tuple, got.collect())) == want and want
         assert "Generate" not in plan(got)
+
+
+def test_hamming_dups_leave_out_no_pair_of_vectors(spark, tmp_path):
+    """Vectors of equal signs and copies each have all their pairs, and so have vectors that lack elements."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    random.seed(12)
+    flip = lambda v, n: [-x if k < n else x for k, x in enumerate(v)]
+    v = [random.choice([-1.0, 1.0]) * random.uniform(0.1, 1) for _ in range(64)]
+    vectors = [v, [2 * x for x in v], v, flip(v, 22), flip(v, 23), [None, *flip(v, 23)[1:]], flip(v, 30)[:22], flip(v, 30)[:24], v[:5], [0.0] * 64, [None] * 64, [], None, flip(v, 40), flip(v, 41)]
+    rows = [(k, x, 1) for k, x in enumerate(vectors)] + [(20, v, 2), (21, v, None), (None, v, 1), (3, flip(v, 1), 1)]
+    ids, lists, labels = zip(*rows)
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(lists, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    want = []
+    for a, x, g in rows:
+        for b, y, f in rows:
+            if x is not None and y is not None and g is not None and g == f and a is not None and b is not None and a < b:
+                differ = [(s > 0) != (t > 0) for s, t in zip(x, y) if s is not None and t is not None]
+                if differ and sum(differ) <= 22:
+                    want.append((g, a, b, sum(differ)))
+    got = catalog.queries()["hamming_dups"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {(1, 0, 1, 0), (1, 0, 2, 0), (1, 1, 2, 0), (1, 2, 3, 22), (1, 0, 5, 22)} <= set(want)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert_same(got, db, catalog.oracle_sql()["hamming_dups"])
+
+
+def test_row_pairs_of_copies_and_unknown_bits_in_any_blocks(spark):
+    random.seed(13)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    base = [random.getrandbits(64) for _ in range(12)]
+    rows = []
+    for k in range(300):
+        h, known = random.choice(base), (1 << 64) - 1
+        for _ in range(random.choice([0, 0, 3, 14])):
+            h ^= 1 << random.randrange(64)
+        if k % 3 == 0:
+            known = random.getrandbits(64) | random.getrandbits(64)
+        rows.append((k, k % 2, h, known))
+    df = spark.createDataFrame([(k, g, signed(h), signed(known)) for k, g, h, known in rows], "id long, g int, h long, known long")
+    for radius, block in ((5, 16), (22, 16), (22, 4096)):
+        want = sorted((g, i, j, d) for i, g, h, k in rows for j, f, x, m in rows if i < j and g == f and (d := ((h ^ x) & k & m).bit_count()) <= radius)
+        assert sorted(map(tuple, curate.row_pairs(df, "g", "id", "h", radius, block, known="known").collect())) == want
+    every = sorted((g, i, j, d) for i, g, h, _ in rows for j, f, x, _ in rows if i < j and g == f and (d := (h ^ x).bit_count()) <= 5)
+    assert sorted(map(tuple, curate.row_pairs(df, "g", "id", "h", 5, 16).collect())) == every
